@@ -78,7 +78,8 @@ def usage_history(cases: DataFrame, usage: DataFrame, cfg: ReconConfig) -> DataF
         f"over (partition by {key} order by period "
         f"range between interval {cfg.lookback_months} month preceding and unbounded following)"
     )
-    ever = f"over (partition by {key})"
+    # same partitioning and order, so both frames share one sort
+    ever = f"over (partition by {key} order by period range between unbounded preceding and unbounded following)"
     return (
         stacked.select(
             *CASE_KEY,

@@ -7,28 +7,37 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Level 0 splits by magnitude: doubles span about 2100 powers of two, each cut into 256 buckets, so there are at most
-# some 540,000. Levels 1 and 2 cut the chosen bucket into a million equal steps each, after which a bucket is about as
-# narrow as the spacing of doubles in it and holds a handful of distinct values.
+# some 540,000. Level 1 cuts the chosen bucket, which holds at most 2**44 doubles, into four million equal steps. So
+# no running total sees more than four million buckets, and the last step no more than about 2**22 distinct values.
 MAGNITUDE_STEPS = 256
-EQUAL_STEPS = 1_000_000
+EQUAL_STEPS = 4_000_000
 
 
-def exact_median(df: DataFrame, column: str) -> DataFrame:
-    """One row with the interpolated median of a non-negative column; null and NaN are not counted.
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Columns ``v`` and ``n``: every value with its number of rows; null and NaN are not counted.
 
-    The built-in ``median`` merges every distinct value into one task. Here values are counted by value first (a hot
-    value shrinks to one row per task), then the middle rank is located by histogram descent: counts per bucket, a
-    running total over the buckets (at most a million rows), and only the bucket holding the rank goes on. All bucket
-    functions are monotone, so the result is exact.
+    A hot value shrinks to one row per task before anything is shuffled.
     """
-    value = F.col(column).cast("double")
-    counted = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
-    start = counted.withColumns(
-        {"below": F.lit(0).cast("bigint"), "beyond": F.lit(None).cast("double"), "total": F.lit(None).cast("bigint")}
+    value = F.col(column)
+    known = df.where(value.isNotNull() & ~F.isnan(value.cast("double")))
+    return known.groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+
+
+def exact_median(counted: DataFrame) -> DataFrame:
+    """One row with the interpolated median of non-negative ``value_counts``; null if there are none.
+
+    The built-in ``median`` merges every distinct value into one task. Here the middle rank is located by histogram
+    descent: counts per bucket, a running total over the buckets, and only the bucket holding the rank goes on. All
+    bucket functions are monotone, so the result is exact.
+    """
+    start = counted.select(
+        F.col("v").cast("double").alias("v"),
+        "n",
+        F.lit(0).cast("bigint").alias("below"),
+        F.lit(None).cast("double").alias("beyond"),
+        F.lit(None).cast("bigint").alias("total"),
     )
-    level = _descend(start, _magnitude_bucket())
-    level = _descend(level, _equal_bucket())
-    level = _descend(level, _equal_bucket())
+    level = _descend(_descend(start, _magnitude_bucket()), _equal_bucket())
     last = _located(level, F.col("v")).where(F.col("upto") >= _lower_rank())
     return last.agg(F.min_by(F.struct("lo", "upto", "beyond", "total"), "bucket").alias("m")).select(
         F.when(F.col("m.upto") * 2 > F.col("m.total"), F.col("m.lo"))

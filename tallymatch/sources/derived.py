@@ -7,10 +7,11 @@ company, parts that never or no longer reach the forecast, and parts without sit
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -66,26 +67,34 @@ class DerivedSource(Source):
     def __init__(self, spark: SparkSession, directory: str):
         self._spark = spark
         self._dir = directory
+        self._known: dict[tuple, DataFrame] = {}
+
+    def _once(self, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        """Plan every table once per source; only the plan is kept, never data."""
+        if key not in self._known:
+            self._known[key] = build()
+        return self._known[key]
 
     def read(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self._once(("file", name), lambda: self._spark.read.parquet(f"{self._dir}/{name}.parquet"))
 
     def _sites(self) -> DataFrame:
         schema = T.StructType(
             [T.StructField("n", T.IntegerType())]
             + [T.StructField(c, T.StringType()) for c in ("company", "plant", "location", "fc_location")]
         )
-        return F.broadcast(small_frame(self._spark, schema, SITES))
+        return self._once(("sites",), lambda: F.broadcast(small_frame(self._spark, schema, SITES)))
 
     def _part_names(self) -> DataFrame:
-        key = F.col("p_partkey")
-        mark = F.when(key % 97 == 0, F.lit("?")).otherwise(F.lit(""))
-        return self.read("part").select(
-            key.alias("pk"),
-            F.concat(F.lit("P_"), key.cast("string"), mark).alias("part_num"),
-            "p_type",
-            "p_size",
-            "p_brand",
+        return self._once(
+            ("part names",),
+            lambda: self.read("part").selectExpr(
+                "p_partkey as pk",
+                "concat('P_', cast(p_partkey as string), if(p_partkey % 97 = 0, '?', '')) as part_num",
+                "p_type",
+                "p_size",
+                "p_brand",
+            ),
         )
 
     def _lines(self, first_day: date | None, next_day: date | None) -> DataFrame:
@@ -96,42 +105,36 @@ class DerivedSource(Source):
         """
         lines = self.read("lineitem")
         if first_day is not None:
-            lines = lines.where(F.col("l_shipdate") >= F.lit(first_day).cast("timestamp_ntz"))
+            lines = lines.where(f"l_shipdate >= timestamp_ntz'{first_day}'")
         if next_day is not None:
-            lines = lines.where(F.col("l_shipdate") < F.lit(next_day).cast("timestamp_ntz"))
-        return lines.select(
-            F.col("l_partkey").alias("pk"),
-            ((F.col("l_partkey") + F.col("l_linenumber") % 2) % 9).cast("int").alias("n"),
-            F.last_day(F.col("l_shipdate").cast("date")).alias("period_end"),
-            F.col("l_quantity").alias("quantity"),
-            F.col("l_returnflag").alias("flag"),
-            F.col("l_linestatus").alias("status"),
+            lines = lines.where(f"l_shipdate < timestamp_ntz'{next_day}'")
+        return lines.selectExpr(
+            "l_partkey as pk",
+            "cast((l_partkey + l_linenumber % 2) % 9 as int) as n",
+            "last_day(cast(l_shipdate as date)) as period_end",
+            "l_quantity as quantity",
+            "l_returnflag as flag",
+            "l_linestatus as status",
         )
 
-    @staticmethod
-    def _qty(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("quantity")).otherwise(F.lit(0.0)))
-
     def usage(self, start: date | None = None, end: date | None = None) -> DataFrame:
+        return self._once(("usage", start, end), lambda: self._usage(start, end))
+
+    def _usage(self, start: date | None, end: date | None) -> DataFrame:
         # a month end is in [start, end] for ship dates from the first of start's month on, and before the month
         # whose end is past `end`
         next_day = None if end is None else _month_start(end + timedelta(days=1))
         lines = self._lines(None if start is None else _month_start(start), next_day)
-        conditions = {
-            "a": F.col("flag") == "A",
-            "b": F.col("flag") == "N",
-            "c": F.col("flag") == "R",
-            "d": F.col("status") == "O",
-        }
+        conditions = {"a": "flag = 'A'", "b": "flag = 'N'", "c": "flag = 'R'", "d": "status = 'O'"}
         grouped = lines.groupBy("pk", "n", "period_end").agg(
-            *[self._qty(cond).alias(f"qty_{c}") for c, cond in conditions.items()],
-            *[F.count_if(cond).alias(f"cnt_{c}") for c, cond in conditions.items()],
+            *[F.expr(f"sum(if({cond}, quantity, 0.0)) as qty_{c}") for c, cond in conditions.items()],
+            *[F.expr(f"count_if({cond}) as cnt_{c}") for c, cond in conditions.items()],
         )
         usage = (
-            grouped.join(self._part_names().select("pk", "part_num"), "pk")
-            .join(self._sites().select("n", "company", "plant"), "n")
-            .select(
-                F.concat_ws("_", "company", "plant", "part_num").alias("site_part_key"),
+            grouped.join(self._part_names(), "pk")
+            .join(self._sites(), "n")
+            .selectExpr(
+                "concat_ws('_', company, plant, part_num) as site_part_key",
                 "period_end",
                 *[f"qty_{c}" for c in conditions],
                 *[f"cnt_{c}" for c in conditions],
@@ -140,89 +143,86 @@ class DerivedSource(Source):
         return bounded(usage, "period_end", start, end)
 
     def forecast(self, start: date | None = None, end: date | None = None) -> DataFrame:
+        return self._once(("forecast", start, end), lambda: self._forecast(start, end))
+
+    def _forecast(self, start: date | None, end: date | None) -> DataFrame:
         # a first of month is in [start, end] for ship dates from the first full month on, up to end's month
         first_day = None
         if start is not None:
             first_day = start if start.day == 1 else _next_month(start)
-        lines = self._lines(first_day, None if end is None else _next_month(end))
-        is_hq = (F.col("company") == "NORTH") & (F.col("plant") == "HQ")
-        forecast_lines = (
-            lines.where(F.col("pk") % 11 != 0)
-            .where(~((F.col("pk") % 9 == 0) & (F.col("period_end") >= F.lit(date(2000, 10, 1)))))
+        by_month = (
+            self._lines(first_day, None if end is None else _next_month(end))
+            .where("pk % 11 <> 0 and not (pk % 9 = 0 and period_end >= date'2000-10-01')")
             .join(self._sites(), "n")
-            .where(F.col("company") != "WEST")
-        )
-        adjust = F.when(F.col("pk") % 7 == 0, 5.0).when(F.col("pk") % 7 == 1, -3.0).otherwise(0.0)
-        measured = (
-            forecast_lines.groupBy(
-                "pk",
+            .where("company <> 'WEST'")
+            .groupBy("pk", "company", "fc_location", F.expr("trunc(period_end, 'MM') as period"))
+            .agg(
+                F.expr(
+                    "sum(if(flag = 'R' or (company = 'NORTH' and plant = 'HQ' and flag in ('A', 'N')), quantity, 0.0))"
+                    " as moved"
+                )
+            )
+            .join(self._part_names(), "pk")
+            .selectExpr(
                 "company",
-                F.col("fc_location").alias("location"),
-                F.trunc("period_end", "MM").alias("period"),
+                "fc_location as location",
+                "part_num as product",
+                "period",
+                "moved + case pk % 7 when 0 then 5.0D when 1 then -3.0D else 0.0D end as qty",
             )
-            .agg(self._qty((F.col("flag") == "R") | (is_hq & F.col("flag").isin("A", "N"))).alias("moved"))
-            .withColumn("qty", F.col("moved") + adjust)
         )
-        parts = self._part_names()
-        by_month = measured.join(parts.select("pk", F.col("part_num").alias("product")), "pk")
-        fixed = parts.where(F.col("pk") % 40 == 0).select(
-            F.lit("NORTH").alias("company"),
-            F.lit("North Texas").alias("location"),
-            F.col("part_num").alias("product"),
-            F.lit(date(2000, 6, 1)).alias("period"),
-            F.col("p_size").cast("double").alias("qty"),
+        fixed = (
+            self._part_names()
+            .where("pk % 40 = 0")
+            .selectExpr(
+                "'NORTH' as company",
+                "'North Texas' as location",
+                "part_num as product",
+                "date'2000-06-01' as period",
+                "cast(p_size as double) as qty",
+            )
         )
-        columns = ["company", "location", "product", "period", "qty"]
-        return bounded(by_month.select(*columns).unionByName(fixed), "period", start, end)
+        return bounded(by_month.unionByName(fixed), "period", start, end)
 
     def part_master(self) -> DataFrame:
-        small = F.col("p_size") < 10
-        return self._part_names().select(
-            F.explode(F.array(*[F.lit(c) for c in COMPANIES])).alias("company"),
-            "part_num",
-            F.when((F.col("p_type") == "ECONOMY") & small, "RAW")
-            .when((F.col("p_type") == "SMALL") & small, "CSM")
-            .when(F.col("p_type") == "PROMO", "MFG")
-            .otherwise("PUR")
-            .alias("class_id"),
-            (F.col("pk") % 17 == 0).alias("inactive"),
-            (F.col("pk") % 23 == 0).alias("runout"),
-            F.col("p_brand").alias("prod_code"),
+        companies = ", ".join(f"'{c}'" for c in COMPANIES)
+        return self._once(
+            ("part_master",),
+            lambda: self._part_names().selectExpr(
+                f"explode(array({companies})) as company",
+                "part_num",
+                "case when p_type = 'ECONOMY' and p_size < 10 then 'RAW' when p_type = 'SMALL' and p_size < 10 then"
+                " 'CSM' when p_type = 'PROMO' then 'MFG' else 'PUR' end as class_id",
+                "pk % 17 = 0 as inactive",
+                "pk % 23 = 0 as runout",
+                "p_brand as prod_code",
+            ),
         )
 
     def _part_at_site(self) -> DataFrame:
-        sites = F.array(
-            *[
-                F.struct(F.lit(n).alias("n"), F.lit(company).alias("company"), F.lit(plant).alias("plant"))
-                for n, company, plant, _, _ in SITES
-            ]
-        )
-        return self._part_names().select("pk", "part_num", "p_size", F.inline(sites))
+        sites = ", ".join(f"struct({n} as n, '{company}' as company, '{plant}' as plant)" for n, company, plant, *_ in SITES)
+        return self._part_names().selectExpr("pk", "part_num", "p_size", f"inline(array({sites}))")
 
     def part_site(self) -> DataFrame:
-        return (
-            self._part_at_site()
-            .where(F.col("pk") % 50 != 0)
-            .select(
-                "company",
-                "part_num",
-                "plant",
-                ((F.col("pk") + F.col("n")) % 13 == 0).alias("non_stock"),
-                (F.col("pk") * 16 + F.col("n")).alias("row_id"),
-            )
+        return self._once(
+            ("part_site",),
+            lambda: self._part_at_site()
+            .where("pk % 50 <> 0")
+            .selectExpr("company", "part_num", "plant", "(pk + n) % 13 = 0 as non_stock", "pk * 16 + n as row_id"),
         )
 
     def part_site_ud(self) -> DataFrame:
-        return (
-            self._part_at_site()
-            .where(F.col("pk") % 60 != 0)
-            .select(
-                (F.col("pk") * 16 + F.col("n")).alias("foreign_row_id"),
-                (F.col("p_size") % 12).alias("method_code"),
-            )
+        return self._once(
+            ("part_site_ud",),
+            lambda: self._part_at_site()
+            .where("pk % 60 <> 0")
+            .selectExpr("pk * 16 + n as foreign_row_id", "p_size % 12 as method_code"),
         )
 
     def method_codes(self) -> DataFrame:
         names = ("company", "code_type", "code_id", "code_desc")
         schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
-        return small_frame(self._spark, schema, [(c, *code) for c in COMPANIES for code in CODES])
+        return self._once(
+            ("method_codes",),
+            lambda: small_frame(self._spark, schema, [(c, *code) for c in COMPANIES for code in CODES]),
+        )
