@@ -59,6 +59,19 @@ def _next_month(day: date) -> date:
     return _month_start(_month_start(day) + timedelta(days=32))
 
 
+def _sql_text(value: str | None) -> str:
+    return "cast(null as string)" if value is None else f"'{value}'"
+
+
+# the nine sites as a literal array, indexed by site number: no join and no shuffle to look one up
+_SITE_ARRAY = "array({})".format(
+    ", ".join(
+        f"named_struct('n', {n}, 'company', '{company}', 'plant', '{plant}', 'fc_location', {_sql_text(fc_location)})"
+        for n, company, plant, _, fc_location in SITES
+    )
+)
+
+
 class DerivedSource(Source):
     """Usage and forecast are aggregates by their own grain, so no compare key can be hot."""
 
@@ -78,13 +91,6 @@ class DerivedSource(Source):
     def read(self, name: str) -> DataFrame:
         return self._once(("file", name), lambda: self._spark.read.parquet(f"{self._dir}/{name}.parquet"))
 
-    def _sites(self) -> DataFrame:
-        schema = T.StructType(
-            [T.StructField("n", T.IntegerType())]
-            + [T.StructField(c, T.StringType()) for c in ("company", "plant", "location", "fc_location")]
-        )
-        return self._once(("sites",), lambda: F.broadcast(small_frame(self._spark, schema, SITES)))
-
     def _part_names(self) -> DataFrame:
         return self._once(
             ("part names",),
@@ -132,9 +138,9 @@ class DerivedSource(Source):
         )
         usage = (
             grouped.join(self._part_names(), "pk")
-            .join(self._sites(), "n")
+            .selectExpr("*", f"{_SITE_ARRAY}[n] as site")
             .selectExpr(
-                "concat_ws('_', company, plant, part_num) as site_part_key",
+                "concat_ws('_', site.company, site.plant, part_num) as site_part_key",
                 "period_end",
                 *[f"qty_{c}" for c in conditions],
                 *[f"cnt_{c}" for c in conditions],
@@ -153,7 +159,8 @@ class DerivedSource(Source):
         by_month = (
             self._lines(first_day, None if end is None else _next_month(end))
             .where("pk % 11 <> 0 and not (pk % 9 = 0 and period_end >= date'2000-10-01')")
-            .join(self._sites(), "n")
+            .selectExpr("*", f"{_SITE_ARRAY}[n] as site")
+            .selectExpr("*", "site.company as company", "site.plant as plant", "site.fc_location as fc_location")
             .where("company <> 'WEST'")
             .groupBy("pk", "company", "fc_location", F.expr("trunc(period_end, 'MM') as period"))
             .agg(
@@ -200,8 +207,7 @@ class DerivedSource(Source):
         )
 
     def _part_at_site(self) -> DataFrame:
-        sites = ", ".join(f"struct({n} as n, '{company}' as company, '{plant}' as plant)" for n, company, plant, *_ in SITES)
-        return self._part_names().selectExpr("pk", "part_num", "p_size", f"inline(array({sites}))")
+        return self._part_names().selectExpr("pk", "part_num", "p_size", f"inline({_SITE_ARRAY})")
 
     def part_site(self) -> DataFrame:
         return self._once(
