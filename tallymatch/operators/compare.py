@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallymatch import schema
 from tallymatch.config import CategoryLabels, ReconConfig
 from tallymatch.functions.variance import amount_or_zero, category_flags, variance_category, variance_percent
+from tallymatch.operators.lookup import lookup
 from tallymatch.operators.metadata import METADATA_FLAGS
 
 
@@ -56,10 +57,14 @@ def full_outer(
         *[F.col(f"u.{c}").alias(c) for c in usage_values],
         *[F.col(f"f.{c}").alias(c) for c in forecast_values],
     )
-    forecast_keys = forecast.select(*keys).distinct().alias("f")
-    usage_keys = usage.select(*keys).distinct().alias("u")
-    only_usage = u.join(forecast_keys, condition, "left_anti").select(*keys, *usage_values)
-    only_forecast = f.join(usage_keys, condition, "left_anti").select(*keys, *forecast_values)
+
+    def keys_of(df: DataFrame) -> DataFrame:
+        # without null keys on the right, the null-safe lookup below never matches one
+        found = df.select(*keys).distinct()
+        return found if null_safe else found.dropna()
+
+    only_usage = lookup(usage, keys_of(forecast), keys, "left_anti")
+    only_forecast = lookup(forecast, keys_of(usage), keys, "left_anti")
     order = [*keys, *usage_values, *forecast_values, "in_usage", "in_forecast"]
     return (
         marked(both, True, True)

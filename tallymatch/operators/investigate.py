@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from tallymatch import schema
 from tallymatch.config import ReconConfig
 from tallymatch.functions.calendar import month_end
+from tallymatch.operators.lookup import lookup
 from tallymatch.operators.metadata import code_number, total_units
 from tallymatch.operators.normalize import normalize_key_text, parse_key, reverse_map_site, usage_rule
 from tallymatch.sources.derived import small_frame
@@ -146,6 +147,7 @@ def verify(cases: DataFrame, usage: DataFrame, forecast: DataFrame, cfg: ReconCo
         .groupBy(*schema.USAGE_KEY, F.to_date("period_end").alias("period"))
         .agg(F.min(F.struct(F.col("actual_usage").isNull(), "actual_usage")).alias("first"))
         .select(*CASE_KEY, F.col("first.actual_usage").alias("found_actual"))
+        .dropna(subset=schema.USAGE_KEY)
     )
     sent = normalize_key_text(
         forecast.select(
@@ -162,10 +164,11 @@ def verify(cases: DataFrame, usage: DataFrame, forecast: DataFrame, cfg: ReconCo
     first_sent = sent.groupBy("company", "part_num", "period").agg(
         F.min_by("qty", F.struct("location", "sent_period", "qty")).alias("found_forecast")
     )
+    first_sent = first_sent.dropna(subset=["company", "part_num"])
     found = (
         cases.select(*case, "actual_usage", "forecast_usage")
-        .join(used, CASE_KEY, "left")
-        .join(first_sent, ["company", "part_num", "period"], "left")
+        .transform(lookup, used, CASE_KEY)
+        .transform(lookup, first_sent, ["company", "part_num", "period"])
         .withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("found_actual", "found_forecast")})
     )
     actual_ok = F.col("found_actual") == F.col("actual_usage")
@@ -249,8 +252,8 @@ def root_cause(
     )
     return (
         cases.select(*CASE_KEY, "location", "actual_usage", "forecast_usage", "variance_category")
-        .join(evidence, CASE_KEY, "left")
-        .join(presence.select("company", "part_num", "ever_in_forecast"), ["company", "part_num"], "left")
+        .transform(lookup, evidence, CASE_KEY)
+        .transform(lookup, presence.select("company", "part_num", "ever_in_forecast"), ["company", "part_num"])
         .withColumns(
             {
                 "total_12mo": F.coalesce("total_12mo", F.lit(0.0)),

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tallymatch import schema
 from tallymatch.config import ReconConfig
+from tallymatch.operators.lookup import lookup
 from tallymatch.operators.normalize import normalize_key_text, parse_key
 from tallymatch.sources.tables import bounded
 
@@ -72,14 +73,12 @@ def _guarded(grouped: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def enrich_metadata(usage: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Left lookup of the metadata flags. Metadata keys are never null, so null usage keys find nothing."""
-    return usage.join(unique_metadata(metadata, METADATA_FLAGS), schema.USAGE_KEY, "left").select(
-        *usage.columns, *METADATA_FLAGS
-    )
+    """Left lookup of the metadata flags; unknown keys get nulls."""
+    return lookup(usage, unique_metadata(metadata, METADATA_FLAGS), schema.USAGE_KEY)
 
 
 def apply_exclusions(usage: DataFrame, metadata: DataFrame, cfg: ReconConfig) -> DataFrame:
-    return usage.join(exclusion_keys(metadata, cfg), schema.USAGE_KEY, "left_anti").select(*usage.columns)
+    return lookup(usage, exclusion_keys(metadata, cfg), schema.USAGE_KEY, "left_anti")
 
 
 def tran_totals(usage: DataFrame) -> DataFrame:
@@ -121,10 +120,8 @@ def frequent_enough(cfg: ReconConfig) -> Column:
 
 
 def with_frequency(usage: DataFrame, counts: DataFrame) -> DataFrame:
-    return (
-        usage.join(counts, schema.USAGE_KEY, "left")
-        .withColumn("transaction_count_12mo", F.coalesce("transaction_count_12mo", F.lit(0)))
-        .select(*usage.columns, "transaction_count_12mo")
+    return lookup(usage, counts, schema.USAGE_KEY).withColumn(
+        "transaction_count_12mo", F.coalesce("transaction_count_12mo", F.lit(0))
     )
 
 
@@ -142,9 +139,8 @@ def frequency_usage(source, cfg: ReconConfig) -> DataFrame:
 def key_facts(metadata: DataFrame, usage_rows: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Everything the pipeline asks per (company, plant, part), in one row per key and one shuffle.
 
-    Metadata flags, the exclusion verdict and the look-back count share their key. Chaining three joins on that key
-    would leave usage in one partitioning that adaptive execution may not split for the second and third join, so a
-    hot part would stay in one task. Here both inputs are aggregated together, and usage is joined once.
+    Metadata flags, the exclusion verdict and the look-back count share their key. Both inputs are aggregated
+    together, and usage, the large side, is shuffled and joined once instead of three times.
     """
     meta_side = metadata.select(
         *schema.USAGE_KEY,
@@ -165,15 +161,11 @@ def key_facts(metadata: DataFrame, usage_rows: DataFrame, cfg: ReconConfig) -> D
 
 def with_key_facts(usage: DataFrame, facts: DataFrame) -> DataFrame:
     """Usage with metadata flags, ``excluded`` and the look-back count; keys without facts count 0, not excluded."""
-    return (
-        usage.join(facts, schema.USAGE_KEY, "left")
-        .withColumns(
-            {
-                "excluded": F.coalesce("excluded", F.lit(False)),
-                "transaction_count_12mo": F.coalesce("transaction_count_12mo", F.lit(0)),
-            }
-        )
-        .select(*usage.columns, *METADATA_FLAGS, "excluded", "transaction_count_12mo")
+    return lookup(usage, facts, schema.USAGE_KEY).withColumns(
+        {
+            "excluded": F.coalesce("excluded", F.lit(False)),
+            "transaction_count_12mo": F.coalesce("transaction_count_12mo", F.lit(0)),
+        }
     )
 
 
@@ -280,6 +272,8 @@ def code_number(code_id: Column) -> Column:
 
 
 def exclude_listed(parsed_usage: DataFrame, reasons: DataFrame) -> DataFrame:
-    """NOT EXISTS over the reason list; its keys are made distinct first, so that side cannot be hot."""
-    keys = reasons.select(*schema.USAGE_KEY).distinct()
-    return parsed_usage.join(keys, schema.USAGE_KEY, "left_anti").select(*parsed_usage.columns)
+    """NOT EXISTS over the reason list; its keys are made distinct first, so that side cannot be hot.
+
+    Usage has no null key here (the company filter dropped them), so a null-safe match finds the same rows.
+    """
+    return lookup(parsed_usage, reasons.select(*schema.USAGE_KEY).distinct(), schema.USAGE_KEY, "left_anti")

@@ -9,6 +9,7 @@ from datetime import date
 import pytest
 
 from tallymatch.operators import compare as cmp
+from tallymatch.operators.lookup import lookup
 from tallymatch.schema import COMPARE_KEY
 
 JAN = date(2000, 1, 31)
@@ -122,21 +123,9 @@ def test_view_rows_repeat_per_reason(spark, cfg):
     }
 
 
-def test_a_third_of_all_rows_on_one_key_is_split(spark, cfg, tmp_path):
-    """All malformed keys share one compare key. The pieces of the split join are cut by adaptive execution."""
-    n = 200_000
-    usage = spark.range(n).selectExpr(
-        "'NORTH' as company",
-        "'UNMAPPED_LOCATION_NORTH_None' as location",
-        "if(id % 3 = 0, null, concat('P_', id)) as part_num",
-        "date'2000-01-31' as period",
-        "cast(id as double) as actual_usage",
-    )
-    forecast = usage.where("part_num is null").limit(2).unionByName(usage.where("part_num is not null and actual_usage % 5 = 1")).selectExpr(
-        "company", "location", "part_num", "period", "1.0D as forecast_usage"
-    )
-    usage.write.parquet(str(tmp_path / "u"))
-    forecast.write.parquet(str(tmp_path / "f"))
+@pytest.fixture()
+def tight_skew(spark):
+    """Thresholds so low that a small sample counts as skewed, and no broadcast."""
     tight = {
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
@@ -145,25 +134,65 @@ def test_a_third_of_all_rows_on_one_key_is_split(spark, cfg, tmp_path):
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     }
     before = {k: spark.conf.get(k, None) for k in tight}
-    try:
-        for k, v in tight.items():
+    for k, v in tight.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        if v is None:
+            spark.conf.unset(k)
+        else:
             spark.conf.set(k, v)
-        # several files, so that the shuffle has map outputs to split by
-        u, f = spark.read.parquet(str(tmp_path / "u")), spark.read.parquet(str(tmp_path / "f"))
-        plain = cmp.full_outer(u, f, COMPARE_KEY, True, unique_grain=True)
-        split = cmp.full_outer(u, f, COMPARE_KEY, True, unique_grain=False)
-
-        def digest(df):
-            return tuple(
-                df.selectExpr(
-                    "count(*)", "count_if(in_usage)", "count_if(in_forecast)", "sum(hash(part_num, actual_usage, in_forecast))"
-                ).first()
-            )
-
-        assert digest(split) == digest(plain)
-        rows = split.toArrow()
-        assert rows.num_rows == plain.count()
-        assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture()
+def hot(spark, tmp_path):
+    """A third of the usage rows have a malformed key, so they share one compare key."""
+    usage = spark.range(200_000).selectExpr(
+        "'NORTH' as company",
+        "'UNMAPPED_LOCATION_NORTH_None' as location",
+        "if(id % 3 = 0, null, concat('P_', id)) as part_num",
+        "date'2000-01-31' as period",
+        "cast(id as double) as actual_usage",
+    )
+    some = usage.where("part_num is null").limit(2)
+    some = some.unionByName(usage.where("part_num is not null and actual_usage % 5 = 1"))
+    forecast = some.selectExpr("company", "location", "part_num", "period", "1.0D as forecast_usage")
+    # several files, so that the shuffle has map outputs to split by
+    usage.write.parquet(str(tmp_path / "u"))
+    forecast.write.parquet(str(tmp_path / "f"))
+    return spark.read.parquet(str(tmp_path / "u")), spark.read.parquet(str(tmp_path / "f"))
+
+
+def _skew_joins(df) -> list[str]:
+    df.toArrow()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return [line for line in plan.splitlines() if "skew=true" in line]
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+def test_a_hot_compare_key_is_split(hot, tight_skew, null_safe):
+    usage, forecast = hot
+    plain = cmp.full_outer(usage, forecast, COMPARE_KEY, null_safe, unique_grain=True)
+    split = cmp.full_outer(usage, forecast, COMPARE_KEY, null_safe, unique_grain=False)
+
+    def digest(df):
+        sums = "sum(hash(part_num, actual_usage, in_forecast))"
+        return tuple(df.selectExpr("count(*)", "count_if(in_usage)", "count_if(in_forecast)", sums).first())
+
+    assert digest(split) == digest(plain)
+    found = _skew_joins(split)
+    assert any("LeftAnti" in line for line in found)
+    assert not null_safe or any("Inner" in line for line in found)
+    assert not _skew_joins(plain)
+
+
+def test_a_hot_part_is_split_in_lookups(hot, tight_skew, cfg):
+    usage, _ = hot
+    usage = usage.selectExpr("company", "'LA' as plant", "coalesce(part_num, 'hot') as part_num", "location")
+    facts = usage.groupBy("company", "plant", "part_num").agg({"location": "max"}).withColumnsRenamed(
+        {"max(location)": "non_stock"}
+    )
+    for how in ("left", "left_anti"):
+        some = facts.where("part_num like '%7' or part_num = 'hot'") if how == "left" else facts.where("part_num like '%7'")
+        joined = lookup(usage, some, ["company", "plant", "part_num"], how)
+        assert _skew_joins(joined)
