@@ -158,9 +158,7 @@ def compare_view(
     )
     if part_master is None:
         return reasoned
-    return reasoned.join(
-        part_master.select("company", "part_num", "prod_code"), ["company", "part_num"], "left"
-    )
+    return reasoned.join(part_master.select(*schema.PART_KEY, "prod_code"), schema.PART_KEY, "left")
 
 
 def add_flags(compared: DataFrame, labels: CategoryLabels) -> DataFrame:
@@ -168,7 +166,10 @@ def add_flags(compared: DataFrame, labels: CategoryLabels) -> DataFrame:
 
 
 RESULT_COLUMNS = [
-    *schema.COMPARE_KEY,
+    "company",
+    "location",
+    "part_num",
+    "period",
     "actual_usage",
     *METADATA_FLAGS,
     "transaction_count_12mo",

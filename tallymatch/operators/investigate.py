@@ -14,7 +14,7 @@ from tallymatch.operators.metadata import code_number, total_units
 from tallymatch.operators.normalize import normalize_key_text, parse_key, reverse_map_site, usage_rule
 from tallymatch.sources.derived import small_frame
 
-CASE_KEY = ["company", "plant", "part_num", "period"]
+CASE_KEY = ["part_num", "period", "plant", "company"]
 
 # Owner, verdict, priority (null = by usage volume) and severity of each root cause.
 ROOT_CAUSES = [
@@ -116,7 +116,7 @@ def _mean(total: str, count: str) -> Column:
 def forecast_presence(cases: DataFrame, forecast: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Forecast rows ever sent for the company and part of each case, whatever the location."""
     sent = normalize_key_text(
-        forecast.select("company", F.col("product").alias("part_num"), "period", "qty"), ["company", "part_num"], cfg
+        forecast.select("company", F.col("product").alias("part_num"), "period", "qty"), schema.PART_KEY, cfg
     )
     by_part = sent.groupBy("company", "part_num").agg(
         F.count("*").alias("forecast_rows"),
@@ -125,7 +125,7 @@ def forecast_presence(cases: DataFrame, forecast: DataFrame, cfg: ReconConfig) -
         F.sum("qty").alias("total_qty"),
     )
     parts = cases.select("company", "part_num").distinct()
-    return parts.join(by_part, ["company", "part_num"], "left").select(
+    return parts.join(by_part, schema.PART_KEY, "left").select(
         "company",
         "part_num",
         F.coalesce("forecast_rows", F.lit(0)).alias("forecast_rows"),
@@ -158,17 +158,17 @@ def verify(cases: DataFrame, usage: DataFrame, forecast: DataFrame, cfg: ReconCo
             F.to_date("period").alias("sent_period"),
             "qty",
         ),
-        ["company", "part_num"],
+        schema.PART_KEY,
         cfg,
     )
     first_sent = sent.groupBy("company", "part_num", "period").agg(
         F.min_by("qty", F.struct("location", "sent_period", "qty")).alias("found_forecast")
     )
-    first_sent = first_sent.dropna(subset=["company", "part_num"])
+    first_sent = first_sent.dropna(subset=schema.PART_KEY)
     found = (
         cases.select(*case, "actual_usage", "forecast_usage")
         .transform(lookup, used, CASE_KEY)
-        .transform(lookup, first_sent, ["company", "part_num", "period"])
+        .transform(lookup, first_sent, ["part_num", "period", "company"])
         .withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("found_actual", "found_forecast")})
     )
     actual_ok = F.col("found_actual") == F.col("actual_usage")
@@ -187,7 +187,7 @@ def criteria(
     towards ``any_failed`` only where metadata exists. The method code is no criterion here.
     """
     described = normalize_key_text(
-        part_master.join(part_site, ["company", "part_num"]).select(
+        part_master.join(part_site, schema.PART_KEY).select(
             *schema.USAGE_KEY, "class_id", "inactive", "runout", "non_stock"
         ),
         schema.USAGE_KEY,
@@ -253,7 +253,7 @@ def root_cause(
     return (
         cases.select(*CASE_KEY, "location", "actual_usage", "forecast_usage", "variance_category")
         .transform(lookup, evidence, CASE_KEY)
-        .transform(lookup, presence.select("company", "part_num", "ever_in_forecast"), ["company", "part_num"])
+        .transform(lookup, presence.select(*schema.PART_KEY, "ever_in_forecast"), schema.PART_KEY)
         .withColumns(
             {
                 "total_12mo": F.coalesce("total_12mo", F.lit(0.0)),

@@ -19,7 +19,7 @@ def scan_part_metadata(source, cfg: ReconConfig) -> DataFrame:
     """Part, plant and method rows of the run's companies; parts without a plant or method row drop out."""
     parts = source.part_master().where(F.col("company").isin(*cfg.companies))
     metadata = (
-        parts.join(source.part_site(), ["company", "part_num"])
+        parts.join(source.part_site(), schema.PART_KEY)
         .join(source.part_site_ud(), F.col("row_id") == F.col("foreign_row_id"))
         .select(
             "company",
@@ -65,7 +65,7 @@ def unique_metadata(metadata: DataFrame, columns: list[str]) -> DataFrame:
 
 def _guarded(grouped: DataFrame, columns: list[str]) -> DataFrame:
     message = F.concat(
-        F.lit("duplicate part metadata for "), F.concat_ws("/", *[F.col(c) for c in schema.USAGE_KEY])
+        F.lit("duplicate part metadata for "), F.concat_ws("/", "company", "plant", "part_num")
     )
     return grouped.withColumns(
         {c: F.when(F.col("__rows") > 1, F.raise_error(message)).otherwise(F.col(c)) for c in columns}
@@ -241,7 +241,7 @@ def exclusion_reasons(source, low_usage: DataFrame, cfg: ReconConfig) -> DataFra
     by_part = (
         source.part_master()
         .where(companies)
-        .join(sites, ["company", "part_num"])
+        .join(sites, schema.PART_KEY)
         .select("company", "plant", "part_num", F.inline(F.filter(candidates, lambda c: c.isNotNull())))
     )
     codes = source.method_codes().where(
@@ -260,7 +260,7 @@ def exclusion_reasons(source, low_usage: DataFrame, cfg: ReconConfig) -> DataFra
     by_usage = (
         low_usage.where(companies)
         .select("company", "part_num")
-        .join(sites, ["company", "part_num"])
+        .join(sites, schema.PART_KEY)
         .select("company", "plant", "part_num", F.lit(5).alias("list_no"), low_reason.alias("reason"))
     )
     return by_part.unionByName(by_method).unionByName(by_usage).distinct()

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-USAGE_KEY = ["company", "plant", "part_num"]
-COMPARE_KEY = ["company", "location", "part_num", "period"]
+# Join keys, the most distinct one first: a sort compares the first bytes of its first key before anything else, and a
+# handful of companies would leave every comparison to the slow path.
+USAGE_KEY = ["part_num", "plant", "company"]
+PART_KEY = ["part_num", "company"]
+COMPARE_KEY = ["part_num", "period", "location", "company"]
 QTY_COLUMNS = ["qty_a", "qty_b", "qty_c", "qty_d"]
 COUNT_COLUMNS = ["cnt_a", "cnt_b", "cnt_c", "cnt_d"]
 

@@ -191,6 +191,9 @@ class DerivedSource(Source):
         )
         return bounded(by_month.unionByName(fixed), "period", start, end)
 
+    # The three part tables multiply the part rows after the scan. Size estimates ignore that and would broadcast
+    # tables many times the threshold, so their joins are told to shuffle.
+
     def part_master(self) -> DataFrame:
         companies = ", ".join(f"'{c}'" for c in COMPANIES)
         return self._once(
@@ -203,7 +206,7 @@ class DerivedSource(Source):
                 "pk % 17 = 0 as inactive",
                 "pk % 23 = 0 as runout",
                 "p_brand as prod_code",
-            ),
+            ).hint("merge"),
         )
 
     def _part_at_site(self) -> DataFrame:
@@ -214,7 +217,8 @@ class DerivedSource(Source):
             ("part_site",),
             lambda: self._part_at_site()
             .where("pk % 50 <> 0")
-            .selectExpr("company", "part_num", "plant", "(pk + n) % 13 = 0 as non_stock", "pk * 16 + n as row_id"),
+            .selectExpr("company", "part_num", "plant", "(pk + n) % 13 = 0 as non_stock", "pk * 16 + n as row_id")
+            .hint("merge"),
         )
 
     def part_site_ud(self) -> DataFrame:
@@ -222,7 +226,8 @@ class DerivedSource(Source):
             ("part_site_ud",),
             lambda: self._part_at_site()
             .where("pk % 60 <> 0")
-            .selectExpr("pk * 16 + n as foreign_row_id", "p_size % 12 as method_code"),
+            .selectExpr("pk * 16 + n as foreign_row_id", "p_size % 12 as method_code")
+            .hint("merge"),
         )
 
     def method_codes(self) -> DataFrame:
