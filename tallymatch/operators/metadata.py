@@ -50,7 +50,7 @@ def exclusion_predicate(metadata: DataFrame, cfg: ReconConfig) -> Column:
 
 
 def exclusion_keys(metadata: DataFrame, cfg: ReconConfig) -> DataFrame:
-    return metadata.where(exclusion_predicate(metadata, cfg)).select(*schema.USAGE_KEY).distinct()
+    return metadata.where(exclusion_predicate(metadata, cfg)).select("company", "plant", "part_num").distinct()
 
 
 def unique_metadata(metadata: DataFrame, columns: list[str]) -> DataFrame:
