@@ -1,6 +1,6 @@
 """spark-submit entry point: reconcile, print the summary, save.
 
-    spark-submit -m tallymatch.cli --config conf/example.json --tables hdfs:///recon/tables --out hdfs:///recon/out
+    spark-submit --py-files tallymatch.zip tallymatch/cli.py --config conf/example.json --tables hdfs:///recon/tables --out hdfs:///recon/out
 """
 
 from __future__ import annotations

@@ -76,11 +76,13 @@ def usage_history(cases: DataFrame, usage: DataFrame, cfg: ReconConfig) -> DataF
     )
     key = ", ".join(schema.USAGE_KEY)
     since = (
-        f"over (partition by {key} order by period "
-        f"range between interval {cfg.lookback_months} month preceding and unbounded following)"
+        # newest first: the frame then only grows from row to row, while one that reaches to the end of the group is
+        # summed up anew for every row
+        f"over (partition by {key} order by period desc "
+        f"range between unbounded preceding and interval {cfg.lookback_months} month following)"
     )
     # same partitioning and order, so both frames share one sort
-    ever = f"over (partition by {key} order by period range between unbounded preceding and unbounded following)"
+    ever = f"over (partition by {key} order by period desc range between unbounded preceding and unbounded following)"
     return (
         stacked.select(
             *CASE_KEY,

@@ -14,7 +14,8 @@ PAGE_SIZE = 20
 
 
 def run_id_of(ts: Column) -> Column:
-    return F.date_format(ts, "yyyyMMdd_HHmmss")
+    """``yyyyMMdd_HHmmss`` from the text of the timestamp, so that a zoneless one is not shifted by a zone."""
+    return F.translate(F.substring(ts.cast("string"), 1, 19), " -:", "_")
 
 
 def latest_state(

@@ -12,7 +12,11 @@ from tallymatch.operators import investigate as inv
 
 @dataclass(frozen=True)
 class Investigation:
-    """The evidence frames of one run, all lazy. History and presence read the whole tables, not the run range."""
+    """The evidence frames of one run, all lazy. History and presence read the whole tables, not the run range.
+
+    Several branches read the flagged rows, so ``of`` wants a result that is stored (``sinks.written`` or the files of
+    a job); a lazy one would be computed once per branch.
+    """
 
     cases: DataFrame
     history: DataFrame
