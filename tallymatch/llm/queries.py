@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymatch.llm import near_dedup
+from tallymatch.llm import embedding_dedup, near_dedup, secret_scan, token_counts
 from tallymatch.llm.storage import on_executors, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +32,18 @@ def query(run: Query) -> Query:
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
+
+
+@query
+def op1_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.span_digest(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
