@@ -8,7 +8,17 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallymatch.llm import decontamination, embedding_dedup, near_dedup, quality, secret_scan, token_counts, toxicity
+from tallymatch.llm import (
+    decontamination,
+    embedding_dedup,
+    near_dedup,
+    piece_coding,
+    quality,
+    secret_scan,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from tallymatch.llm.storage import on_executors, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,3 +75,13 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 SQL["op2_benchmark_decontamination"] = decontamination.SQL
+
+
+@query
+def op5_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_coding.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
