@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallymatch.llm import (
     decontamination,
     embedding_dedup,
+    license_scan,
     near_dedup,
     piece_coding,
     quality,
@@ -85,3 +86,8 @@ def op5_piece_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_statements(table(spark, sf_dir, "documents"))
