@@ -201,6 +201,7 @@ left join (select company, part_num, period, qty as found from (
     "investigate_history": "select * from history",
     "investigate_presence": "select * from presence",
     "investigate_criteria": "select * from checked",
+    "investigate_chosen": "select * from chosen_diagnosed",
     "root_cause": "select * from diagnosed",
     "root_cause_exclusions_off": "select * from diagnosed_off",
     "root_cause_priority": """select d.*, owner, verdict, severity,
@@ -222,7 +223,7 @@ from diagnosed d join (values
  actual_usage > 0 and forecast_usage > 0 and not should_be_excluded as forecast_variance from diagnosed""",
     "part_forecast_lookup": "select * from forecast_raw where product = 'P_1'",
     "part_usage_lookup": """select site_part_key, period_end, sum(qty_a + qty_b + qty_c) as total_usage from usage_raw
-where contains(site_part_key, 'P_1') group by 1, 2 order by period_end desc, site_part_key limit 1000""",
+where contains(site_part_key, 'P_1') group by 1, 2""",
     "part_exemption_lookup": """select u.method_code, c.code_desc, s.company, s.plant, s.part_num, s.non_stock, s.row_id
 from part_site s join part_site_ud u on u.foreign_row_id = s.row_id
 join method_codes c on c.company = s.company and c.code_type = 'Methods'

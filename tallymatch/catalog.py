@@ -439,15 +439,25 @@ def view_single_period(s):
 # --- investigation -----------------------------------------------------------------------------------------------
 
 
-def _investigation(s: DerivedSource) -> Investigation:
-    return Investigation.of(s, written(run.reconcile(s, CONFIG)), CONFIG)
+def _investigation(s: DerivedSource, keys: DataFrame | None = None) -> Investigation:
+    return Investigation.of(s, written(run.reconcile(s, CONFIG, keep_plant=True)), CONFIG, keys)
 
 
 @query
 def investigate_verify(s):
-    # the lookups compare a case with its own period only, so they read the run range
-    found = _investigation(s)
-    return inv.verify(found.cases, nz.scan_usage(s, CONFIG), nz.scan_forecast(s, CONFIG), CONFIG)
+    # against the whole tables: a run that starts within a month sees only part of them
+    return inv.verify(_investigation(s).cases, s.usage(), s.forecast(), CONFIG)
+
+
+@query
+def investigate_chosen(s):
+    """Rows of chosen parts, at every location and month they were forecast for."""
+    parts = s.read("part").where("p_size = 7").selectExpr("p_partkey")
+    names = parts.selectExpr("concat('P_', cast(p_partkey as string), if(p_partkey % 97 = 0, '?', '')) as part_num")
+    sent = s.forecast().select(
+        "company", "location", F.col("product").alias("part_num"), cal.month_end(F.col("period")).alias("period")
+    )
+    return _investigation(s, sent.join(names, "part_num", "left_semi")).root_cause()
 
 
 @query

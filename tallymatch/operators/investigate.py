@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 from tallymatch import schema
 from tallymatch.config import ReconConfig
 from tallymatch.functions.calendar import month_end
+from tallymatch.functions.variance import amount_or_zero
 from tallymatch.operators.lookup import lookup
-from tallymatch.operators.metadata import code_number, total_units
+from tallymatch.operators.metadata import code_number, total_units, unique_metadata
 from tallymatch.operators.normalize import normalize_key_text, parse_key, reverse_map_site, usage_rule
-from tallymatch.sources.derived import small_frame
+from tallymatch.sources.literal import small_frame
 
 CASE_KEY = ["part_num", "period", "plant", "company"]
 
@@ -41,9 +42,31 @@ MEDIUM_VOLUME = 10
 STANDARD_CLASSES = ["PUR", "MFG"]
 
 
+def with_plant(result: DataFrame, cfg: ReconConfig) -> DataFrame:
+    """Result rows with the plant to look them up at: that of the usage row, or, for rows without usage, the one their
+    location stands for. A result that was written without plants has only the latter."""
+    if "plant" not in result.columns:
+        return reverse_map_site(result, cfg)
+    mapped = reverse_map_site(result.withColumnRenamed("plant", "__used_plant"), cfg)
+    plant = F.when(F.col("in_usage"), F.col("__used_plant")).otherwise(F.col("plant"))
+    return mapped.withColumn("plant", plant).drop("__used_plant", "in_usage")
+
+
 def flagged(result: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """Rows that are no match, with the plant their location stands for."""
-    return reverse_map_site(result.where(F.col("variance_category") != cfg.labels.match), cfg)
+    """Rows that are no match."""
+    return with_plant(result.where(F.col("variance_category") != cfg.labels.match), cfg)
+
+
+def chosen(result: DataFrame, keys: DataFrame, cfg: ReconConfig) -> DataFrame:
+    """Rows, matches too, whose company, part, location and period are in the table ``keys``."""
+    wanted = keys.select(*schema.COMPARE_KEY).distinct()
+    return with_plant(lookup(result, wanted, schema.COMPARE_KEY, "left_semi"), cfg)
+
+
+def of_cases(rows: DataFrame, cases: DataFrame, keys: list[str]) -> DataFrame:
+    """Only the rows with a key of some case. Put before the first shuffle of a whole table: few case keys are broadcast,
+    many are shuffled, and what is grouped and sorted afterwards is as large as the cases are many."""
+    return lookup(rows, cases.select(*keys).distinct(), keys, "left_semi")
 
 
 def case_keys(cases: DataFrame) -> DataFrame:
@@ -63,7 +86,7 @@ def usage_history(cases: DataFrame, usage: DataFrame, cfg: ReconConfig) -> DataF
     group holds one part at one site, so its size is the number of months, however many raw rows there were.
     """
     monthly = (
-        _parsed(usage, cfg)
+        of_cases(_parsed(usage, cfg), cases, schema.USAGE_KEY)
         .groupBy(*schema.USAGE_KEY, F.to_date("period_end").alias("period"))
         .agg(
             F.count("*").alias("n_rows"),
@@ -120,7 +143,7 @@ def forecast_presence(cases: DataFrame, forecast: DataFrame, cfg: ReconConfig) -
     sent = normalize_key_text(
         forecast.select("company", F.col("product").alias("part_num"), "period", "qty"), schema.PART_KEY, cfg
     )
-    by_part = sent.groupBy("company", "part_num").agg(
+    by_part = of_cases(sent, cases, schema.PART_KEY).groupBy("company", "part_num").agg(
         F.count("*").alias("forecast_rows"),
         F.min("period").alias("first_period"),
         F.max("period").alias("last_period"),
@@ -145,7 +168,7 @@ def verify(cases: DataFrame, usage: DataFrame, forecast: DataFrame, cfg: ReconCo
     """
     case = [*CASE_KEY, "location"]
     used = (
-        usage_rule(_parsed(usage, cfg), cfg)
+        usage_rule(of_cases(_parsed(usage, cfg), cases, schema.USAGE_KEY), cfg)
         .groupBy(*schema.USAGE_KEY, F.to_date("period_end").alias("period"))
         .agg(F.min(F.struct(F.col("actual_usage").isNull(), "actual_usage")).alias("first"))
         .select(*CASE_KEY, F.col("first.actual_usage").alias("found_actual"))
@@ -163,7 +186,7 @@ def verify(cases: DataFrame, usage: DataFrame, forecast: DataFrame, cfg: ReconCo
         schema.PART_KEY,
         cfg,
     )
-    first_sent = sent.groupBy("company", "part_num", "period").agg(
+    first_sent = of_cases(sent, cases, schema.PART_KEY).groupBy("company", "part_num", "period").agg(
         F.min_by("qty", F.struct("location", "sent_period", "qty")).alias("found_forecast")
     )
     first_sent = first_sent.dropna(subset=schema.PART_KEY)
@@ -171,7 +194,7 @@ def verify(cases: DataFrame, usage: DataFrame, forecast: DataFrame, cfg: ReconCo
         cases.select(*case, "actual_usage", "forecast_usage")
         .transform(lookup, used, CASE_KEY)
         .transform(lookup, first_sent, ["part_num", "period", "company"])
-        .withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("found_actual", "found_forecast")})
+        .withColumns({c: amount_or_zero(F.col(c), cfg.amount_type) for c in ("found_actual", "found_forecast")})
     )
     actual_ok = F.col("found_actual") == F.col("actual_usage")
     forecast_ok = F.col("found_forecast") == F.col("forecast_usage")
@@ -188,16 +211,17 @@ def criteria(
     The four metadata flags are unset without metadata, the low-usage flag without look-back usage. Low usage counts
     towards ``any_failed`` only where metadata exists. The method code is no criterion here.
     """
+    sites = of_cases(normalize_key_text(part_site, schema.USAGE_KEY, cfg), cases, schema.USAGE_KEY)
     described = normalize_key_text(
-        part_master.join(part_site, schema.PART_KEY).select(
+        normalize_key_text(part_master, schema.PART_KEY, cfg).join(sites, schema.PART_KEY).select(
             *schema.USAGE_KEY, "class_id", "inactive", "runout", "non_stock"
         ),
         schema.USAGE_KEY,
         cfg,
     )
-    # one row per key, so that a doubled metadata row cannot double a case
-    described = described.groupBy(*schema.USAGE_KEY).agg(
-        F.min(F.struct("class_id", "inactive", "runout", "non_stock")).alias("m"), F.lit(True).alias("known")
+    # a doubled metadata row fails the job, as it does in the run
+    described = unique_metadata(described, ["class_id", "inactive", "runout", "non_stock"]).select(
+        *schema.USAGE_KEY, F.struct("class_id", "inactive", "runout", "non_stock").alias("m"), F.lit(True).alias("known")
     )
 
     def when_known(flag: Column) -> Column:
@@ -315,18 +339,18 @@ def part_forecast_lookup(forecast: DataFrame, part_num: str) -> DataFrame:
     return forecast.where(F.col("product") == part_num).orderBy("product", F.desc("period"), "company", "location")
 
 
-def part_usage_lookup(usage: DataFrame, text: str, newest: int = 1000) -> DataFrame:
-    """Monthly totals of all keys containing the text, newest first; the limit is part of the lookup."""
-    return (
+def part_usage_lookup(usage: DataFrame, text: str, newest: int | None = None) -> DataFrame:
+    """Monthly totals of all keys containing the text, newest first; only the ``newest`` rows if that is asked for."""
+    found = (
         usage.where(F.col("site_part_key").contains(text))
         .groupBy("site_part_key", "period_end")
         .agg(F.sum(total_units()).alias("total_usage"))
         .orderBy(F.desc("period_end"), "site_part_key")
-        .limit(newest)
     )
+    return found if newest is None else found.limit(newest)
 
 
-def part_exemption_lookup(source, part_num: str, cfg: ReconConfig, most: int = 1000) -> DataFrame:
+def part_exemption_lookup(source, part_num: str, cfg: ReconConfig) -> DataFrame:
     """Method code and description of a part at each plant."""
     codes = source.method_codes().where(F.col("code_type") == cfg.method_code_type)
     return (
@@ -337,7 +361,6 @@ def part_exemption_lookup(source, part_num: str, cfg: ReconConfig, most: int = 1
         .where(F.col("method_code").cast("double") == F.col("code"))
         .select("method_code", "code_desc", "company", "plant", "part_num", "non_stock", "row_id")
         .orderBy("company", "plant", "code_desc", "row_id")
-        .limit(most)
     )
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def lookup(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """``rows`` with the other columns of ``facts`` (``left``), or without the rows that have facts (``left_anti``).
+    """``rows`` with the other columns of ``facts`` (``left``), only those with facts (``left_semi``), or without them
+    (``left_anti``).
 
     The comparison is null-safe on purpose, also where no key is null. Facts usually come out of an aggregation by the
     same keys. With plain equality the join would take that partitioning over, and adaptive execution splits a hot key
@@ -20,6 +21,6 @@ def lookup(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "l
     same_key = reduce(lambda a, b: a & b, [F.col(f"rows.{k}").eqNullSafe(F.col(f"facts.{k}")) for k in keys])
     joined = rows.alias("rows").join(facts.alias("facts"), same_key, how)
     own = [F.col(f"rows.{c}").alias(c) for c in rows.columns]
-    if how == "left_anti":
+    if how in ("left_semi", "left_anti"):
         return joined.select(*own)
     return joined.select(*own, *[F.col(f"facts.{c}").alias(c) for c in facts.columns if c not in keys])

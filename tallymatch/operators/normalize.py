@@ -9,7 +9,9 @@ from tallymatch import schema
 from tallymatch.config import ReconConfig
 from tallymatch.functions.calendar import month_end
 from tallymatch.functions.keys import key_parts, normalized_text, view_key_parts
-from tallymatch.sources.derived import small_frame
+from tallymatch.sources.literal import small_frame
+
+BROADCAST_ROWS = 5000
 
 
 def parse_key(df: DataFrame, key: str = "site_part_key") -> DataFrame:
@@ -38,9 +40,12 @@ def location_frame(spark: SparkSession, cfg: ReconConfig) -> DataFrame:
 def map_location(df: DataFrame, cfg: ReconConfig) -> DataFrame:
     """Add ``location`` for (company, plant); an unlisted pair gets a name that tells the pair.
 
-    The mapping is the config itself, so its broadcast cannot grow with the data.
+    The mapping is the config itself, so its broadcast cannot grow with the data. Beyond some thousand rows the hint is
+    left out and the planner goes by the size of the table.
     """
     mapping = location_frame(df.sparkSession, cfg).withColumnRenamed("location", "__mapped")
+    if len(cfg.location_rows()) <= BROADCAST_ROWS:
+        mapping = F.broadcast(mapping)
     unmapped = F.concat_ws(
         "_",
         F.lit("UNMAPPED_LOCATION"),
@@ -48,7 +53,7 @@ def map_location(df: DataFrame, cfg: ReconConfig) -> DataFrame:
         F.coalesce("plant", F.lit("None")),
     )
     return (
-        df.join(F.broadcast(mapping), ["company", "plant"], "left")
+        df.join(mapping, ["company", "plant"], "left")
         .withColumn("location", F.coalesce("__mapped", unmapped))
         .select(*df.columns, "location")
     )

@@ -25,8 +25,9 @@ class Investigation:
     cfg: ReconConfig
 
     @classmethod
-    def of(cls, source, result: DataFrame, cfg: ReconConfig) -> Investigation:
-        cases = inv.flagged(result, cfg)
+    def of(cls, source, result: DataFrame, cfg: ReconConfig, keys: DataFrame | None = None) -> Investigation:
+        """All flagged rows, or the rows named by ``keys`` (company, part_num, location, period), flagged or not."""
+        cases = inv.flagged(result, cfg) if keys is None else inv.chosen(result, keys, cfg)
         history = inv.usage_history(cases, source.usage(), cfg)
         presence = inv.forecast_presence(cases, source.forecast(), cfg)
         checked = inv.criteria(cases, history, source.part_master(), source.part_site(), cfg)

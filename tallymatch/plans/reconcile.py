@@ -23,20 +23,22 @@ def prepared_usage(source, cfg: ReconConfig) -> DataFrame:
     )
 
 
-def joined_sides(source, cfg: ReconConfig) -> DataFrame:
+def joined_sides(source, cfg: ReconConfig, keep_plant: bool = False) -> DataFrame:
     forecast = nz.normalize_forecast(nz.scan_forecast(source, cfg), cfg)
-    return cmp.join_sides(prepared_usage(source, cfg), forecast, cfg, source.unique_grain)
+    return cmp.join_sides(prepared_usage(source, cfg), forecast, cfg, source.unique_grain, keep_plant)
 
 
-def reconcile(source, cfg: ReconConfig) -> DataFrame:
+def reconcile(source, cfg: ReconConfig, keep_plant: bool = False) -> DataFrame:
     """The result table: 15 columns, 14 with exclusions off (no look-back count then).
 
     Exclusions apply to usage only. A forecast row of an excluded part therefore stays and shows up as missing from
-    usage.
+    usage. ``keep_plant`` adds ``in_usage`` and the plant of the usage row, which the investigation looks up by; usage
+    summed up over plants has none.
     """
-    measured = cmp.with_variance(joined_sides(source, cfg), cfg).drop("in_usage", "in_forecast")
+    measured = cmp.with_variance(joined_sides(source, cfg, keep_plant), cfg)
     result = cmp.categorize(measured, cfg.labels)
-    return result.select(*[c for c in cmp.RESULT_COLUMNS if c in result.columns])
+    wanted = [*cmp.RESULT_COLUMNS, *(["plant", "in_usage"] if keep_plant else [])]
+    return result.select(*[c for c in wanted if c in result.columns])
 
 
 def reconcile_stepwise(source, cfg: ReconConfig) -> DataFrame:

@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
+from tallymatch.sources.literal import small_frame
 from tallymatch.sources.tables import Source, bounded
 
 # Site number, company, plant, mapped location (null = unmapped), location used by the forecast.
@@ -43,14 +42,6 @@ CODES = [
 ]
 
 
-def small_frame(spark: SparkSession, schema: T.StructType, rows: list[tuple]) -> DataFrame:
-    """A literal table; from Arrow it is a local relation, whose true size the optimizer knows."""
-    columns = list(zip(*rows)) if rows else [[] for _ in schema.fields]
-    arrow = to_arrow_schema(schema)
-    arrays = [pa.array(list(values), f.type) for values, f in zip(columns, arrow)]
-    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=schema)
-
-
 def _month_start(day: date) -> date:
     return day.replace(day=1)
 

@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from tallymatch import schema  # noqa: E402
 from tallymatch.catalog import CONFIG  # noqa: E402
 from tallymatch.sources import FrameSource  # noqa: E402
-from tallymatch.sources.derived import small_frame  # noqa: E402
+from tallymatch.sources.literal import small_frame  # noqa: E402
 
 
 @pytest.fixture(scope="session")
