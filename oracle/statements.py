@@ -183,6 +183,7 @@ from (select month, variance_category, cast(sum(n) as bigint) as n,
     "view_anti_exclusions": "select * from view_usage",
     "view_compare": "select * from view_rows",
     "view_full": f"select {_wide('part_num', True)} from view_rows",
+    "view_hot_keys": f"select {_wide('part_num', True)} from view_rows",
     "view_single_period": f"select {_wide('product_code', False)} from view_rows where period = date '2000-08-31'",
     "investigate_verify": """
 select c.company, c.plant, c.part_num, c.period, c.location, c.actual_usage, c.forecast_usage,

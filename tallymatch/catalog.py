@@ -431,6 +431,13 @@ def view_full(s):
     return view.view_full(s, CONFIG)
 
 
+def _view_hot_keys(spark: SparkSession, directory: str) -> DataFrame:
+    return view.view_full(_UndeclaredGrain(spark, directory), CONFIG)
+
+
+QUERIES["view_hot_keys"] = _view_hot_keys
+
+
 @query
 def view_single_period(s):
     return view.view_single_period(s, CONFIG, SINGLE_PERIOD)

@@ -11,7 +11,7 @@ from tallymatch import schema
 from tallymatch.config import CategoryLabels, ReconConfig
 from tallymatch.functions.variance import amount_or_zero, category_flags, variance_category, variance_percent
 from tallymatch.operators.lookup import lookup
-from tallymatch.operators.metadata import METADATA_FLAGS
+from tallymatch.operators.metadata import METADATA_FLAGS, with_reasons
 
 
 def _match(keys: list[str], null_safe: bool) -> Column:
@@ -140,10 +140,11 @@ def compare_view(
 ) -> DataFrame:
     """Detail-view comparison: null keys never match, one output row per exclusion reason of the resolved key.
 
-    Only rows without usage can have a reason, because listed usage was dropped before.
+    Only rows without usage can have a reason, because listed usage was dropped before. So forecast rows bring the
+    reasons of their key with them into the join, and the wide result is not shuffled for them.
     """
     usage = usage.withColumnRenamed("plant", "usage_plant")
-    forecast = forecast.withColumnRenamed("plant", "forecast_plant")
+    forecast = with_reasons(forecast, reasons).withColumnRenamed("plant", "forecast_plant")
     joined = (
         full_outer(usage, forecast, schema.COMPARE_KEY, null_safe=False, unique_grain=unique_grain)
         .withColumn("plant", F.coalesce("usage_plant", "forecast_plant"))
@@ -151,11 +152,10 @@ def compare_view(
     )
     # the difference is taken on exact zeros-for-null, as the categories are
     measured = categorize(with_variance(joined, cfg), cfg.labels)
-    reasoned = (
-        measured.join(reasons.select(*schema.USAGE_KEY, "reason"), schema.USAGE_KEY, "left")
-        .withColumn("exclusion_reason", F.coalesce("reason", F.lit("Not_Excluded")))
-        .drop("reason", "in_usage", "in_forecast")
-    )
+    own = F.when(~F.col("in_usage"), F.col("reasons"))
+    reasoned = measured.withColumn(
+        "exclusion_reason", F.explode(F.coalesce(own, F.array(F.lit("Not_Excluded"))))
+    ).drop("reasons", "in_usage", "in_forecast")
     if part_master is None:
         return reasoned
     return reasoned.join(part_master.select(*schema.PART_KEY, "prod_code"), schema.PART_KEY, "left")

@@ -190,9 +190,8 @@ def exclusion_impact(usage: DataFrame, facts: DataFrame, cfg: ReconConfig) -> Da
 
 
 def last_forecast_period(source) -> DataFrame:
-    """One row: month end of the newest forecast period. The month end is taken after the max, so the max itself
-    can come from file statistics."""
-    return source.forecast().agg(F.last_day(F.max("period").cast("date")).alias("max_period"))
+    """One row: month end of the newest forecast period, from that one column; no other is read."""
+    return source.last_forecast().select(F.last_day(F.col("last").cast("date")).alias("max_period"))
 
 
 def view_date_bounds(source, cfg: ReconConfig) -> DataFrame:
@@ -204,8 +203,15 @@ def view_date_bounds(source, cfg: ReconConfig) -> DataFrame:
     )
 
 
-def low_usage_parts(parsed_usage: DataFrame, max_period: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """Parts, over all plants, whose units since the look-back start are few; parts without any row are not listed."""
+def low_usage_parts(
+    parsed_usage: DataFrame, max_period: DataFrame, cfg: ReconConfig, parts: DataFrame | None = None
+) -> DataFrame:
+    """Parts, over all plants, whose units since the look-back start are few; parts without any row are not listed.
+
+    With ``parts`` (company, part_num) only those are looked at, and the others dropped before anything is grouped.
+    """
+    if parts is not None:
+        parsed_usage = lookup(parsed_usage, parts, schema.PART_KEY, "left_semi")
     lookback_start = F.add_months(max_period.select("max_period").scalar(), -cfg.lookback_months)
     return (
         parsed_usage.where(F.col("period_end") >= lookback_start)
@@ -215,14 +221,18 @@ def low_usage_parts(parsed_usage: DataFrame, max_period: DataFrame, cfg: ReconCo
     )
 
 
-def exclusion_reasons(source, low_usage: DataFrame, cfg: ReconConfig) -> DataFrame:
+def exclusion_reasons(
+    source, low_usage: DataFrame, cfg: ReconConfig, parts: DataFrame | None = None
+) -> DataFrame:
     """Reasons per (company, plant, part): five lists, each distinct in itself, duplicates across lists kept.
 
     The three lists that read part and plant are produced by one join, and all lists are made distinct in one
-    shuffle with the list number as part of the row.
+    shuffle with the list number as part of the row. With ``parts`` (company, part_num) only their reasons are made.
     """
     companies = F.col("company").isin(*cfg.companies)
-    sites = source.part_site().where(companies)
+    sites, masters = source.part_site().where(companies), source.part_master().where(companies)
+    if parts is not None:
+        sites = lookup(sites, parts, schema.PART_KEY, "left_semi")
 
     def listed(number: int, reason: Column) -> Column:
         return F.struct(F.lit(number).alias("list_no"), reason.alias("reason"))
@@ -239,9 +249,7 @@ def exclusion_reasons(source, low_usage: DataFrame, cfg: ReconConfig) -> DataFra
         F.when(F.col("part_num").contains("?"), listed(4, F.lit("Data Quality Issue"))),
     )
     by_part = (
-        source.part_master()
-        .where(companies)
-        .join(sites, schema.PART_KEY)
+        masters.join(sites, schema.PART_KEY)
         .select("company", "plant", "part_num", F.inline(F.filter(candidates, lambda c: c.isNotNull())))
     )
     codes = source.method_codes().where(
@@ -271,9 +279,22 @@ def code_number(code_id: Column) -> Column:
     return code_id.try_cast("double")
 
 
-def exclude_listed(parsed_usage: DataFrame, reasons: DataFrame) -> DataFrame:
-    """NOT EXISTS over the reason list; its keys are made distinct first, so that side cannot be hot.
+def reason_lists(reasons: DataFrame) -> DataFrame:
+    """One row per (company, plant, part) with its few reasons as an array, in order of list and text."""
+    listed = F.array_sort(F.collect_list(F.struct("list_no", "reason")))
+    return reasons.groupBy(*schema.USAGE_KEY).agg(F.transform(listed, lambda r: r["reason"]).alias("reasons"))
+
 
-    Usage has no null key here (the company filter dropped them), so a null-safe match finds the same rows.
+def with_reasons(rows: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Rows with the array of their key's reasons, null without any.
+
+    Usage and forecast both look reasons up this way. The two lookups need the same columns of the same lists, so the
+    lists are made and shuffled once and the second lookup reuses them. Listed keys have no null piece, so the null-safe
+    match of the lookup never matches one.
     """
-    return lookup(parsed_usage, reasons.select(*schema.USAGE_KEY).distinct(), schema.USAGE_KEY, "left_anti")
+    return lookup(rows, reason_lists(reasons), schema.USAGE_KEY)
+
+
+def exclude_listed(parsed_usage: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Usage without the keys that are on the reason list."""
+    return with_reasons(parsed_usage, reasons).where(F.col("reasons").isNull()).drop("reasons")

@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymatch import schema
 from tallymatch.config import CategoryLabels, ReconConfig
 from tallymatch.functions import calendar as cal
 from tallymatch.functions.variance import category_flags
@@ -24,9 +25,9 @@ def parsed_usage(source, cfg: ReconConfig) -> DataFrame:
     return nz.parse_key_view(nz.scan_usage(source, cfg))
 
 
-def reasons(source, cfg: ReconConfig) -> DataFrame:
-    low = md.low_usage_parts(parsed_usage(source, cfg), md.last_forecast_period(source), cfg)
-    return md.exclusion_reasons(source, low, cfg)
+def reasons(source, cfg: ReconConfig, parts: DataFrame | None = None) -> DataFrame:
+    low = md.low_usage_parts(parsed_usage(source, cfg), md.last_forecast_period(source), cfg, parts)
+    return md.exclusion_reasons(source, low, cfg, parts)
 
 
 def listed_usage_dropped(source, cfg: ReconConfig, reason_rows: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
@@ -37,9 +38,10 @@ def listed_usage_dropped(source, cfg: ReconConfig, reason_rows: DataFrame, parse
 
 def comparison(source, cfg: ReconConfig, period: date | None = None, with_prod_code: bool = True) -> DataFrame:
     """Compared rows. A single ``period`` is cut out of both sides before the join: it is part of the join key, so
-    the result is the same and only one month is shuffled. Reasons still look at the whole run range."""
+    the result is the same and only one month is shuffled. Reasons look at the whole run range, but then only at the
+    parts of that month."""
     cfg = view_config(cfg)
-    reason_rows = reasons(source, cfg)
+    parts = None
     if period is None:
         parsed, sent = parsed_usage(source, cfg), nz.scan_forecast(source, cfg)
     else:
@@ -47,6 +49,9 @@ def comparison(source, cfg: ReconConfig, period: date | None = None, with_prod_c
         last = min(period, cfg.end)
         parsed = nz.parse_key_view(source.usage(first, last))
         sent = source.forecast(first, last)
+        forecast_parts = sent.select(F.col("product").alias("part_num"), "company")
+        parts = parsed.select(*schema.PART_KEY).unionByName(forecast_parts).distinct()
+    reason_rows = reasons(source, cfg, parts)
     usage = listed_usage_dropped(source, cfg, reason_rows, parsed)
     forecast = nz.normalize_forecast_view(sent, cfg)
     part_master = source.part_master() if with_prod_code else None

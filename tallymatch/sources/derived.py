@@ -182,6 +182,14 @@ class DerivedSource(Source):
         )
         return bounded(by_month.unionByName(fixed), "period", start, end)
 
+    def last_forecast(self) -> DataFrame:
+        """From the order lines alone: grouping and naming parts don't change the newest month."""
+        lines = self._lines(None, None).where(
+            f"pk % 11 <> 0 and not (pk % 9 = 0 and period_end >= date'2000-10-01') and {_SITE_ARRAY}[n].company <> 'WEST'"
+        )
+        fixed = self.read("part").where("p_partkey % 40 = 0").selectExpr("date'2000-06-01' as period")
+        return lines.selectExpr("trunc(period_end, 'MM') as period").unionByName(fixed).agg(F.max("period").alias("last"))
+
     # The three part tables multiply the part rows after the scan. Size estimates ignore that and would broadcast
     # tables many times the threshold, so their joins are told to shuffle.
 

@@ -44,6 +44,10 @@ class Source:
     def forecast(self, start: date | None = None, end: date | None = None) -> DataFrame:
         return bounded(self._checked("forecast"), "period", start, end)
 
+    def last_forecast(self) -> DataFrame:
+        """One row, column ``last``: the newest forecast period."""
+        return self.forecast().agg(F.max("period").alias("last"))
+
     def part_master(self) -> DataFrame:
         return self._checked("part_master")
 
