@@ -170,7 +170,9 @@ where location = 'South' and month between '2000-04' and '2000-09' group by 1, 2
     + ", ".join(
         f"cast(sum(case when variance_category = '{c}' then n else 0 end) as bigint) as \"{c}\"" for c in _CATEGORIES
     )
-    + " from chart group by month",
+    + ", cast(sum(case when variance_category in ("
+    + ", ".join(f"'{c}'" for c in _CATEGORIES)
+    + ") then 0 else n end) as bigint) as other from chart group by month",
     "stack_max": """select cast(ceil(max(t) * 1.1::double) as bigint) as axis_max
 from (select cast(sum(n) as bigint) as t from chart group by month) m""",
     "segment_share": f"""select month, variance_category, cast({_POSITION} as int) as stack_position, n as "count",
@@ -234,6 +236,13 @@ where s.part_num = 'P_1'""",
 where company = 'NORTH' and part_num = 'P_1'""",
     "csv_roundtrip": "select * from result",
     "parquet_roundtrip": "select * from result",
+    "run_log_roundtrip": """select cast(run_id as varchar) as run_id, created_at, ts as updated_at,
+ 'events' as triggered_by, state, case when state = 'completed' then event_id end as total_records,
+ case when state = 'completed' then event_id % 7 end as critical_issues,
+ case when state = 'completed' then value end as execution_seconds,
+ case when state = 'failed' then 'event ' || cast(event_id as varchar) end as error from (
+ select *, row_number() over (partition by run_id order by ts desc, event_id desc) as rn,
+  min(ts) over (partition by run_id) as created_at from run_events) where rn = 1""",
     "run_log_latest": f"select *, {_RUN_KEY} from run_latest",
     "run_status": """select c_custkey as run_id, coalesce(state, 'not_found') as state
 from customer left join run_latest on run_id = c_custkey""",

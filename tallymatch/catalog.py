@@ -20,6 +20,7 @@ from tallymatch.operators import report, runlog
 from tallymatch.plans import detail_view as view
 from tallymatch.plans import reconcile as run
 from tallymatch.plans.investigation import Investigation
+from tallymatch.plans.job import RunLog
 from tallymatch.sinks import read_result, shared_dir, write_result, written
 from tallymatch.sources import DerivedSource
 
@@ -560,6 +561,35 @@ def run_events(s: DerivedSource) -> DataFrame:
     )
 
 
+@query
+def run_log_roundtrip(s):
+    """Events of many runs, appended to a log and read back: latest state, counts and error of each run."""
+    events = run_events(s).select(
+        F.col("run_id").cast("string").alias("run_id"),
+        F.col("ts").cast("timestamp").alias("event_ts"),
+        F.col("event_id").cast("int").alias("event_seq"),
+        "state",
+        F.lit("events").alias("triggered_by"),
+        F.lit(None).cast("struct<start:date,end:date>").alias("date_range"),
+        F.array(F.lit("NORTH")).alias("companies"),
+        *[
+            F.when(F.col("state") == runlog.COMPLETED, value).alias(name)
+            for name, value in {
+                "total_records": F.col("event_id"),
+                "critical_issues": F.col("event_id") % 7,
+                "execution_seconds": F.col("execution_seconds"),
+            }.items()
+        ],
+        F.when(F.col("state") == runlog.FAILED, F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("error"),
+    )
+    log = RunLog(events.sparkSession, shared_dir(events.sparkSession))
+    log.append_all(events)
+    times = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("created_at", "updated_at")]
+    return log.latest().select(
+        "run_id", *times, "triggered_by", "state", "total_records", "critical_issues", "execution_seconds", "error"
+    )
+
+
 def _latest(s: DerivedSource) -> DataFrame:
     return runlog.latest_state(run_events(s), "run_id", ["ts", "event_id"], last=["state", "execution_seconds"])
 

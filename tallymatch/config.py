@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from datetime import date
 
 
+# The category labels, and the names of methods that exclude a part (in ReconConfig below).
 @dataclass(frozen=True)
 class CategoryLabels:
     """Names of the variance categories. The default is the report set, ``snake()`` the detail-view set."""
@@ -122,7 +123,17 @@ class ReconConfig:
                 known[name] = usage_rule[name]
         if "hq_components" in usage_rule:
             known["hq_components"] = tuple(usage_rule["hq_components"])
+        exclusion = rules.get("exclusions", {})
+        for name in ("excluded_classes", "excluded_methods", "excluded_method_names"):
+            if name in exclusion:
+                known[name] = tuple(exclusion[name])
+        for name in ("method_code_type", "lookback_months", "max_rare_transactions", "max_low_units"):
+            if name in exclusion:
+                known[name] = exclusion[name]
+        if "labels" in raw:
+            known["labels"] = CategoryLabels(**raw["labels"])
         for name in (
+            "default_plant",
             "apply_exclusions",
             "frequency_source",
             "frequency_measure",

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Level 0 splits by magnitude: doubles span about 2100 powers of two, each cut into 256 buckets, so there are at most
-# some 540,000. Level 1 cuts the chosen bucket, which holds at most 2**44 doubles, into four million equal steps. So
-# no running total sees more than four million buckets, and the last step no more than about 2**22 distinct values.
-MAGNITUDE_STEPS = 256
-EQUAL_STEPS = 4_000_000
+# Level 0 splits by magnitude: doubles span about 2100 powers of two, each cut into 16 buckets, so there are at most some
+# 34,000. A bucket holds at most 2**48 doubles; two levels of 100,000 equal steps leave some 28,000 of them. So no running
+# total, and not the last step, sees more than 100,000 rows.
+MAGNITUDE_STEPS = 16
+EQUAL_STEPS = 100_000
+EQUAL_LEVELS = 2
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -37,7 +38,9 @@ def exact_median(counted: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("beyond"),
         F.lit(None).cast("bigint").alias("total"),
     )
-    level = _descend(_descend(start, _magnitude_bucket()), _equal_bucket())
+    level = _descend(start, _magnitude_bucket())
+    for _ in range(EQUAL_LEVELS):
+        level = _descend(level, _equal_bucket())
     last = _located(level, F.col("v")).where(F.col("upto") >= _lower_rank())
     return last.agg(F.min_by(F.struct("lo", "upto", "beyond", "total"), "bucket").alias("m")).select(
         F.when(F.col("m.upto") * 2 > F.col("m.total"), F.col("m.lo"))

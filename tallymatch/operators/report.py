@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from tallymatch.config import CategoryLabels
 from tallymatch.operators.quantile import exact_median, value_counts
+from tallymatch.sinks import written
+
+
+OTHER = "other"
 
 
 def result_cube(result: DataFrame) -> DataFrame:
@@ -83,7 +87,8 @@ def breakdowns(cube: DataFrame) -> DataFrame:
     nested = F.col("dimension").isin("company_category", "location_category")
     # the nested groups hold one row per category
     within = F.sum("n_rows").over(W.partitionBy("dimension", "company", "location"))
-    all_rows = cube.agg(F.sum("n_rows")).scalar()
+    # the grouping sets hold the total already; what this window gathers is one row per group of the report
+    all_rows = F.max(F.when(F.col("dimension") == "total", F.col("n_rows"))).over(W.partitionBy())
     return (
         labelled.withColumn("group_total", F.when(nested, within).otherwise(all_rows))
         .withColumn("share_percent", F.round(F.col("n_rows") * 100.0 / F.col("group_total"), 2))
@@ -110,7 +115,8 @@ def summary_counts(cube: DataFrame, labels: CategoryLabels) -> DataFrame:
 def variance_stats(result: DataFrame, exact: bool = True) -> DataFrame:
     """Mean, median, maximum and sum of the absolute variance, each rounded to two decimals.
 
-    All of them are taken from one count per value, so the result is read once. ``exact=False`` replaces the exact
+    All of them are taken from one count per value, which is written first, so the result is read once. The median works
+    on doubles: of decimals beyond 2**53 neighbouring values can't be told apart. ``exact=False`` replaces the exact
     median by a sketch over the rows, which saves the steps that locate the middle.
     """
     if not exact:
@@ -121,7 +127,7 @@ def variance_stats(result: DataFrame, exact: bool = True) -> DataFrame:
             F.round(F.max(value), 2).alias("max_variance"),
             F.round(F.sum(value), 2).alias("total_variance"),
         )
-    counted = value_counts(result, "absolute_variance")
+    counted = written(value_counts(result, "absolute_variance"))
     return counted.agg(
         F.sum(F.col("v") * F.col("n")).alias("total"), F.sum("n").alias("n_rows"), F.max("v").alias("largest")
     ).select(
@@ -186,9 +192,12 @@ def month_category_totals(chart: DataFrame) -> DataFrame:
 
 
 def crosstab(chart: DataFrame, labels: CategoryLabels) -> DataFrame:
-    """Month by category, zero-filled, columns in stacking order; other categories are not shown."""
+    """Month by category, zero-filled, columns in stacking order. Rows of any further category are counted as ``other``, so
+    that a month's row adds up to its total."""
     order = labels.stacking_order
-    return chart.groupBy("month").pivot("variance_category", order).agg(F.sum("count")).na.fill(0).orderBy("month")
+    shown = F.when(F.col("variance_category").isin(order), F.col("variance_category")).otherwise(OTHER)
+    named = chart.withColumn("variance_category", shown)
+    return named.groupBy("month").pivot("variance_category", [*order, OTHER]).agg(F.sum("count")).na.fill(0).orderBy("month")
 
 
 def stack_max(chart: DataFrame) -> DataFrame:
@@ -198,13 +207,15 @@ def stack_max(chart: DataFrame) -> DataFrame:
 
 
 def segment_share(chart: DataFrame, labels: CategoryLabels, label_from: float = 3.0) -> DataFrame:
-    """Share of each category in its month; segments below ``label_from`` percent get no label."""
-    shown = month_category_totals(chart.where(F.col("variance_category").isin(labels.stacking_order)))
+    """Share of each category in its month; segments below ``label_from`` percent get no label. Further categories make
+    one segment, ``other``, on top."""
+    known = F.when(F.col("variance_category").isin(labels.stacking_order), F.col("variance_category")).otherwise(OTHER)
+    shown = month_category_totals(chart.withColumn("variance_category", known))
     # a month holds one row per category here
     month_total = F.sum("count").over(W.partitionBy("month"))
     percent = F.when(F.col("month_total") > 0, F.col("count") / F.col("month_total") * 100).otherwise(0.0)
     label = F.format_string("%.1f%%", F.round("percent", 1))
-    rank = F.coalesce(*[F.when(F.col("variance_category") == c, i) for i, c in enumerate(labels.stacking_order)])
+    rank = F.coalesce(*[F.when(F.col("variance_category") == c, i) for i, c in enumerate([*labels.stacking_order, OTHER])])
     return shown.select("*", month_total.alias("month_total"), rank.alias("stack_position")).withColumn(
         "percent", percent
     ).select(

@@ -7,8 +7,9 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymatch import schema
 from tallymatch.config import ReconConfig
@@ -24,8 +25,12 @@ def new_run_id(now: datetime | None = None) -> str:
 
 
 class RunLog:
-    """Events as JSON lines under one path. Appending never rewrites, so concurrent runs cannot lose updates."""
+    """Events as JSON lines under one path, one folder per day of the run ids. Appending never rewrites, so concurrent
+    runs cannot lose updates; the state of one run is read from its own day's folder."""
 
+    _day = "run_day"
+    _torn = "_unreadable"
+    _times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     _sequence = {runlog.PENDING: 0, runlog.RUNNING: 1, runlog.COMPLETED: 2, runlog.FAILED: 2}
 
     def __init__(self, spark: SparkSession, path: str):
@@ -41,7 +46,17 @@ class RunLog:
             "event_seq": self._sequence[state],
         }
         row = tuple(event[f.name] for f in schema.RUN_EVENT.fields)
-        self._spark.createDataFrame([row], schema.RUN_EVENT).coalesce(1).write.mode("append").json(self._path)
+        self.append_all(self._spark.createDataFrame([row], schema.RUN_EVENT).coalesce(1))
+
+    def append_all(self, events: DataFrame) -> None:
+        """Append many events at once, as columns of ``schema.RUN_EVENT``."""
+        rows = events.select(*schema.RUN_EVENT.fieldNames(), self._day_of(F.col("run_id")).alias(self._day))
+        rows.write.mode("append").partitionBy(self._day).options(**self._times).json(self._path)
+
+    @staticmethod
+    def _day_of(run_id: Column) -> Column:
+        day = F.substring(run_id, 1, 8)
+        return F.when(day.rlike("^[0-9]{8}$"), day).otherwise("other")
 
     def create(self, cfg: ReconConfig, triggered_by: str = "manual", run_id: str | None = None) -> str:
         run_id = run_id or new_run_id()
@@ -54,20 +69,32 @@ class RunLog:
         )
         return run_id
 
-    def events(self) -> DataFrame:
-        """All readable events; a missing log is empty and unreadable lines are skipped."""
-        reader = self._spark.read.schema(schema.RUN_EVENT).option("mode", "DROPMALFORMED")
+    def _lines(self) -> DataFrame:
+        """All lines, good or not; a missing log is empty."""
+        more = T.StructType([T.StructField(self._torn, T.StringType()), T.StructField(self._day, T.StringType())])
+        kinds = T.StructType([*schema.RUN_EVENT.fields, *more.fields])
+        reader = self._spark.read.schema(kinds).options(**self._times, columnNameOfCorruptRecord=self._torn)
         try:
-            events = reader.json(self._path)
+            return reader.json(self._path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self._spark.createDataFrame([], schema.RUN_EVENT)
-        return events.where(F.col("run_id").isNotNull())
+            return self._spark.createDataFrame([], kinds)
+
+    def _is_good(self) -> Column:
+        return F.col(self._torn).isNull() & F.col("run_id").isNotNull()
+
+    def events(self) -> DataFrame:
+        """All readable events; ``unreadable`` counts the other lines."""
+        return self._lines().where(self._is_good()).drop(self._torn)
+
+    def unreadable(self) -> int:
+        """Number of lines that are no events. A run whose last event is among them shows an older state."""
+        return self._lines().where(~self._is_good()).count()
 
-    def latest(self) -> DataFrame:
+    def latest(self, events: DataFrame | None = None) -> DataFrame:
         return runlog.latest_state(
-            self.events(),
+            self.events() if events is None else events,
             "run_id",
             ["event_ts", "event_seq"],
             first=["triggered_by", "date_range", "companies"],
@@ -76,7 +103,8 @@ class RunLog:
 
     def status(self, run_id: str) -> tuple[str, str | None]:
         """State and error text of one run; only the events of that run are looked at."""
-        found = self.latest().where(F.col("run_id") == run_id).select("state", "error").take(1)
+        own = self.events().where((F.col(self._day) == self._day_of(F.lit(run_id))) & (F.col("run_id") == run_id))
+        found = self.latest(own).select("state", "error").take(1)
         return (found[0]["state"], found[0]["error"]) if found else (runlog.NOT_FOUND, None)
 
     def page(self, number: int = 1) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 FORMATS = ("csv", "parquet")
+_folders: list[str] = []
 
 
 def write_result(df: DataFrame, path: str, file_format: str = "csv", mode: str = "errorifexists") -> None:
@@ -31,16 +32,25 @@ def read_result(spark: SparkSession, path: str, schema: T.StructType, file_forma
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder the cluster names for checkpoints.
+    """A fresh path in the folder the cluster names for checkpoints, or else in the session's warehouse; both are shared.
 
-    A machine-local folder is used only where the whole session is local, as in tests.
+    It is removed when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tallymatch-")
-    return f"{base.rstrip('/')}/tallymatch-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/tallymatch-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_remove_folders, spark)
+    _folders.append(path)
+    return path
+
+
+def _remove_folders(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is None:
+        return  # the session was stopped before
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _folders:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def written(df: DataFrame) -> DataFrame:

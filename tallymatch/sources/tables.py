@@ -119,13 +119,16 @@ def jdbc_options(database: Mapping[str, str], env: Mapping[str, str] | None = No
     }
 
 
-def month_predicates(column: str, start: date, end: date) -> list[str]:
-    """One half-open SQL range per month, so a JDBC fact table is read by as many tasks as it has months."""
+def month_predicates(column: str, start: date, end: date, key: str | None = None, splits: int = 1) -> list[str]:
+    """One half-open SQL range per month, each split by a hash of ``key``, so that a JDBC fact table is read by as many
+    tasks as it has months times ``splits``. A null key hashes like any other."""
     ranges, lower = [], start
     while lower <= end:
         following = (lower.replace(day=1) + timedelta(days=32)).replace(day=1)
         upper = min(following, end + timedelta(days=1))
-        ranges.append(f"{column} >= '{lower.isoformat()}' AND {column} < '{upper.isoformat()}'")
+        month = f"{column} >= '{lower.isoformat()}' AND {column} < '{upper.isoformat()}'"
+        hashed = [f" AND ABS(CAST(CHECKSUM({key}) AS BIGINT)) % {splits} = {i}" for i in range(splits)]
+        ranges += [month + h for h in hashed] if key and splits > 1 else [month]
         lower = upper
     return ranges
 
@@ -133,11 +136,14 @@ def month_predicates(column: str, start: date, end: date) -> list[str]:
 class JdbcSource(Source):
     """Tables behind JDBC. ``tables`` maps a table here to the table or subquery there.
 
-    A bounded fact table is read with one partition per month. Without a range it is split on
-    ``partitioning[name]`` (partitionColumn, lowerBound, upperBound, numPartitions); one open connection for a whole
-    fact table would be one task, so that case is refused.
+    A bounded fact table is read with ``splits`` partitions per month. Any other read of a table that grows with the
+    business is split on ``partitioning[name]`` (partitionColumn, lowerBound, upperBound, numPartitions); one open
+    connection for a whole table would be one task, so that case is refused. The code table is short.
     """
 
+    LARGE = ("usage", "forecast", "part_master", "part_site", "part_site_ud")
+    SPLIT_BY = {"usage": "site_part_key", "forecast": "product"}
+
     def __init__(
         self,
         spark: SparkSession,
@@ -146,7 +152,9 @@ class JdbcSource(Source):
         partitioning: Mapping[str, Mapping[str, str]] | None = None,
         renames: Mapping[str, Mapping[str, str]] | None = None,
         unique_grain: bool = False,
+        splits: int = 1,
     ):
+        self._splits = splits
         self._spark = spark
         self._options = dict(options)
         self._tables = dict(tables)
@@ -154,21 +162,39 @@ class JdbcSource(Source):
         self._renames = renames or {}
         self.unique_grain = unique_grain
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, database: Mapping, env: Mapping[str, str] | None = None) -> JdbcSource:
+        """From the ``database`` block of a config file: server, database, tables, partitioning, renames, splits."""
+        missing = [n for n in schema.TABLES if n not in database.get("tables", {})]
+        if missing:
+            raise ValueError(f"the database block names no table for {', '.join(missing)}")
+        return cls(
+            spark,
+            jdbc_options(database, env),
+            database["tables"],
+            database.get("partitioning"),
+            database.get("renames"),
+            database.get("unique_grain", False),
+            database.get("splits", 1),
+        )
+
     def table(self, name: str) -> DataFrame:
         split = self._partitioning.get(name)
-        if split is None and name in ("usage", "forecast"):
+        if split is None and name in self.LARGE:
             raise ValueError(f"reading all of '{name}' over JDBC needs partitioning options")
         reader = self._spark.read.format("jdbc").options(**self._options, dbtable=self._tables[name], **(split or {}))
         return reader.load().withColumnsRenamed(dict(self._renames.get(name, {})))
 
     def _months(self, name: str, column: str, start: date, end: date) -> DataFrame:
         renames = self._renames.get(name, {})
-        stored = {new: old for old, new in renames.items()}.get(column, column)
+        at_source = {new: old for old, new in renames.items()}
+        stored = at_source.get(column, column)
+        stored_key = at_source.get(self.SPLIT_BY[name], self.SPLIT_BY[name])
         plain = {k: v for k, v in self._options.items() if k != "url"}
         df = self._spark.read.jdbc(
             self._options["url"],
             self._tables[name],
-            predicates=month_predicates(stored, start, end),
+            predicates=month_predicates(stored, start, end, stored_key, self._splits),
             properties=plain,
         ).withColumnsRenamed(dict(renames))
         return bounded(schema.check_columns(df, schema.TABLES[name], name), column, start, end)

@@ -85,8 +85,31 @@ def test_jdbc_options_and_partitions(spark):
         "p >= '2000-12-01' AND p < '2001-01-01'",
         "p >= '2001-01-01' AND p < '2001-01-02'",
     ]
-    with pytest.raises(ValueError, match="partitioning"):
-        JdbcSource(spark, options, {"usage": "u"}).usage()
+    assert month_predicates("p", date(2000, 1, 1), date(2000, 1, 31), "k", 2) == [
+        f"p >= '2000-01-01' AND p < '2000-02-01' AND ABS(CAST(CHECKSUM(k) AS BIGINT)) % 2 = {i}" for i in (0, 1)
+    ]
+    tables = {name: f"dbo.{name}" for name in schema.TABLES}
+    source = JdbcSource(spark, options, tables)
+    for read in (source.usage, source.forecast, source.part_master, source.part_site, source.part_site_ud):
+        with pytest.raises(ValueError, match="partitioning"):
+            read()
+
+
+def test_database_of_the_config(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("DB_USERNAME", "u")
+    monkeypatch.setenv("DB_PASSWORD", "p")
+    tables = {name: f"dbo.{name}" for name in schema.TABLES}
+    path = tmp_path / "run.json"
+    path.write_text(json.dumps({"database": {"server": "db", "database": "erp", "tables": tables, "splits": 8}}))
+    source = cli.open_source(spark, str(path), None)
+    assert isinstance(source, JdbcSource) and source._splits == 8 and source._tables == tables
+    assert isinstance(cli.open_source(spark, str(path), "/somewhere"), FileSource)
+    path.write_text(json.dumps({"database": {"server": "db", "database": "erp", "tables": {}}}))
+    with pytest.raises(ValueError, match="names no table for usage"):
+        cli.open_source(spark, str(path), None)
+    path.write_text("{}")
+    with pytest.raises(ValueError, match="--tables"):
+        cli.open_source(spark, str(path), None)
 
 
 def test_result_files(spark, tmp_path):
@@ -129,8 +152,12 @@ def test_states_and_malformed_lines(spark, tmp_path):
     log.append(failed, runlog.FAILED, error="boom")
     assert log.status(done) == (runlog.RUNNING, None)
     assert log.status(failed) == (runlog.FAILED, "boom")
-    with open(os.path.join(path, "part-broken.json"), "w") as f:
-        f.write("{not json\n")
+    assert log.unreadable() == 0
+    with open(os.path.join(path, f"run_day={done[:8]}", "part-broken.json"), "w") as f:
+        f.write('{not json\n{"run_id":"' + done + '","state":"comp')
+    # torn lines are no events, but they are counted
+    assert log.unreadable() == 2
+    assert log.status(done) == (runlog.RUNNING, None)
     entries = {r.run_id: r for r in log.latest().collect()}
     assert set(entries) == {done, failed}
     assert entries[failed].triggered_by == "scheduler"
@@ -193,6 +220,10 @@ def test_config_file_equals_the_sample_config():
     assert ReconConfig.from_json(EXAMPLE) == CONFIG
     with open(EXAMPLE) as f:
         raw = json.load(f)
+    raw["rules"]["exclusions"] = {"excluded_classes": ["ZZ"], "lookback_months": 6}
+    raw["labels"] = {"match": "Same"}
+    own = ReconConfig.from_dict(raw)
+    assert (own.excluded_classes, own.lookback_months, own.labels.match) == (("ZZ",), 6, "Same")
     raw["options"]["frequency_source"] = "guess"
     with pytest.raises(ValueError, match="frequency_source"):
         ReconConfig.from_dict(raw)
@@ -209,3 +240,6 @@ def test_command_line(spark, tmp_path):
     entry = log.latest().first()
     # other storage, no promise about the grain: same result through the split join
     assert (entry.state, entry.total_records) == ("completed", run.reconcile(source, CONFIG).count())
+    # the report tables lie next to the result, whole
+    groups = spark.read.option("header", True).csv(f"{out}/_reports/run_id={entry.run_id}/breakdowns")
+    assert groups.count() == report.breakdowns(report.result_cube(run.reconcile(source, CONFIG))).count()

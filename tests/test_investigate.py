@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date
 
 import pytest
 from conftest import usage_row
 
+from tallymatch.catalog import CONFIG
 from tallymatch.operators import investigate as inv
+from tallymatch.plans import reconcile as run
 from tallymatch.plans.investigation import Investigation
+from tallymatch.sources import DerivedSource
 
 P = date(2000, 8, 31)
 RESULT = (
@@ -144,3 +148,52 @@ def test_lookups(found, cfg):
     assert len(inv.part_usage_lookup(source.usage(), "HQ", newest=2).collect()) == 2
     card = inv.part_card_lookup(source.part_master(), "NORTH", "bad").first()
     assert (card.class_id, card.runout) == ("RAW", None)
+
+
+def test_verification_reads_the_whole_tables(make_source, spark, cfg):
+    """A run from mid-month on: the forecast of the first month starts before the run and still counts."""
+    source = make_source(
+        usage=[usage_row("NORTH_HQ_early", date(2000, 7, 31), 5.0)],
+        forecast=[("NORTH", "North HQ", "early", date(2000, 7, 1), 4.0)],
+    )
+    late = replace(cfg, start=date(2000, 7, 15), apply_exclusions=False)
+    cases = Investigation.of(source, run.reconcile(source, late, keep_plant=True), late).cases
+    assert [(r.actual_usage, r.forecast_usage) for r in cases.collect()] == [(5.0, 0.0)]
+    whole = inv.verify(cases, source.usage(), source.forecast(), late).first()
+    cut = inv.verify(cases, source.usage(late.start, late.end), source.forecast(late.start, late.end), late).first()
+    assert (whole.found_forecast, whole.data_verified) == (4.0, False)
+    assert (cut.found_forecast, cut.data_verified) == (0.0, True)
+
+
+def test_rows_with_usage_are_looked_up_at_their_own_plant(spark):
+    source = DerivedSource(spark, "/root/testdata/sf0.001")
+    found = Investigation.of(source, run.reconcile(source, CONFIG, keep_plant=True), CONFIG)
+    checked = inv.verify(found.cases, source.usage(), source.forecast(), CONFIG)
+    assert checked.where("actual_usage <> 0 and not actual_matches").count() == 0
+    assert checked.where("plant = 'CT' and actual_usage <> 0").count() > 0
+
+
+def test_chosen_rows_need_not_be_flagged(found, cfg, spark):
+    source, _ = found
+    result = spark.createDataFrame([("NORTH", "North HQ", "sync", P, 9.0, 9.0, cfg.labels.match)], RESULT)
+    keys = spark.createDataFrame([("NORTH", "North HQ", p, P) for p in ("sync", "sync", "other")], result.schema[:4])
+    chosen = Investigation.of(source, result, cfg, keys).root_cause().collect()
+    assert [(r.part_num, r.variance_category) for r in chosen] == [("sync", cfg.labels.match)]
+
+
+def test_doubled_metadata_fails_as_in_the_run(make_source, spark, cfg):
+    source = make_source(
+        usage=[usage_row("NORTH_HQ_p", P, 9.0)],
+        part_master=[("NORTH", "p", "PUR", False, None, "x")] * 2,
+        part_site=[("NORTH", "p", "HQ", False, 1)],
+    )
+    result = spark.createDataFrame([("NORTH", "North HQ", "p", P, 9.0, 0.0, cfg.labels.missing_forecast)], RESULT)
+    with pytest.raises(Exception, match="duplicate part metadata"):
+        Investigation.of(source, result, cfg).root_cause().collect()
+
+
+def test_whole_tables_are_reduced_before_their_first_shuffle(found):
+    plan = found[1].history._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    grouping = next(i for i, line in enumerate(lines) if "Aggregate" in line and "units" in line)
+    assert any("LeftSemi" in line for line in lines[grouping:])

@@ -106,14 +106,16 @@ def test_variance_stats(spark):
     assert sketched.max_variance == max(values) and sketched.median_variance in values
 
 
-def test_crosstab_fills_zeros_and_drops_unknown_categories(spark):
+def test_crosstab_fills_zeros_and_counts_further_categories_as_other(spark):
     chart = spark.createDataFrame(
         [("2000-01", "L", LABELS.match, 3), ("2000-02", "L", "ERROR", 5)],
         "month string, location string, variance_category string, count long",
     )
     table = report.crosstab(chart, LABELS)
-    assert table.columns == ["month", *LABELS.stacking_order]
-    assert [tuple(r) for r in table.collect()] == [("2000-01", 3, 0, 0, 0, 0), ("2000-02", 0, 0, 0, 0, 0)]
+    assert table.columns == ["month", *LABELS.stacking_order, "other"]
+    assert [tuple(r) for r in table.collect()] == [("2000-01", 3, 0, 0, 0, 0, 0), ("2000-02", 0, 0, 0, 0, 0, 5)]
+    shares = {r.variance_category: r for r in report.segment_share(chart, LABELS).where("month = '2000-02'").collect()}
+    assert (shares["other"].stack_position, shares["other"].share_percent) == (5, 100.0)
     # the axis is scaled on everything that was counted
     assert report.stack_max(chart).first().axis_max == 6
 
