@@ -10,7 +10,7 @@ Cuts closer than ``least`` bytes to the one before are ignored and stretches wit
 both rules look at the nearby bytes only, so they keep in step, too.
 
 Defined results: null and empty texts have no chunk; places are in code points, end exclusive; rows that repeat a doc_id
-and text are one document; a doc_id with several texts has the passages of each; a row without doc_id is compared with
+and text repeat each other's passages and are returned as one document; a doc_id with several texts has the passages of each; a row without doc_id is compared with
 all others as one document of that kind and returned with a null doc_id. Other columns are not read.
 """
 
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymatch.llm import text as tx
-from tallymatch.llm.storage import stored
 from tallymatch.operators.lookup import lookup
 
 WINDOW = 16
@@ -76,48 +75,70 @@ def cuts(data: np.ndarray, offsets: np.ndarray, config: ChunkConfig) -> tuple[np
     return starts[keep], ends[keep]
 
 
-CHUNKS = "doc_id long, at int, begin int, stop int, words int, digest long"
+#: place holds number and begin, size holds length, words and whether the digest is new in the document: what is shuffled
+#: for every chunk of the corpus is four numbers.
+CHUNKS = "doc_id long, place long, size int, digest long"
+_WORDS = 1 << 12
 
 
-def _chunk_batch(ids: pa.Array, texts: pa.Array, config: ChunkConfig, digests_only: bool) -> pa.RecordBatch:
+def _chunk_batch(ids: pa.Array, texts: pa.Array, config: ChunkConfig) -> pa.RecordBatch:
     data, offsets = tx.utf8(texts, lower=False)
     starts, ends = cuts(data, offsets, config)
-    digests = pa.array(tx.span_hashes(data, starts, ends).view(np.int64))
-    if digests_only:
-        return pa.RecordBatch.from_arrays([digests], ["digest"])
+    digests = tx.span_hashes(data, starts, ends)
     of = np.searchsorted(offsets, starts, "right") - 1
     first = np.searchsorted(starts, offsets[:-1])
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     heads, _ = tx.word_spans(data, offsets)
     words = np.searchsorted(heads, ends) - np.searchsorted(heads, starts)
-    base = points[offsets[of]]
-    columns = [points[starts] - base, points[ends] - base, words]
+    order = np.lexsort((starts, digests, of))
+    new = np.ones(len(of), bool)
+    new[order[1:]] = (of[order[1:]] != of[order[:-1]]) | (digests[order[1:]] != digests[order[:-1]])
+    place = (np.arange(len(of)) - first[of]) << 32 | (points[starts] - points[offsets[of]])
+    size = ((points[ends] - points[starts]) * _WORDS + words) * 2 + new
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(of)), pa.array((np.arange(len(of)) - first[of]).astype(np.int32)), *[pa.array(c.astype(np.int32)) for c in columns], digests],
-        ["doc_id", "at", "begin", "stop", "words", "digest"],
+        [ids.take(pa.array(of)), pa.array(place.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(digests.view(np.int64))],
+        ["doc_id", "place", "size", "digest"],
     )
 
 
-def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig(), digests_only: bool = False) -> DataFrame:
-    """A row per chunk: doc_id, number, begin and stop in code points, words that begin in it, digest."""
-
+def packed_chunks(docs: DataFrame, config: ChunkConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in tx.text_slices(batch.column(1), 1 << 20):
-                yield _chunk_batch(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), config, digests_only)
+                yield _chunk_batch(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), config)
+
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, CHUNKS)
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    begin = F.col("place").bitwiseAND(0xFFFFFFFF)
+    length = F.expr(f"size div {2 * _WORDS}")
+    return rows.select(
+        "doc_id",
+        F.shiftright("place", 32).cast("int").alias("at"),
+        begin.cast("int").alias("begin"),
+        (begin + length).cast("int").alias("stop"),
+        F.expr(f"cast(size div 2 % {_WORDS} as int)").alias("words"),
+        "digest",
+        *[c for c in rows.columns if c not in ("doc_id", "place", "size", "digest")],
+    )
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "digest long" if digests_only else CHUNKS)
+
+def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
+    """A row per chunk: doc_id, number, begin and stop in code points, words that begin in it, digest."""
+    return _unpacked(packed_chunks(docs, config))
 
 
 def repeated_chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Chunks whose digest occurs at two places or more, with ``original``: whether it is the first of them."""
-    # most digests occur once: they are told apart on the digests alone, before any row is moved with its place
-    common = chunks(docs, config, digests_only=True).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    found = lookup(chunks(docs, config), common, ["digest"]).where("n is not null").drop("n").distinct()
-    found = stored(found)
-    first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "at", "begin")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marked = lookup(found, first, ["digest"]).where("first is not null")
-    return marked.withColumn("original", F.struct("doc_id", "at", "begin") == F.col("first")).drop("first")
+    """Chunks whose digest occurs at two places or more, with ``original``: whether it is the first of them. The rows are
+    dealt by doc_id."""
+    found = packed_chunks(docs, config)
+    common = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    marked = lookup(found, common.withColumn("known", F.lit(True)), ["digest"]).where("known")
+    original = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("size") % 2 == 1)
+    rows = _unpacked(marked.select("doc_id", "place", "size", "digest", original.alias("original"))).repartition("doc_id")
+    # rows that repeat a document are one
+    return rows.groupBy("doc_id", "at", "begin", "stop", "words", "digest").agg(F.max("original").alias("original"))
 
 
 def _with_runs(found: DataFrame) -> DataFrame:
@@ -146,7 +167,7 @@ def drop_duplicates(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
     ranked = _with_runs(found)
     long = ranked.groupBy("doc_id", "run").agg(F.sum("words").alias("n_words")).where(F.col("n_words") >= config.words)
     gone = ranked.where(~F.col("original")).join(long.drop("n_words"), ["doc_id", "run"], "left_semi")
-    holes = gone.groupBy(F.col("doc_id").alias("hole_doc")).agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("holes"))
+    holes = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("holes"))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +177,7 @@ def drop_duplicates(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
             columns = [pa.array(out, batch.column(i).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    joined = docs.join(holes, F.col("doc_id").cast("long") == F.col("hole_doc"), "left").drop("hole_doc")
+    joined = docs.alias("d").join(holes.alias("h"), F.col("d.doc_id").cast("long") == F.col("h.doc_id"), "left").select("d.*", "h.holes")
     return joined.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
 
 
