@@ -13,9 +13,9 @@ _SPLIT = f"""select site_part_key, split_part(site_part_key, '_', 1) as company,
  end as part_num from ({_KEYS}) k"""
 _SPLIT_VIEW = f"""select site_part_key, company, coalesce(plant, company) as plant, coalesce(part_num, '') as part_num
 from ({_SPLIT}) v"""
-_VIEW_LOCATION = """case when company = 'NORTH' and plant = 'LA' then 'North Louisiana'
- when company = 'NORTH' and plant in ('OH','CT') then 'North Ohio'
- when company = 'NORTH' and plant = 'TX' then 'North Texas' when company = 'NORTH' then 'North HQ'
+_VIEW_LOCATION = """case when company = 'NORTH' and plant = 'B7' then 'Mill'
+ when company = 'NORTH' and plant in ('A1','A2') then 'Harbor'
+ when company = 'EAST' and plant = 'E5' then 'Quarry' when company = 'NORTH' then 'North HQ'
  when company = 'SOUTH' then 'South' when company = 'EAST' then 'East' when company = 'WEST' then 'West'
  else 'UNMAPPED_LOCATION' end"""
 _CALENDAR = """cast(year({p}) as int) as validation_year, cast(month({p}) as int) as validation_month,
@@ -82,9 +82,9 @@ union all select 'forecast', count(*) from forecast_raw""",
 from ({_SPLIT}) k left join site_dim s on s.company = k.company and s.plant = k.plant""",
     "map_location_view": f"select k.*, {_VIEW_LOCATION} as location from ({_SPLIT_VIEW}) k",
     "reverse_map_site": """select company, location, product, period, qty,
- case when company = 'NORTH' and location = 'North Louisiana' then 'LA'
-  when company = 'NORTH' and location = 'North Ohio' then 'OH'
-  when company = 'NORTH' and location = 'North Texas' then 'TX' else 'HQ' end as plant from forecast_raw""",
+ case when company = 'NORTH' and location = 'Mill' then 'B7'
+  when company = 'NORTH' and location = 'Harbor' then 'A1'
+  when company = 'EAST' and location = 'Quarry' then 'E5' else 'HQ' end as plant from forecast_raw""",
     "usage_rule": """select site_part_key, period_end, case when company = 'NORTH' and plant = 'HQ'
  then qty_a + qty_b + qty_c else qty_c end as actual_usage from usage_keyed""",
     "month_end": "select l_orderkey, l_linenumber, last_day(cast(l_shipdate as date)) as period from lineitem",

@@ -34,13 +34,12 @@ CONFIG = ReconConfig(
     locations={
         "NORTH": {
             "HQ": "North HQ",
-            "LA": "North Louisiana",
-            "OH": "North Ohio",
-            "CT": "North Ohio",
-            "TX": "North Texas",
+            "A1": "Harbor",
+            "A2": "Harbor",
+            "B7": "Mill",
         },
+        "EAST": {"HQ": "East", "E5": "Quarry"},
         "SOUTH": {"HQ": "South"},
-        "EAST": {"HQ": "East"},
         "WEST": {"HQ": "West"},
     },
     default_locations={"NORTH": "North HQ", "SOUTH": "South", "EAST": "East", "WEST": "West"},

@@ -17,17 +17,17 @@ from pyspark.sql import types as T
 from tallymatch.sources.literal import small_frame
 from tallymatch.sources.tables import Source, bounded
 
-# Site number, company, plant, mapped location (null = unmapped), location used by the forecast.
+# Site number, company, plant, mapped location (null = unmapped), location used by the forecast.
 SITES = [
     (0, "NORTH", "HQ", "North HQ", "North HQ"),
-    (1, "NORTH", "LA", "North Louisiana", "North Louisiana"),
-    (2, "NORTH", "OH", "North Ohio", "North Ohio"),
-    (3, "NORTH", "CT", "North Ohio", "North Ohio"),
-    (4, "NORTH", "TX", "North Texas", "North Texas"),
-    (5, "SOUTH", "HQ", "South", "South"),
-    (6, "EAST", "HQ", "East", "East"),
+    (1, "NORTH", "A1", "Harbor", "Harbor"),
+    (2, "NORTH", "A2", "Harbor", "Harbor"),
+    (3, "NORTH", "B7", "Mill", "Mill"),
+    (4, "EAST", "HQ", "East", "East"),
+    (5, "EAST", "E5", "Quarry", "Quarry"),
+    (6, "SOUTH", "HQ", "South", "South"),
     (7, "WEST", "HQ", "West", "West"),
-    (8, "SOUTH", "NX", None, "South"),
+    (8, "SOUTH", "S9", None, "South"),
 ]
 COMPANIES = ["NORTH", "SOUTH", "EAST", "WEST"]
 
@@ -173,8 +173,8 @@ class DerivedSource(Source):
             self._part_names()
             .where("pk % 40 = 0")
             .selectExpr(
-                "'NORTH' as company",
-                "'North Texas' as location",
+                "'EAST' as company",
+                "'Quarry' as location",
                 "part_num as product",
                 "date'2000-06-01' as period",
                 "cast(p_size as double) as qty",

@@ -24,8 +24,8 @@ def _sides(spark, usage, forecast):
 USAGE = [
     ("N", "L", "one", JAN, "HQ", 1.0),
     ("N", "L", "both", JAN, "HQ", 2.0),
-    ("N", "L", "dup", JAN, "OH", 3.0),
-    ("N", "L", "dup", JAN, "CT", 4.0),
+    ("N", "L", "dup", JAN, "A1", 3.0),
+    ("N", "L", "dup", JAN, "A2", 4.0),
     ("N", "L", None, JAN, "HQ", 5.0),
     (None, "L", "x", None, "HQ", 6.0),
 ]
@@ -188,7 +188,7 @@ def test_a_hot_compare_key_is_split(hot, tight_skew, null_safe):
 
 def test_a_hot_part_is_split_in_lookups(hot, tight_skew, cfg):
     usage, _ = hot
-    usage = usage.selectExpr("company", "'LA' as plant", "coalesce(part_num, 'hot') as part_num", "location")
+    usage = usage.selectExpr("company", "'B7' as plant", "coalesce(part_num, 'hot') as part_num", "location")
     facts = usage.groupBy("company", "plant", "part_num").agg({"location": "max"}).withColumnsRenamed(
         {"max(location)": "non_stock"}
     )

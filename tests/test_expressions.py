@@ -46,15 +46,15 @@ def test_parse_key_view_fills_missing_pieces(spark, rows):
     )
 
 
-SITES = [("NORTH", "OH"), ("NORTH", "CT"), ("NORTH", "ZZ"), ("MARS", "HQ"), ("NORTH", None), (None, None)]
+SITES = [("NORTH", "A1"), ("NORTH", "A2"), ("NORTH", "ZZ"), ("MARS", "HQ"), ("NORTH", None), (None, None)]
 
 
 def test_map_location_names_the_unmapped_pair(spark, cfg, rows):
     df = nz.map_location(spark.createDataFrame(SITES, "company string, plant string"), cfg)
     assert rows(df, "location") == sorted(
         [
-            ("North Ohio",),
-            ("North Ohio",),
+            ("Harbor",),
+            ("Harbor",),
             ("UNMAPPED_LOCATION_NORTH_ZZ",),
             ("UNMAPPED_LOCATION_MARS_HQ",),
             ("UNMAPPED_LOCATION_NORTH_None",),
@@ -66,7 +66,7 @@ def test_map_location_names_the_unmapped_pair(spark, cfg, rows):
 def test_map_location_view_falls_through_to_the_company(spark, cfg):
     df = nz.map_location_view(spark.createDataFrame(SITES, "company string, plant string"), cfg)
     found = {(r.company, r.plant): r.location for r in df.collect()}
-    assert found[("NORTH", "CT")] == "North Ohio"
+    assert found[("NORTH", "A2")] == "Harbor"
     assert found[("NORTH", "ZZ")] == "North HQ"
     assert found[("NORTH", None)] == "North HQ"
     assert found[("MARS", "HQ")] == "UNMAPPED_LOCATION"
@@ -74,16 +74,16 @@ def test_map_location_view_falls_through_to_the_company(spark, cfg):
 
 
 def test_reverse_map_takes_the_first_plant_and_defaults_to_head_office(spark, cfg):
-    pairs = [("NORTH", "North Ohio"), ("NORTH", "Atlantis"), ("SOUTH", "South"), (None, None)]
+    pairs = [("NORTH", "Harbor"), ("NORTH", "Atlantis"), ("SOUTH", "South"), (None, None)]
     df = nz.reverse_map_site(spark.createDataFrame(pairs, "company string, location string"), cfg)
-    assert [r.plant for r in df.collect()] == ["OH", "HQ", "HQ", "HQ"]
+    assert [r.plant for r in df.collect()] == ["A1", "HQ", "HQ", "HQ"]
 
 
 def test_usage_rule(spark, cfg):
     data = [
         ("NORTH", "HQ", 1.0, 2.0, 4.0),
         ("NORTH", "HQ", 1.0, None, 4.0),
-        ("NORTH", "LA", 1.0, 2.0, 4.0),
+        ("NORTH", "B7", 1.0, 2.0, 4.0),
         ("SOUTH", "HQ", 1.0, 2.0, None),
         (None, None, 1.0, 2.0, 4.0),
     ]

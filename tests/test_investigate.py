@@ -38,7 +38,7 @@ def found(make_source, spark, cfg):
         ],
         forecast=[
             ("NORTH", "North HQ", "sync", date(2000, 1, 1), 4.0),
-            ("NORTH", "North Texas", "close", date(2000, 8, 1), 7.0),
+            ("NORTH", "Quarry", "close", date(2000, 8, 1), 7.0),
             ("NORTH", "North HQ", "close", date(2000, 8, 1), 8.0),
             ("NORTH", "North HQ", "ghost", date(2000, 8, 1), 3.0),
         ],
@@ -170,7 +170,7 @@ def test_rows_with_usage_are_looked_up_at_their_own_plant(spark):
     found = Investigation.of(source, run.reconcile(source, CONFIG, keep_plant=True), CONFIG)
     checked = inv.verify(found.cases, source.usage(), source.forecast(), CONFIG)
     assert checked.where("actual_usage <> 0 and not actual_matches").count() == 0
-    assert checked.where("plant = 'CT' and actual_usage <> 0").count() > 0
+    assert checked.where("plant = 'A2' and actual_usage <> 0").count() > 0
 
 
 def test_chosen_rows_need_not_be_flagged(found, cfg, spark):

@@ -84,12 +84,12 @@ def _frequency_source(make_source):
     edge, before, after = date(1999, 12, 31), date(1999, 12, 30), date(2001, 1, 31)
     return make_source(
         usage=[
-            usage_row("NORTH_LA_two", date(2000, 5, 31), counts=(1, 1, 0, 0)),
-            usage_row("NORTH_LA_three", date(2000, 5, 31), counts=(1, 1, 0, 1)),
-            usage_row("NORTH_LA_edges", edge, counts=(1, 0, None, 0)),
-            usage_row("NORTH_LA_edges", date(2000, 12, 31), counts=(0, 2, 0, 0)),
-            usage_row("NORTH_LA_edges", before, counts=(9, 9, 9, 9)),
-            usage_row("NORTH_LA_edges", after, counts=(9, 9, 9, 9)),
+            usage_row("NORTH_B7_two", date(2000, 5, 31), counts=(1, 1, 0, 0)),
+            usage_row("NORTH_B7_three", date(2000, 5, 31), counts=(1, 1, 0, 1)),
+            usage_row("NORTH_B7_edges", edge, counts=(1, 0, None, 0)),
+            usage_row("NORTH_B7_edges", date(2000, 12, 31), counts=(0, 2, 0, 0)),
+            usage_row("NORTH_B7_edges", before, counts=(9, 9, 9, 9)),
+            usage_row("NORTH_B7_edges", after, counts=(9, 9, 9, 9)),
             usage_row("NORTH_HQ_none", date(2000, 5, 31)),
             usage_row("NORTH", date(2000, 5, 31), counts=(5, 5, 5, 5)),
         ]
@@ -115,7 +115,7 @@ def test_frequency_filter_exempts_head_office_only(make_source, cfg):
 
 def test_units_can_replace_transactions(make_source, cfg):
     units = replace(cfg, frequency_measure="units")
-    source = make_source(usage=[usage_row("NORTH_LA_p", date(2000, 5, 31), 1.0, 2.0, 0.5, 9.0, counts=(7, 7, 7, 7))])
+    source = make_source(usage=[usage_row("NORTH_B7_p", date(2000, 5, 31), 1.0, 2.0, 0.5, 9.0, counts=(7, 7, 7, 7))])
     assert md.frequency_counts(md.frequency_usage(source, units), units).first().transaction_count_12mo == 3.5
 
 
@@ -123,16 +123,16 @@ def test_key_facts_equal_the_single_operators(make_source, cfg, rows):
     source = make_source(
         usage=[
             usage_row(f"{c}_{p}_{n}", date(2000, m, 28), 1.0, 1.0, float(m), counts=(m % 3, 0, 1, 0))
-            for c, p in (("NORTH", "HQ"), ("NORTH", "OH"), ("NORTH", "CT"), ("EAST", "HQ"), ("SOUTH", "NX"), ("WEST", "HQ"))
+            for c, p in (("NORTH", "HQ"), ("NORTH", "A1"), ("NORTH", "A2"), ("EAST", "HQ"), ("SOUTH", "S9"), ("WEST", "HQ"))
             for n in ("a", "b", "c")
             for m in (2, 5, 9)
         ]
         + [usage_row(k, date(2000, 3, 31), c=1.0) for k in ("NORTH_HQ", "NORTH", "", None)],
-        forecast=[("NORTH", "North Ohio", "a", date(2000, 5, 1), 5.0), (None, None, None, date(2000, 5, 1), 1.0)],
+        forecast=[("NORTH", "Harbor", "a", date(2000, 5, 1), 5.0), (None, None, None, date(2000, 5, 1), 1.0)],
         part_master=[(c, n, "RAW" if n == "b" else "PUR", False, None, "x") for c in ("NORTH", "EAST") for n in "abc"],
         part_site=[
-            ("NORTH", n, p, n == "c" and p == "CT", i)
-            for i, (n, p) in enumerate([(n, p) for n in "abc" for p in ("HQ", "OH", "CT")])
+            ("NORTH", n, p, n == "c" and p == "A2", i)
+            for i, (n, p) in enumerate([(n, p) for n in "abc" for p in ("HQ", "A1", "A2")])
         ],
         part_site_ud=[(i, i) for i in range(9)],
     )
@@ -169,7 +169,7 @@ def test_exclusion_reasons(make_source, cfg, rows):
         usage=[
             usage_row("NORTH_HQ_ghost", date(2000, 3, 31), 1.0, 1.0),
             usage_row("NORTH_HQ_ok", date(2000, 3, 31), 1.0, 1.0),
-            usage_row("NORTH_LA_ok", date(2000, 3, 31), 1.0),
+            usage_row("NORTH_B7_ok", date(2000, 3, 31), 1.0),
         ],
     )
     assert rows(view.reasons(source, cfg), "part_num", "list_no", "reason") == sorted(

@@ -50,7 +50,7 @@ def test_locations_differ_only_for_unlisted_plants(source):
     by_run = {tuple(r)[:3]: r.location for r in nz.map_location(parsed, CONFIG).select(*KEY, "location").collect()}
     by_view = {tuple(r)[:3]: r.location for r in nz.map_location_view(parsed, VIEW).select(*KEY, "location").collect()}
     different = {(k[0], k[1], by_run[k], by_view[k]) for k in by_run if by_run[k] != by_view[k]}
-    assert different == {("SOUTH", "NX", "UNMAPPED_LOCATION_SOUTH_NX", "South")}
+    assert different == {("SOUTH", "S9", "UNMAPPED_LOCATION_SOUTH_S9", "South")}
 
 
 def test_invariants_of_the_result(source):
