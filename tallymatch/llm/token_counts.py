@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from tallymatch.llm import text as tx
 
 SLICE_BYTES = 1 << 20
+CACHED_PIECES = 120_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,10 @@ def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    tokenizer = Tokenizer.from_file(path)
+    # the library remembers how it encoded a piece, 10,000 of them by default
+    tokenizer.model._resize_cache(CACHED_PIECES)
+    return tokenizer
 
 
 @dataclass
