@@ -280,9 +280,8 @@ def code_number(code_id: Column) -> Column:
 
 
 def reason_lists(reasons: DataFrame) -> DataFrame:
-    """One row per (company, plant, part) with its few reasons as an array, in order of list and text."""
-    listed = F.array_sort(F.collect_list(F.struct("list_no", "reason")))
-    return reasons.groupBy(*schema.USAGE_KEY).agg(F.transform(listed, lambda r: r["reason"]).alias("reasons"))
+    """One row per (company, plant, part) with its few reasons as an array, duplicates across lists kept."""
+    return reasons.groupBy(*schema.USAGE_KEY).agg(F.array_sort(F.collect_list("reason")).alias("reasons"))
 
 
 def with_reasons(rows: DataFrame, reasons: DataFrame) -> DataFrame:
