@@ -241,3 +241,24 @@ def linked_vectors(vectors: DataFrame, config: LatticeConfig = LatticeConfig())
         component.alias("component_id"),
         (F.col("vec_id").isNull() | (F.col("vec_id") == component)).alias("kept"),
     )
+
+
+#: The same over all pairs, for a small table.
+SQL = """
+WITH RECURSIVE given AS (SELECT DISTINCT vec_id, embedding FROM embeddings),
+usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM given
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reached(vec_id, other) AS (
+  SELECT vec_id, vec_id FROM usable UNION SELECT r.vec_id, l.y FROM reached r JOIN links l ON l.x = r.other)
+SELECT g.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.component_id, g.vec_id) AS component_id,
+  g.vec_id IS NULL OR g.vec_id = coalesce(c.component_id, g.vec_id) AS kept
+FROM given g
+LEFT JOIN (SELECT x, count(*) AS n_links FROM links GROUP BY x) n ON n.x = g.vec_id
+LEFT JOIN (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id) c ON c.vec_id = g.vec_id
+"""
