@@ -103,11 +103,11 @@ def _window_values(values: np.ndarray, offsets: np.ndarray, size: int, m: int) -
     np.minimum.at(least.reshape(-1), block * m + (values % U64(m)).astype(np.int64), values)
     text = np.repeat(np.arange(len(counts)), blocks)
     # a window is a block and the next one of the same text
-    follows = np.flatnonzero(text[1:] == text[:-1])
-    joined = least.copy()
-    joined[follows] = np.minimum(least[follows], least[follows + 1])
-    hit = joined.reshape(-1)
-    return hit, np.repeat(text, m)
+    for start in range(0, len(least) - 1, 4096):
+        stop = min(start + 4096, len(least) - 1)
+        follows = start + np.flatnonzero(text[start + 1 : stop + 1] == text[start:stop])
+        least[follows] = np.minimum(least[follows], least[follows + 1])
+    return least.reshape(-1), text
 
 
 def search(index: Index, texts: pa.Array, config: ContainmentConfig) -> list[tuple[int, int, int]]:
@@ -116,12 +116,14 @@ def search(index: Index, texts: pa.Array, config: ContainmentConfig) -> list[tup
     pairs = []
     for size, (known, items, bits) in index.sizes.items():
         values = _values(shingles, size)
+        width = 1
         if size == 1:
             of = np.repeat(np.arange(len(texts)), np.diff(offsets))
         else:
-            values, of = _window_values(values, offsets, size, _coordinates(size, config))
+            width = _coordinates(size, config)
+            values, of = _window_values(values, offsets, size, width)
         likely = np.flatnonzero(bits[(values >> U64(43)).astype(np.int64) & 0xFFFFF])
-        values, of = values[likely], of[likely]
+        values, of = values[likely], of[likely // width]
         low, high = np.searchsorted(known, values, "left"), np.searchsorted(known, values, "right")
         n = high - low
         row = np.repeat(np.arange(len(values)), n)

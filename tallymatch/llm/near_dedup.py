@@ -56,7 +56,7 @@ class NearConfig:
     rows: int = 5
     margin: float = 0.16
     block_rows: int = 256
-    block_words: int = 1_000_000
+    block_words: int = 400_000
 
 
 # --- signatures --------------------------------------------------------------------------------------------------
@@ -349,8 +349,7 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
 
 def keep_one_per_group(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component, one row for each; rows without doc_id stay."""
-    kept = near_duplicates(docs, config).where("kept and doc_id is not null")
-    counts = stored(kept.groupBy("doc_id").agg(F.count("*").alias("n")))
-    once = docs.join(counts.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(counts.where("n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    kept = near_duplicates(docs, config).where("kept and doc_id is not null").select("doc_id").distinct()
+    # the join has dealt and sorted the rows by doc_id, so that dropping repeated ones needs no further shuffle
+    found = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return found.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -29,9 +29,9 @@ from tallymatch.llm import text as tx
 
 U64 = np.uint64
 MARK = "▁"
-LEARN_BYTES = 32 << 20  # units of so much text are encoded together
-SLICE_BYTES = 2 << 20
-CACHED_UNITS = 800_000
+LEARN_BYTES = 8 << 20  # units of so much text are encoded together
+SLICE_BYTES = 1 << 20
+CACHED_UNITS = 250_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 
@@ -255,7 +255,7 @@ class PieceModel:
                 classes.setdefault((len(u) - 1).bit_length(), []).append(i)
         for members in classes.values():
             members.sort(key=lambda i: -len(units[i]))
-            step = max(1, 2_000_000 // len(units[members[0]]))
+            step = max(1, 1_000_000 // len(units[members[0]]))
             for a in range(0, len(members), step):
                 part = np.array(members[a : a + step])
                 lengths = np.array([len(units[i]) for i in part])

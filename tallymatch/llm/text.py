@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
-_PIECE = 1 << 20
-SLICE_BYTES = 4 << 20
+_PIECE = 1 << 18
+SLICE_BYTES = 1 << 20  # of text that a task works on at once
 
 _WORD = np.zeros(256, bool)
 _WORD[0x80:] = True
@@ -126,7 +126,7 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
     out_counts = np.where(counts > 0, np.maximum(counts - size + 1, 1), 0)
     out_offsets = np.concatenate([[0], np.cumsum(out_counts)]).astype(np.int64)
     rolled = np.zeros(n, U64)
-    for k in range(size):
+    for k in range(min(size, n)):
         term = mix(hashes + golden(k + 1)) * U64(2 * k + 3)
         rolled[: n - k] += term[k:] if k else term
     within = np.repeat(np.arange(len(counts)), out_counts)
