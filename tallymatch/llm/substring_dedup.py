@@ -6,8 +6,11 @@ stands. Chunks are compared by digest. Runs of adjacent chunks that also occur e
 have enough words; single chunks that agree by chance are not. The first occurrence of a chunk, by doc_id and place, is
 its original and all others can go.
 
-Cuts closer than ``least`` bytes to the one before are ignored and stretches without a cut are cut every ``most`` bytes;
-both rules look at the nearby bytes only, so they keep in step, too.
+Cuts closer than ``least`` bytes to the one before are ignored; this looks at the nearby bytes only, so it keeps in step,
+too. Text that says one word or phrase over and over often has no cut in its period, or only cuts that are too close.
+Stretches of more than ``most`` bytes, and shorter ones that repeat a window, are therefore cut by content as well: at the
+last of the least hashes among any ``spacing`` places. In periodic text that is one place a period. Of those closer than
+``least`` bytes as many are passed over as it takes, which leaves equal chunks wherever the text began.
 
 Defined results: null and empty texts have no chunk; places are in code points, end exclusive; rows that repeat a doc_id
 and text repeat each other's passages and are returned as one document; a doc_id with several texts has the passages of each; a row without doc_id is compared with
@@ -34,7 +37,7 @@ _GEAR = (tx.mix(np.arange(1, 257, dtype=np.uint64) * tx.GOLDEN) >> np.uint64(32)
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """A cut is made at one of ``spacing`` places (a power of two). Chunks hold some 24 bytes, so a passage of over 50
+    """A cut is made at one of ``spacing`` places (a power of two). Chunks of ordinary text hold some 24 bytes, so a passage of over 50
     words keeps far more than ``words`` words between its first and last cut."""
 
     spacing: int = 16
@@ -63,18 +66,48 @@ def cuts(data: np.ndarray, offsets: np.ndarray, config: ChunkConfig) -> tuple[np
     ends = np.union1d(ends[~close], offsets[1:])
     ends = ends[ends > 0]
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    pieces = -(-(ends - starts) // config.most)
-    if len(pieces) and pieces.max() > 1:
-        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        inner = np.repeat(starts, pieces) + nth * config.most
-        while (split := ~whole[inner]).any():
-            inner[split] -= 1
-        starts = inner
-        ends = np.concatenate([starts[1:], [n]]) if n else ends
+    ends = np.union1d(ends, _inner_cuts(hashed, whole, offsets, starts, ends, config))
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     keep = ends > starts
     return starts[keep], ends[keep]
 
 
+def _inner_cuts(
+    hashed: np.ndarray, whole: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, config: ChunkConfig
+) -> np.ndarray:
+    """Cuts inside the stretches that are too long or repeat a window of bytes."""
+    long = np.flatnonzero(ends - starts > min(4 * config.spacing, config.most))
+    starts, ends = starts[long], ends[long]
+    texts = offsets[np.searchsorted(offsets, starts, "right") - 1]
+    low = np.maximum(starts + 1, texts + WINDOW)
+    size = np.maximum(ends - low, 0)
+    of = np.repeat(np.arange(len(low)), size)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + low[of]
+    value = hashed[place - 1].astype(np.uint64)
+    keys = np.sort(of.astype(np.uint64) << np.uint64(32) | value)
+    cut = ends - starts > config.most
+    cut[(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(32)).astype(np.int64)] = True
+    chosen = cut[of] & whole[place]
+    of, place, value = of[chosen], place[chosen], value[chosen]
+    n = len(place)
+    # the later of equal values is the lower one
+    least = value << np.uint64(32) | np.arange(n, 0, -1).astype(np.uint64)
+    reach = 1
+    while reach < config.spacing:
+        least[reach:] = np.minimum(least[reach:], least[:-reach])  # of the last 2 * reach places
+        reach *= 2
+    full = np.zeros(n, bool)
+    full[config.spacing - 1 :] = of[config.spacing - 1 :] == of[: max(n - config.spacing + 1, 0)]
+    at = np.unique(n - (least[full] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    of, place = of[at], place[at]
+    follows = np.minimum(np.searchsorted(place, place + config.least), np.searchsorted(of, of, "right")).tolist()
+    out, i = [], 0
+    while i < len(follows):
+        out.append(i)
+        i = follows[i]
+    return place[out]
+
+
 #: place holds number and begin, size holds length, words and whether the digest is new in the document: what is shuffled
 #: for every chunk of the corpus is four numbers.
 CHUNKS = "doc_id long, place long, size int, digest long"

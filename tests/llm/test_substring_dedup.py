@@ -56,6 +56,34 @@ def test_passages_across_documents_are_found_and_others_not(spark):
     assert all(len(clean[i]) < len(texts[i]) - 80 for i in range(1, 160, 2))
 
 
+def test_repetitive_passages_are_found_in_any_context(spark):
+    rng = random.Random(12)
+    rows = []
+    for phrase in ("a", "as", "of.", "enau", "thoution", "Wort ü", "in the", "x" * 30, "one two three four five", prose(rng, 7)):
+        for n in (51, 60, 400):
+            passage = " ".join([phrase] * -(-n // len(phrase.split())))
+            for _ in range(3):
+                before, after = prose(rng, rng.randint(0, 40)), prose(rng, rng.randint(0, 40))
+                rows.append((len(rows), f"{before}. {passage}. {after}", len(before) + 2, len(before) + 2 + len(passage)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first long, last long")
+    spans = sd.repeated_passages(docs.select("doc_id", "text")).toPandas()
+    for i, _, first, last in rows:
+        own = spans[spans.doc_id == i]
+        assert ((own.begin < last) & (own.stop > first)).any(), rows[i]
+    chunks = sd.chunks(docs.select("doc_id", "text")).toPandas()
+    assert (chunks.stop - chunks.begin).max() <= 128
+
+
+def test_inner_cuts_do_not_depend_on_where_a_text_stands():
+    texts = [" ".join([w] * 90).encode() for w in ("a", "of.", "thoution", "y" * 300, "漢字")]
+    alone = [np.frombuffer(t, np.uint8) for t in texts]
+    sizes = np.cumsum([0, *map(len, alone)])
+    _, together = sd.cuts(np.concatenate(alone), sizes, sd.ChunkConfig())
+    for data, at in zip(alone, sizes, strict=False):
+        _, ends = sd.cuts(data, np.array([0, len(data)]), sd.ChunkConfig())
+        assert set(ends) == {e - at for e in together if at < e <= at + len(data)}
+
+
 def test_odd_rows(messy, empty):
     spans = sd.repeated_passages(messy).collect()
     assert {r.doc_id for r in spans} <= {1, 5, 6, None}
