@@ -17,8 +17,8 @@ Steps, all distributed:
 
 Defined results: a null or empty text, or one without words, is a class of its own and is never linked; texts of fewer
 than five words have one shingle; equal texts are one class and one component; a row without doc_id is kept and has no
-component; rows that repeat a doc_id with the same text are copies, and a doc_id with several texts is one document that
-is linked to whatever the smallest of its texts in its cluster is linked to. Other columns are neither read nor changed.
+component; rows that repeat a doc_id with the same words are copies, and different texts of a doc_id are compared like
+those of different documents: each is linked, and kept or not, by itself. Other columns are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -132,16 +132,16 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-SIGNATURE_SCHEMA = "doc_id long, key string, n_words long, bands array<long>, signature binary"
+SIGNATURE_SCHEMA = "doc_id long, content long, key string, n_words long, bands array<long>, signature binary"
 
 
 def signatures(docs: DataFrame, config: NearConfig) -> DataFrame:
-    """A row per document: class key (null without words), number of words, band keys, signature."""
+    """A row per row of ``docs``: hash of the text, class key (null without words), number of words, band keys, signature."""
     k = config.bands * config.rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, contents, texts = batch.columns
             for a, b in tx.text_slices(texts):
                 hashes, offsets = tx.words(*tx.utf8(texts.slice(a, b - a)))
                 doc, element, weight = tx.counted(*tx.shingles(hashes, offsets, config.shingle))
@@ -153,11 +153,11 @@ def signatures(docs: DataFrame, config: NearConfig) -> DataFrame:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(b - a + 1, dtype=np.int32) * config.bands), pa.array(keys.view(np.int64).ravel())
                 )
-                columns = [ids.slice(a, b - a), pa.array(text_keys, pa.string()), pa.array(n), lists]
+                columns = [ids.slice(a, b - a), contents.slice(a, b - a), pa.array(text_keys, pa.string()), pa.array(n), lists]
                 columns.append(pa.array([x.tobytes() for x in short], pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_words", "bands", "signature"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "key", "n_words", "bands", "signature"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNATURE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(run, SIGNATURE_SCHEMA)
 
 
 def _class_key(hashes: np.ndarray) -> str:
@@ -271,20 +271,20 @@ def _crossing_edges(config: NearConfig):
 def exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, config: NearConfig) -> DataFrame:
     """Edges that connect all pairs of a cluster with similarity at the threshold or above.
 
-    ``clusters`` is (node, cluster), ``sizes`` is (node, n_words), one row per node.
+    ``clusters`` is (node, cluster), ``sizes`` is (node, rep, content, n_words), one row per node: the text of a node is
+    the one of doc_id ``rep`` with the hash ``content``.
     """
     sized = lookup(clusters, sizes, ["node"])
     parts = F.greatest(
         F.lit(1), F.ceil(F.col("n") / config.block_rows), F.ceil(F.col("words") / config.block_words)
     ).cast("int")
     shape = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).select("cluster", parts.alias("parts"))
-    placed = stored(lookup(clusters, shape, ["cluster"]))
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.coalesce("text", F.lit("")).alias("text"))
+    placed = stored(lookup(sized.drop("n_words"), shape, ["cluster"]))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("content"), F.coalesce("text", F.lit("")).alias("text"))
 
     def with_text(nodes: DataFrame) -> DataFrame:
-        # a doc_id that comes with several texts counts with the smallest
-        columns = [c for c in nodes.columns if c != "node"]
-        return texts.join(nodes, "node").groupBy("node", *columns).agg(F.min("text").alias("text"))
+        # repeated rows are one
+        return texts.join(nodes, ["rep", "content"]).groupBy(*nodes.columns).agg(F.min("text").alias("text"))
 
     def within_parts(nodes: DataFrame, seed: int) -> DataFrame:
         dealt = with_text(nodes).withColumn("part", part_of(F.col("node"), F.col("parts"), seed))
@@ -314,8 +314,8 @@ def exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, config:
         F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1)).alias("part_a"),
         part_of(F.col("node"), F.col("parts"), 4).alias("part_b"),
     )
-    smallest = texts.join(member.select("node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    blocks = lookup(left.unionByName(right), smallest, ["node"])
+    own = with_text(member.select("rep", "content", "node")).select("node", "text")
+    blocks = lookup(left.unionByName(right), own, ["node"])
     crossing = map_blocks(blocks, ["cluster", "part_a", "part_b"], _crossing_edges(config), "a long, b long")
     return stored(edges.unionByName(crossing))
 
@@ -323,33 +323,47 @@ def exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, config:
 # --- the operator ------------------------------------------------------------------------------------------------
 
 
-def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id with the same words), component_id (smallest doc_id
-    reachable over pairs of at least the threshold), n_words, kept (doc_id = component_id, or no doc_id)."""
+def _found(docs: DataFrame, config: NearConfig) -> DataFrame:
+    """The rows of ``near_duplicates`` with the class key and the hash of the text."""
     made = stored(signatures(docs, config))
     classes = made.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     of = lookup(made, classes, ["key"])
-    reps = stored(
-        of.where("doc_id = rep").groupBy("rep").agg(F.min_by(F.struct("bands", "signature", "n_words"), "key").alias("s")).select("rep", "s.*")
-    )
-    clusters = components(candidate_edges(reps, config)).withColumnRenamed("component", "cluster")
-    links = exact_links(docs, clusters, reps.select(F.col("rep").alias("node"), "n_words"), config)
-    joined = components(links).select(F.col("node").alias("rep"), "component")
-    found = lookup(lookup(made.select("doc_id", "key", "n_words"), classes, ["key"]), joined, ["rep"])
+    # classes are the nodes, since a doc_id may stand for several; written numbers are shorter than keys
+    facts = F.min_by(F.struct("rep", "content", "bands", "signature", "n_words"), "content")
+    reps = of.where("doc_id = rep").groupBy("key").agg(facts.alias("s")).select("key", "s.*")
+    reps = stored(reps.withColumn("node", F.monotonically_increasing_id()))
+    clusters = components(candidate_edges(reps.select(F.col("node").alias("rep"), "bands", "signature"), config))
+    clusters = clusters.withColumnRenamed("component", "cluster")
+    links = exact_links(docs, clusters, reps.select("node", "rep", "content", "n_words"), config)
+    joined = lookup(components(links), reps.select("node", "key", "rep"), ["node"])
+    first = joined.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("first"))
+    joined = lookup(joined.select("key", "component"), first, ["component"]).select("key", "first")
+    found = lookup(made.select("doc_id", "content", "key", "n_words"), lookup(classes, joined, ["key"]), ["key"])
     class_id = F.coalesce("rep", "doc_id")
-    component = F.coalesce("component", class_id)
+    component = F.coalesce("first.rep", class_id)
+    smallest = F.col("key").isNull() | F.col("first").isNull() | (F.col("first.key") == F.col("key"))
     return found.select(
         "doc_id",
         class_id.alias("class_id"),
         component.alias("component_id"),
         "n_words",
-        (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"),
+        (F.col("doc_id").isNull() | ((F.col("doc_id") == component) & smallest)).alias("kept"),
+        "key",
+        "content",
     )
 
 
+def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id with the same words), component_id (smallest doc_id
+    reachable over pairs of at least the threshold), n_words, kept (doc_id = component_id, of several classes of that
+    doc_id in the component the one of the smallest key; or no doc_id)."""
+    return _found(docs, config).drop("key", "content")
+
+
 def keep_one_per_group(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, one row for each; rows without doc_id stay."""
-    kept = near_duplicates(docs, config).where("kept and doc_id is not null").select("doc_id").distinct()
-    # the join has dealt and sorted the rows by doc_id, so that dropping repeated ones needs no further shuffle
-    found = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The rows of ``docs`` whose text is the smallest of its component, one row for each; rows without doc_id stay."""
+    kept = _found(docs, config).where("kept and doc_id is not null").groupBy("doc_id", "key").agg(F.min("content").alias("content"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"))
+    # the join has dealt and sorted the rows by what they are told apart by, so that dropping repeated ones needs no further shuffle
+    found = rows.join(kept, ["doc_id", "content"], "left_semi").dropDuplicates(["doc_id", "content"]).select("row.*")
     return found.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -91,6 +91,20 @@ def test_odd_rows(messy, empty):
     assert nd.near_duplicates(empty).count() == 0 and nd.keep_one_per_group(empty).count() == 0
 
 
+def test_each_text_of_a_doc_id_counts(spark):
+    rng = random.Random(8)
+    one, two, three, four = (" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60)) for _ in range(4))
+    rows = [(1, one), (2, two), (2, three), (2, three.upper()), (3, one + " more"), (4, two + " more"), (5, three + " more"), (6, four), (6, one + " and"), (7, four)]
+    rows += [(8, "alone " + four[::-1]), (8, "alone " + four[::-1] + " more"), (9, None), (9, "words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted({(r.doc_id, r.component_id) for r in nd.near_duplicates(docs).collect()})
+    assert got == [(1, 1), (2, 2), (3, 1), (4, 2), (5, 2), (6, 1), (6, 6), (7, 6), (8, 8), (9, 9)]
+    kept = [(r.doc_id, r.text) for r in nd.keep_one_per_group(docs).collect()]
+    assert sorted(i for i, _ in kept) == [1, 2, 2, 6, 8, 9, 9] and set(kept) <= set(rows)
+    texts = {(t or "").lower() for _, t in kept}
+    assert {one, two, three, four, "", "words"} <= texts
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(201, 260)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(80)]
