@@ -7,7 +7,8 @@ stand side by side if merging by rank leaves their border alone; that is a walk
 all candidates at once. For a model of merges the best path is unique and is what merging itself gives; a plain sum of
 piece scores would choose other pieces.
 
-Units with two or more spaces in a row, where the model has pieces of equal rank, are few and are merged directly.
+Units with two or more spaces in a row, where the model has pieces of equal rank, and units of over 4,096 characters are
+few and are merged directly, with a heap.
 Characters without a piece become byte pieces.
 
 Defined results: null and empty texts have no ids; the space mark U+2581 in a text counts as a space, as in the library;
@@ -16,6 +17,7 @@ repeated rows repeat their ids; other columns are not read.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
@@ -82,14 +84,32 @@ class PieceModel:
         self._probes()
 
     def merged(self, unit: str) -> list[str]:
-        """The unit after merging neighbours by best score, leftmost first."""
-        parts = list(unit)
-        while True:
-            best = max(((self.score[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.score), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        """The unit after merging neighbours by best score, leftmost first, in n log n steps."""
+        parts: list[str | None] = list(unit)
+        n = len(parts)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int, j: int) -> None:
+            both = parts[i] + parts[j]
+            if both in self.score:
+                heapq.heappush(heap, (-self.score[both], i, both))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = right[i]
+            # one of the two may have been merged since
+            if parts[i] is None or j == n or len(parts[i]) + len(parts[j]) != len(both):
+                continue
+            parts[i], parts[j], right[i] = both, None, right[j]
+            if right[i] < n:
+                left[right[i]] = i
+                offer(i, right[i])
+            if left[i] >= 0:
+                offer(left[i], i)
+        return [p for p in parts if p is not None]
 
     def _trees(self) -> None:
         """For each piece that merging can make: rank, and the two pieces it was merged from last."""

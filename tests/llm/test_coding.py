@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -38,6 +39,16 @@ def test_pieces_equal_the_library(library, documents):
     both(library, ODD + mixed + [r.text for r in documents.limit(150).collect()])
 
 
+def test_long_units_are_coded_like_the_library_and_in_time(library):
+    rng = random.Random(13)
+    texts = ["".join(rng.choices("etaoinshrdlcu", k=n)) for n in (4096, 4097, 40_000)]
+    both(library, [*texts, " " * 5000 + "x", "ab" * 3000, "漢字é" * 2000])
+    model = pc.load(PIECES)
+    started = time.process_time()
+    model.merged("".join(rng.choices("etaoinshrdlcu", k=100_000)))
+    assert time.process_time() - started < 20
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet="abcdehilnorst .,\né漢'<|>0", max_size=60), max_size=8))
 def test_any_text_is_coded_like_the_library(texts):
