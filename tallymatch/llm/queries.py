@@ -17,6 +17,7 @@ from tallymatch.llm import (
     quality,
     secret_scan,
     substring_dedup,
+    suffix_dedup,
     token_counts,
     toxicity,
 )
@@ -91,4 +92,9 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_statements(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
+
+
 SQL |= {"op1_lattice_embedding_dedup": embedding_dedup.SQL, "op2_benchmark_decontamination": decontamination.SQL}

@@ -48,4 +48,13 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    frame = spark.read.schema(df.schema).parquet(path)
+    frame.stored_at = path
+    return frame
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` returned, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(vars(df)["stored_at"])
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
