@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymatch.llm import (
+    alignment,
     decontamination,
     embedding_dedup,
     license_scan,
@@ -97,4 +98,10 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment_digest(table(spark, sf_dir, "documents"), *paths)
+
+
 SQL |= {"op1_lattice_embedding_dedup": embedding_dedup.SQL, "op2_benchmark_decontamination": decontamination.SQL}
