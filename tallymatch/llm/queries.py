@@ -21,6 +21,7 @@ from tallymatch.llm import (
     suffix_dedup,
     token_counts,
     toxicity,
+    whitening,
 )
 from tallymatch.llm.storage import on_executors, table
 
@@ -104,4 +105,9 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_digest(table(spark, sf_dir, "documents"), *paths)
 
 
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
 SQL |= {"op1_lattice_embedding_dedup": embedding_dedup.SQL, "op2_benchmark_decontamination": decontamination.SQL}
