@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallymatch.llm.graph import components
+from tallymatch.llm.storage import discard, stored
+from tallymatch.operators.lookup import lookup
+
 OUT_ROWS = 4096
 
 
@@ -95,3 +99,103 @@ def forest(similarity: np.ndarray, least: float) -> list[tuple[int, int]]:
             edges.append((int(via[nxt]), nxt))
         at = nxt
     return edges
+
+
+EDGES = "a long, b long"
+Payload = Callable[[DataFrame], DataFrame]
+Compute = Callable[[pd.DataFrame], pd.DataFrame | None]
+
+
+def stars(ids: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame | None:
+    """Edges (a, b) from the least id of each connected set to its others: the same sets, with nothing far from its root."""
+    if not edges:
+        return None
+    root = list(range(len(ids)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in edges:
+        i, j = find(i), find(j)
+        low, high = (i, j) if ids[i] <= ids[j] else (j, i)
+        root[high] = low
+    return pd.DataFrame([(ids[find(i)], ids[i]) for i in range(len(ids)) if find(i) != i], columns=["a", "b"])
+
+
+def group_components(members: DataFrame, payload: Payload, within: Compute, across: Compute) -> DataFrame:
+    """(node, component) as comparing all pairs of each group would give, in blocks of bounded size; a written table.
+
+    ``members`` is a written table (group, node, parts, ...): of a group that ``parts`` blocks can hold; a node may be in
+    several groups. ``payload`` adds to such rows what nodes are compared by. ``within`` gets the rows of a block,
+    ``across`` those of two blocks (``side`` 0 and 1) with the ``component`` of each; both give edges, of nodes and of
+    components.
+
+    A group of one part is one block. Of the larger ones, each node's largest is dealt into random parts twice, which joins
+    nearly all that can be joined; then, in every large group, nodes outside its largest component are compared with the
+    rest, all of it. So groups of copies cost their size, and no pair is left out. Rows are copied to blocks as numbers and
+    get their payload last.
+    """
+    columns = ["group", "part", "node"]
+
+    def dealt(rows: DataFrame, seed: int) -> DataFrame:
+        blocks = payload(rows).withColumn("part", part_of(F.col("node"), F.col("parts"), seed)).drop("parts")
+        return map_blocks(blocks.select(*columns, *[c for c in blocks.columns if c not in columns]), ["group", "part"], within, EDGES)
+
+    large = members.where("parts > 1").select("group", "node", "parts")
+    if large.isEmpty():
+        edges = stored(dealt(members, 1))
+        found = components(edges)
+        discard(edges)
+        return found
+    home = stored(large.groupBy("node").agg(F.max(F.struct("parts", "group")).alias("home")).select("home.group", "node", "home.parts"))
+    edges = stored(dealt(members.where("parts = 1"), 1).unionByName(dealt(home, 1)).unionByName(dealt(home, 2)))
+    joined = components(edges)
+    member = stored(lookup(large, joined, ["node"]).withColumn("component", F.coalesce("component", "node")))
+    counts = member.groupBy("group", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("group").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("all")
+    )
+    rest = lookup(member, main, ["group"]).where("outside > 0")
+    rest = rest.withColumn("own_parts", F.greatest(F.lit(1), F.ceil(F.col("parts") * F.col("outside") / F.col("all"))).cast("int"))
+    left = rest.where("component <> main").select(
+        "group", "node", "component", F.lit(0).alias("side"),
+        part_of(F.col("node"), F.col("own_parts"), 3).alias("part_a"),
+        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"),
+    )
+    right = rest.select(
+        "group", "node", "component", F.lit(1).alias("side"),
+        F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1)).alias("part_a"),
+        part_of(F.col("node"), F.col("parts"), 4).alias("part_b"),
+    )
+    crossing = stored(map_blocks(payload(left.unionByName(right)), ["group", "part_a", "part_b"], across, EDGES))
+    done = [home, edges, member]
+    if not crossing.isEmpty():
+        # the edges are those of components: few
+        merged = components(crossing)
+        renamed = merged.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        alone = crossing.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = joined.unionByName(lookup(alone, joined.select("node"), ["node"], "left_anti").withColumn("component", F.col("node")))
+        found = stored(lookup(nodes, renamed, ["component"]).select("node", F.coalesce("root", "component").alias("component")))
+        done += [joined, merged]
+        joined = found
+    for table in [*done, crossing]:
+        discard(table)
+    return joined
+
+
+def crossing_edges(linked: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]) -> Compute:
+    """``across`` for ``group_components`` from a matrix of which row of one side is linked with which of the other."""
+
+    def compute(block: pd.DataFrame) -> pd.DataFrame | None:
+        left, right = block[block["side"] == 0], block[block["side"] == 1]
+        if not len(left) or not len(right):
+            return None
+        ours, others = left["component"].to_numpy(), right["component"].to_numpy()
+        i, j = np.nonzero(linked(left, right) & (ours[:, None] != others[None, :]))
+        edges = pd.DataFrame({"a": ours[i], "b": others[j]})
+        return edges.drop_duplicates() if len(edges) else None
+
+    return compute

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymatch.llm.storage import stored
+from tallymatch.llm.storage import discard, stored
 from tallymatch.operators.lookup import lookup
 
 
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round hangs a node's larger neighbours below its smallest one and then skips a generation, so the number of
     rounds grows with the logarithm of the longest path. No node's neighbours are gathered: every step is a join with
-    one row per key, which adaptive execution splits at hubs, or an aggregation that combines before the shuffle.
+    one row per key, which adaptive execution splits at hubs, or an aggregation that combines before the shuffle. The result is a written table.
     """
     at = stored(_ordered(edges, a, b))
     while not _flat(at):
@@ -39,6 +39,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         pairs = pairs.where("a <> b").distinct()
         above = least.select(F.col("a").alias("b"), F.col("p").alias("above"))
         jumped = lookup(pairs, above, ["b"]).select("a", F.coalesce("above", "b").alias("b"))
-        at = stored(_ordered(jumped, "a", "b"))
+        before, at = at, stored(_ordered(jumped, "a", "b"))
+        discard(before)
     roots = at.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = stored(at.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots))
+    discard(at)
+    return found

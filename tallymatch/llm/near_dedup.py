@@ -10,10 +10,12 @@ Steps, all distributed:
 1. Signatures. Texts with the same words form one class, represented by its smallest doc_id.
 2. Signatures are cut into bands; classes that share a band meet in a bucket. Buckets with the same members are taken
    once. In blocks of bounded size a bucket's estimated similarities are reduced to a spanning forest, so a bucket gives
-   fewer edges than members, however large.
+   fewer edges than members.
 3. Connected estimates form clusters. Within a cluster the shingles themselves are compared, again in bounded blocks
-   that give a spanning forest. A large cluster is first split into random parts, two times over, which merges nearly
-   all of it; then only what is not in its largest component is compared with the rest, exhaustively.
+   that give a spanning forest. Texts of clusters are fetched once for that.
+
+Buckets and clusters of more than a block are joined as ``blocks.group_components`` describes: random parts, two times over, and
+then only what is not in the largest component with the rest, exhaustively.
 
 Defined results: a null or empty text, or one without words, is a class of its own and is never linked; texts of fewer
 than five words have one shingle; equal texts are one class and one component; a row without doc_id is kept and has no
@@ -23,7 +25,7 @@ those of different documents: each is linked, and kept or not, by itself. Other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -34,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymatch.llm import text as tx
-from tallymatch.llm.blocks import forest, map_blocks, paired_parts, part_of
-from tallymatch.llm.graph import components
-from tallymatch.llm.storage import stored
+from tallymatch.llm.blocks import crossing_edges, forest, group_components, stars
+from tallymatch.llm.membership import maybe_in
+from tallymatch.llm.storage import discard, stored
 from tallymatch.operators.lookup import lookup
 
 U64 = np.uint64
@@ -171,28 +173,26 @@ def _class_key(hashes: np.ndarray) -> str:
 # --- candidates --------------------------------------------------------------------------------------------------
 
 
-def _estimate_edges(config: NearConfig):
-    least = config.threshold - config.margin
+def _agreement(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    """Share of equal coordinates: the estimated similarity of all rows of one side with all of the other."""
+    ours, others = (np.frombuffer(b"".join(x["signature"]), np.uint32).reshape(len(x), -1) for x in (left, right))
+    equal = np.zeros((len(ours), len(others)), np.uint16)
+    for x, y in zip(ours.T, others.T, strict=True):
+        equal += x[:, None] == y[None, :]
+    return equal / ours.shape[1]
+
+
+def _tree(block: pd.DataFrame, similarity: Callable[[pd.DataFrame], np.ndarray], least: float) -> pd.DataFrame | None:
+    if len(block) < 2:
+        return None
+    ids = block["node"].to_numpy()
+    return stars(ids, forest(similarity(block), least))
+
 
-    def compute(block: pd.DataFrame) -> pd.DataFrame | None:
-        block = block.drop_duplicates("rep")
-        if len(block) < 2:
-            return None
-        ids = block["rep"].to_numpy()
-        signature = np.frombuffer(b"".join(block["signature"]), np.uint32).reshape(len(block), -1)
-        equal = np.zeros((len(block), len(block)), np.uint16)
-        for column in signature.T:
-            equal += column[:, None] == column[None, :]
-        edges = forest(equal / signature.shape[1], least)
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"]) if edges else None
-
-    return compute
-
-
-def candidate_edges(reps: DataFrame, config: NearConfig) -> DataFrame:
-    """Edges (a, b) that connect all pairs of ``reps`` (rep, bands, signature) with a common band and a high estimate."""
-    slots = reps.where("bands is not null").select("rep", F.posexplode("bands").alias("band", "bucket"))
-    member = F.xxhash64("rep")
+def candidate_clusters(reps: DataFrame, config: NearConfig) -> DataFrame:
+    """(node, component) over all pairs of ``reps`` (node, bands, signature) with a common band and a high estimate."""
+    slots = reps.where("bands is not null").select("node", F.posexplode("bands").alias("band", "bucket"))
+    member = F.xxhash64("node")
     buckets = (
         slots.groupBy("band", "bucket")
         .agg(F.count("*").alias("n"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 20)).alias("y"))
@@ -201,12 +201,24 @@ def candidate_edges(reps: DataFrame, config: NearConfig) -> DataFrame:
     chosen = (
         buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("at")).select("at.band", "at.bucket", "n")
     )
-    rows = lookup(slots, chosen, ["bucket", "band"]).where("n is not null")
+    chosen = stored(chosen.withColumn("group", F.monotonically_increasing_id()))
     parts = F.ceil(F.col("n") / config.block_rows).cast("int")
-    rows = rows.withColumns({"parts": parts, "part": part_of(F.col("rep"), parts)})
-    rows = lookup(rows, reps.select("rep", "signature"), ["rep"])
-    blocks = paired_parts(rows, "part", "parts").select("bucket", "band", "part_a", "part_b", "rep", "signature")
-    return map_blocks(blocks, ["bucket", "band", "part_a", "part_b"], _estimate_edges(config), "a long, b long").distinct()
+    # most slots are alone in their bucket, most nodes in all of theirs
+    slots = maybe_in(slots, chosen, {"band": F.col("band"), "bucket": F.col("bucket")}).where("maybe").drop("maybe")
+    rows = stored(lookup(slots, chosen, ["bucket", "band"]).where("n is not null").select("group", "node", parts.alias("parts")))
+    discard(chosen)
+    met = maybe_in(reps.select("node", "signature"), rows, {"node": F.col("node")}).where("maybe").drop("maybe")
+    met = stored(met)
+    least = config.threshold - config.margin
+    found = group_components(
+        rows,
+        lambda nodes: lookup(nodes, met, ["node"]),
+        lambda block: _tree(block, lambda x: _agreement(x, x), least),
+        crossing_edges(lambda left, right: _agreement(left, right) >= least),
+    )
+    discard(rows)
+    discard(met)
+    return found
 
 
 # --- exact comparison --------------------------------------------------------------------------------------------
@@ -243,36 +255,12 @@ def similarities(left: list[str], right: list[str] | None, size: int) -> np.ndar
     return np.where(union > 0, common / np.maximum(union, 1), 0.0)
 
 
-def _exact_edges(config: NearConfig):
-    def compute(block: pd.DataFrame) -> pd.DataFrame | None:
-        if len(block) < 2:
-            return None
-        ids = block["node"].to_numpy()
-        edges = forest(similarities(list(block["text"]), None, config.shingle), config.threshold)
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"]) if edges else None
-
-    return compute
-
-
-def _crossing_edges(config: NearConfig):
-    def compute(block: pd.DataFrame) -> pd.DataFrame | None:
-        left, right = block[block["side"] == 0], block[block["side"] == 1]
-        if not len(left) or not len(right):
-            return None
-        found = similarities(list(left["text"]), list(right["text"]), config.shingle) >= config.threshold
-        ours, others = left["component"].to_numpy(), right["component"].to_numpy()
-        i, j = np.nonzero(found & (ours[:, None] != others[None, :]))
-        edges = pd.DataFrame({"a": ours[i], "b": others[j]})
-        return edges.drop_duplicates() if len(edges) else None
-
-    return compute
-
-
-def exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, config: NearConfig) -> DataFrame:
-    """Edges that connect all pairs of a cluster with similarity at the threshold or above.
+def exact_components(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, config: NearConfig) -> DataFrame:
+    """(node, component) over all pairs of a cluster with similarity at the threshold or above.
 
     ``clusters`` is (node, cluster), ``sizes`` is (node, rep, content, n_words), one row per node: the text of a node is
-    the one of doc_id ``rep`` with the hash ``content``.
+    the one of doc_id ``rep`` with the hash ``content``. Texts of clusters are fetched and written once; a bitmap of fixed
+    size keeps most others out of the shuffle.
     """
     sized = lookup(clusters, sizes, ["node"])
     parts = F.greatest(
@@ -281,43 +269,27 @@ def exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, config:
     shape = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_words").alias("words")).select("cluster", parts.alias("parts"))
     placed = stored(lookup(sized.drop("n_words"), shape, ["cluster"]))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("content"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = {"rep": F.col("rep"), "content": F.col("content")}
+    found = maybe_in(texts, placed, keys).where("maybe").drop("maybe").join(placed, ["rep", "content"])
+    # repeated rows are one
+    found = found.groupBy("rep", "content", "cluster", "node", "parts").agg(F.min("text").alias("text"))
+    members = stored(found.select(F.col("cluster").alias("group"), "node", "parts", "text"))
+    discard(placed)
 
     def with_text(nodes: DataFrame) -> DataFrame:
-        # repeated rows are one
-        return texts.join(nodes, ["rep", "content"]).groupBy(*nodes.columns).agg(F.min("text").alias("text"))
-
-    def within_parts(nodes: DataFrame, seed: int) -> DataFrame:
-        dealt = with_text(nodes).withColumn("part", part_of(F.col("node"), F.col("parts"), seed))
-        return map_blocks(dealt.select("cluster", "part", "node", "text"), ["cluster", "part"], _exact_edges(config), "a long, b long")
-
-    edges = stored(within_parts(placed, 1))
-    large = placed.where("parts > 1")
-    if large.isEmpty():
-        return edges
-    edges = stored(edges.unionByName(within_parts(large, 2)))
-    joined = components(edges)
-    member = lookup(large, joined, ["node"]).withColumn("component", F.coalesce("component", "node"))
-    member = stored(member)
-    counts = member.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    # what is outside the largest component, in bounded parts, against everything in the cluster
-    main = main.select("cluster", "main", F.ceil((F.col("all") - F.col("most")) / F.col("all") * F.lit(1.0) * 1_000_000).alias("share"))
-    rest = lookup(member, main, ["cluster"])
-    rest = rest.withColumn("own_parts", F.greatest(F.lit(1), F.ceil(F.col("parts") * F.col("share") / 1_000_000)).cast("int"))
-    left = rest.where("component <> main").select(
-        "cluster", "node", "component", F.lit(0).alias("side"),
-        part_of(F.col("node"), F.col("own_parts"), 3).alias("part_a"),
-        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"),
-    )
-    right = rest.where("share > 0").select(
-        "cluster", "node", "component", F.lit(1).alias("side"),
-        F.explode(F.sequence(F.lit(0), F.col("own_parts") - 1)).alias("part_a"),
-        part_of(F.col("node"), F.col("parts"), 4).alias("part_b"),
-    )
-    own = with_text(member.select("rep", "content", "node")).select("node", "text")
-    blocks = lookup(left.unionByName(right), own, ["node"])
-    crossing = map_blocks(blocks, ["cluster", "part_a", "part_b"], _crossing_edges(config), "a long, b long")
-    return stored(edges.unionByName(crossing))
+        return nodes if "text" in nodes.columns else lookup(nodes, members.select("node", "text"), ["node"])
+
+    def similar(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+        return similarities(list(left["text"]), list(right["text"]), config.shingle) >= config.threshold
+
+    found = group_components(
+        members,
+        with_text,
+        lambda block: _tree(block, lambda x: similarities(list(x["text"]), None, config.shingle), config.threshold),
+        crossing_edges(similar),
+    )
+    discard(members)
+    return found
 
 
 # --- the operator ------------------------------------------------------------------------------------------------
@@ -326,16 +298,15 @@ def exact_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, config:
 def _found(docs: DataFrame, config: NearConfig) -> DataFrame:
     """The rows of ``near_duplicates`` with the class key and the hash of the text."""
     made = stored(signatures(docs, config))
-    classes = made.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    of = lookup(made, classes, ["key"])
     # classes are the nodes, since a doc_id may stand for several; written numbers are shorter than keys
-    facts = F.min_by(F.struct("rep", "content", "bands", "signature", "n_words"), "content")
-    reps = of.where("doc_id = rep").groupBy("key").agg(facts.alias("s")).select("key", "s.*")
+    chosen = F.min_by(F.struct(F.col("doc_id").alias("rep"), "content", "bands", "signature", "n_words"), F.struct("doc_id", "content"))
+    reps = made.where("key is not null and doc_id is not null").groupBy("key").agg(chosen.alias("s")).select("key", "s.*")
     reps = stored(reps.withColumn("node", F.monotonically_increasing_id()))
-    clusters = components(candidate_edges(reps.select(F.col("node").alias("rep"), "bands", "signature"), config))
-    clusters = clusters.withColumnRenamed("component", "cluster")
-    links = exact_links(docs, clusters, reps.select("node", "rep", "content", "n_words"), config)
-    joined = lookup(components(links), reps.select("node", "key", "rep"), ["node"])
+    classes = reps.select("key", "rep")
+    clusters = candidate_clusters(reps.select("node", "bands", "signature"), config)
+    joined = exact_components(docs, clusters.withColumnRenamed("component", "cluster"), reps.select("node", "rep", "content", "n_words"), config)
+    discard(clusters)
+    joined = lookup(joined, reps.select("node", "key", "rep"), ["node"])
     first = joined.groupBy("component").agg(F.min(F.struct("rep", "key")).alias("first"))
     joined = lookup(joined.select("key", "component"), first, ["component"]).select("key", "first")
     found = lookup(made.select("doc_id", "content", "key", "n_words"), lookup(classes, joined, ["key"]), ["key"])
@@ -361,9 +332,21 @@ def near_duplicates(docs: DataFrame, config: NearConfig = NearConfig()) -> DataF
 
 
 def keep_one_per_group(docs: DataFrame, config: NearConfig = NearConfig()) -> DataFrame:
-    """The rows of ``docs`` whose text is the smallest of its component, one row for each; rows without doc_id stay."""
-    kept = _found(docs, config).where("kept and doc_id is not null").groupBy("doc_id", "key").agg(F.min("content").alias("content"))
+    """The rows of ``docs`` whose text is the smallest of its component, one row for each; rows without doc_id stay.
+
+    Most rows stay as they are. Only those that go, or are repeated, have to meet their decision: a bitmap of fixed size
+    keeps nearly all others out of the shuffle.
+    """
+    found = _found(docs, config).where("doc_id is not null")
+    # of several texts with the same words that a doc_id has, the one of the least hash stays
+    decided = found.groupBy("doc_id", "content").agg(F.max("kept").alias("kept"), F.min("key").alias("key"), F.count("*").alias("n"))
+    twins = decided.where("kept").groupBy("doc_id", "key").agg(F.min("content").alias("stays"))
+    decided = lookup(decided, twins, ["doc_id", "key"]).select("doc_id", "content", (F.col("kept") & (F.col("content") == F.col("stays"))).alias("kept"), "n")
+    special = stored(decided.where("not kept or n > 1").select("doc_id", "content", "kept"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"))
-    # the join has dealt and sorted the rows by what they are told apart by, so that dropping repeated ones needs no further shuffle
-    found = rows.join(kept, ["doc_id", "content"], "left_semi").dropDuplicates(["doc_id", "content"]).select("row.*")
-    return found.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    marked = maybe_in(rows, special, {"doc_id": F.col("doc_id"), "content": F.col("content")})
+    plain = marked.where("not maybe or doc_id is null").select("row.*")
+    met = marked.where("maybe and doc_id is not null").join(special, ["doc_id", "content"], "left")
+    alone = met.where("kept is null").select("row.*")
+    repeated = met.where("kept").dropDuplicates(["doc_id", "content"]).select("row.*")
+    return plain.unionByName(alone).unionByName(repeated).select(*docs.columns)
