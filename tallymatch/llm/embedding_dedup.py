@@ -9,7 +9,8 @@ vector, so that ``n_links`` is exact within a component and no pair is ever writ
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite component link with nothing;
 vectors of different lengths never link; a row without vec_id links with nothing, has no component and is kept; rows that
-repeat vec_id and vector are one row. Other columns, the label among them, are not read.
+repeat vec_id and vector are one row. Different vectors of a vec_id are rows and nodes of their own, each with the links and
+the component of its vector; those that can't be compared are one row. Other columns, the label among them, are not read.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymatch.llm import text as tx
-from tallymatch.llm.blocks import forest, map_blocks, paired_parts, part_of
-from tallymatch.llm.graph import components
-from tallymatch.llm.storage import stored
+from tallymatch.llm.blocks import crossing_edges, forest, group_components, map_blocks, paired_parts, part_of, stars
+from tallymatch.llm.membership import maybe_in
+from tallymatch.llm.storage import discard, stored
 from tallymatch.operators.lookup import lookup
 
 U64 = np.uint64
@@ -172,12 +173,15 @@ def _cosines(block: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _cosines_between(left: pd.DataFrame, right: pd.DataFrame) -> np.ndarray:
+    both = pd.concat([left, right], ignore_index=True)
+    return _cosines(both)[: len(left), len(left) :]
+
+
 def _linked(config: LatticeConfig):
     def compute(block: pd.DataFrame) -> pd.DataFrame | None:
-        block = block.drop_duplicates("rep")
-        ids = block["rep"].to_numpy()
-        edges = forest(_cosines(block), config.threshold) if len(block) > 1 else []
-        return pd.DataFrame([(ids[i], ids[j]) for i, j in edges], columns=["a", "b"]) if edges else None
+        ids = block["node"].to_numpy()
+        return stars(ids, forest(_cosines(block), config.threshold)) if len(block) > 1 else None
 
     return compute
 
@@ -189,7 +193,7 @@ def _counted(config: LatticeConfig):
         same = part[:, None] == part[None, :]
         # a block of two parts counts between them, a block of one part within it
         linked &= ~same if block["part_a"].iat[0] != block["part_b"].iat[0] else ~np.eye(len(block), dtype=bool)
-        return pd.DataFrame({"rep": block["rep"].to_numpy(), "links": linked @ block["copies"].to_numpy()})
+        return pd.DataFrame({"node": block["node"].to_numpy(), "links": linked @ block["copies"].to_numpy()})
 
     return compute
 
@@ -197,44 +201,31 @@ def _counted(config: LatticeConfig):
 def linked_vectors(vectors: DataFrame, config: LatticeConfig = LatticeConfig()) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id (smallest vec_id reachable over links), kept."""
     made = stored(hashed(vectors, config))
-    ids = made.select("vec_id", "key").distinct()
-    whole = ids.where("key is not null and vec_id is not null")
-    classes = whole.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = lookup(made.where("key is not null and vec_id is not null"), classes, ["key"]).where("vec_id = rep")
-    reps = stored(reps.groupBy("rep", "key").agg(F.max("copies").alias("copies"), F.min("vector").alias("vector"), F.min("cells").alias("cells")).drop("key"))
-    per_table = 1 + config.probes
-    member = F.xxhash64("rep")
-    slots = reps.select("rep", F.posexplode("cells").alias("at", "cell")).select(
-        "rep", F.expr(f"cast(at div {per_table} as int)").alias("lattice"), "cell", (F.col("at") % per_table == 0).cast("int").alias("home")
-    )
-    buckets = (
-        slots.groupBy("lattice", "cell")
-        .agg(F.count("*").alias("n"), F.sum("home").alias("homes"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 20)).alias("y"))
-        .where("n > 1 and homes > 0")
+    rows = made.select("vec_id", "key").distinct()
+    whole = made.where("key is not null and vec_id is not null")
+    # vectors are the nodes, since a vec_id may stand for several; written numbers are shorter than keys
+    counted = rows.where("key is not null and vec_id is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    first = lookup(whole, counted, ["key"]).where("vec_id = rep")
+    reps = first.groupBy("key").agg(
+        F.min("rep").alias("rep"), F.min("copies").alias("copies"), F.min("vector").alias("vector"), F.min("cells").alias("cells")
     )
-    # buckets with the same members are taken once
-    chosen = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("lattice", "cell")).alias("at")).select("at.lattice", "at.cell", "n")
-    rows = lookup(slots.drop("home"), chosen, ["cell", "lattice"]).where("n is not null")
-    parts = F.ceil(F.col("n") / config.block_rows).cast("int")
-    rows = rows.withColumns({"parts": parts, "part": part_of(F.col("rep"), parts)})
-    rows = lookup(rows, reps.groupBy("rep").agg(F.min("vector").alias("vector")), ["rep"])
-    blocks = paired_parts(rows, "part", "parts").select("cell", "lattice", "part_a", "part_b", "rep", "vector")
-    edges = map_blocks(blocks, ["cell", "lattice", "part_a", "part_b"], _linked(config), "a long, b long")
-    joined = stored(components(edges).withColumnRenamed("node", "rep"))
+    reps = stored(reps.withColumn("node", F.monotonically_increasing_id()))
+    joined = linked_components(reps, config)
 
     sizes = joined.groupBy("component").agg(F.ceil(F.count("*") / config.block_rows).cast("int").alias("parts"))
-    placed = lookup(lookup(joined, sizes, ["component"]), reps.select("rep", "vector", "copies"), ["rep"])
-    placed = paired_parts(placed.withColumn("part", part_of(F.col("rep"), F.col("parts"))), "part", "parts")
+    placed = lookup(lookup(joined, sizes, ["component"]), reps.select("node", "vector", "copies"), ["node"])
+    placed = paired_parts(placed.withColumn("part", part_of(F.col("node"), F.col("parts"))), "part", "parts")
     counts = map_blocks(
-        placed.select("component", "part_a", "part_b", "part", "rep", "vector", "copies"),
-        ["component", "part_a", "part_b"], _counted(config), "rep long, links long",
+        placed.select("component", "part_a", "part_b", "part", "node", "vector", "copies"),
+        ["component", "part_a", "part_b"], _counted(config), "node long, links long",
     )
-    links = counts.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = lookup(classes, links, ["rep"])
-    facts = lookup(facts, joined, ["rep"])
-    found = lookup(ids, facts, ["key"])
+    links = counts.groupBy("node").agg(F.sum("links").alias("links"))
+    classes = lookup(lookup(reps.select("node", "key", "rep", "copies"), joined, ["node"]), links, ["node"])
+    least = classes.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
+    facts = lookup(classes, least, ["component"]).select("key", "rep", "copies", "links", "least")
+    found = lookup(rows, facts, ["key"])
     unlinked = F.col("rep").isNull() | F.col("vec_id").isNull()
-    component = F.when(unlinked, F.col("vec_id")).otherwise(F.coalesce("component", "rep"))
+    component = F.when(unlinked, F.col("vec_id")).otherwise(F.coalesce("least", "rep"))
     return found.select(
         "vec_id",
         F.when(unlinked, F.lit(0)).otherwise(F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
@@ -243,22 +234,54 @@ def linked_vectors(vectors: DataFrame, config: LatticeConfig = LatticeConfig())
     )
 
 
+def linked_components(reps: DataFrame, config: LatticeConfig) -> DataFrame:
+    """(node, component) over all linked pairs of ``reps`` (node, vector, cells) of which one lives in a cell of the other."""
+    per_table = 1 + config.probes
+    member = F.xxhash64("node")
+    slots = reps.select("node", F.posexplode("cells").alias("at", "cell")).select(
+        "node", F.expr(f"cast(at div {per_table} as int)").alias("lattice"), "cell", (F.col("at") % per_table == 0).cast("int").alias("home")
+    )
+    buckets = (
+        slots.groupBy("lattice", "cell")
+        .agg(F.count("*").alias("n"), F.sum("home").alias("homes"), F.bit_xor(member).alias("x"), F.sum(F.shiftright(member, 20)).alias("y"))
+        .where("n > 1 and homes > 0")
+    )
+    # buckets with the same members are taken once
+    chosen = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("lattice", "cell")).alias("at")).select("at.lattice", "at.cell", "n")
+    chosen = stored(chosen.withColumn("group", F.monotonically_increasing_id()))
+    parts = F.ceil(F.col("n") / config.block_rows).cast("int")
+    slots = maybe_in(slots.drop("home"), chosen, {"lattice": F.col("lattice"), "cell": F.col("cell")}).where("maybe").drop("maybe")
+    rows = stored(lookup(slots, chosen, ["cell", "lattice"]).where("n is not null").select("group", "node", parts.alias("parts")))
+    discard(chosen)
+    found = group_components(
+        rows,
+        lambda nodes: lookup(nodes, reps.select("node", "vector"), ["node"]),
+        _linked(config),
+        crossing_edges(lambda left, right: _cosines_between(left, right) >= config.threshold),
+    )
+    discard(rows)
+    return found
+
+
 #: The same over all pairs, for a small table.
 SQL = """
-WITH RECURSIVE given AS (SELECT DISTINCT vec_id, embedding FROM embeddings),
-usable AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM given
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+WITH RECURSIVE checked AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS usable
+  FROM embeddings),
+given AS (
+  SELECT row_number() OVER () AS node, vec_id, e
+  FROM (SELECT DISTINCT vec_id, CASE WHEN usable THEN e END AS e FROM checked)),
 links AS (
-  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  SELECT a.node AS x, b.node AS y FROM given a JOIN given b ON a.node <> b.node AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
-reached(vec_id, other) AS (
-  SELECT vec_id, vec_id FROM usable UNION SELECT r.vec_id, l.y FROM reached r JOIN links l ON l.x = r.other)
+reached(node, other) AS (
+  SELECT node, node FROM given WHERE e IS NOT NULL UNION SELECT r.node, l.y FROM reached r JOIN links l ON l.x = r.other),
+least AS (SELECT r.node, min(g.vec_id) AS component_id FROM reached r JOIN given g ON g.node = r.other GROUP BY r.node)
 SELECT g.vec_id, coalesce(n.n_links, 0) AS n_links, coalesce(c.component_id, g.vec_id) AS component_id,
   g.vec_id IS NULL OR g.vec_id = coalesce(c.component_id, g.vec_id) AS kept
 FROM given g
-LEFT JOIN (SELECT x, count(*) AS n_links FROM links GROUP BY x) n ON n.x = g.vec_id
-LEFT JOIN (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id) c ON c.vec_id = g.vec_id
+LEFT JOIN (SELECT x, count(*) AS n_links FROM links GROUP BY x) n ON n.x = g.node
+LEFT JOIN least c ON c.node = g.node
 """

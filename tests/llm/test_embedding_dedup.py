@@ -61,3 +61,23 @@ def test_odd_vectors(spark):
         **{i: (0, i, True) for i in (3, 4, 5, 6, 8, 9, 10)},
     }
     assert ed.linked_vectors(odd.limit(0)).count() == 0
+
+
+def test_each_vector_of_a_vec_id_counts(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a), (1, b), (2, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.01]), (4, c), (4, None), (4, [0.0, 0.0, 0.0]), (5, c), (5, a), (1, a)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in ed.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    expected = [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 1, 4, True), (5, 1, 4, False), (5, 2, 1, False)]
+    assert got == expected
+
+
+def test_a_bucket_of_many_parts_costs_its_size(spark):
+    """Near copies by the thousand and a few vectors that only hang on to some of them."""
+    rng = np.random.default_rng(9)
+    x = np.r_[rng.normal(size=16) + rng.normal(size=(600, 16)) * 0.01, rng.normal(size=(60, 16))].astype(np.float32)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    config = replace(ed.LatticeConfig(), block_rows=25)
+    got = ed.linked_vectors(vectors, config).toPandas().set_index("vec_id").loc[range(len(x))]
+    links, component = truth(np.arange(len(x)), x.astype(np.float64))
+    assert (got.n_links.to_numpy() == links).all() and (got.component_id.to_numpy() == component).all()
