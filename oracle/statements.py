@@ -236,6 +236,22 @@ where s.part_num = 'P_1'""",
 where company = 'NORTH' and part_num = 'P_1'""",
     "csv_roundtrip": "select * from result",
     "parquet_roundtrip": "select * from result",
+    "rerun_months": f"""select {RESULT} from result where month(period) not in (6, 7, 8)
+union all by name select *, cast(null as bigint) as transaction_count_12mo from result_plain where month(period) in (6, 7, 8)""",
+    "job_result": "select * from result",
+    "job_log": """select r.*, date '2000-01-01' as "start", date '2000-12-31' as "end", 'NORTH,SOUTH,EAST' as companies,
+ true as status_found, t.total_records, t.critical_issues, i.* from (values
+ ('good', 'pending,running,completed', 'completed', 'manual', null),
+ ('broken', 'pending,running,failed', 'failed', 'scheduler', 'Unsupported output format: excel'))
+ as r(run, states, state, triggered_by, error)
+left join (select count(*) as total_records,
+ count(case when variance_category in ('Missing From Forecast', 'Missing From Usage') then 1 end) as critical_issues
+ from result) t on run = 'good'
+left join (select a.n as initial_rows, a.n - b.n as excluded_rows, b.n as rows_after_exclusion,
+ b.n - c.n as infrequent_rows, d.n as exempt_rows, c.n as remaining_rows
+ from (select count(*) as n from usage_norm) a, (select count(*) as n from usage_allowed) b,
+  (select count(*) as n from usage_kept) c, (select count(*) as n from usage_allowed where location = 'North HQ') d) i
+ on run = 'good'""",
     "run_log_roundtrip": """select cast(run_id as varchar) as run_id, created_at, ts as updated_at,
  'events' as triggered_by, state, case when state = 'completed' then event_id end as total_records,
  case when state = 'completed' then event_id % 7 end as critical_issues,

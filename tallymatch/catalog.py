@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
@@ -9,6 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallymatch import schema
 from tallymatch.config import CategoryLabels, ReconConfig
 from tallymatch.functions import calendar as cal
 from tallymatch.functions.variance import variance_percent
@@ -20,8 +22,8 @@ from tallymatch.operators import report, runlog
 from tallymatch.plans import detail_view as view
 from tallymatch.plans import reconcile as run
 from tallymatch.plans.investigation import Investigation
-from tallymatch.plans.job import RunLog
-from tallymatch.sinks import read_result, shared_dir, write_result, written
+from tallymatch.plans.job import RunLog, result_path, run_job
+from tallymatch.sinks import MonthlyResult, read_result, shared_dir, write_result, written
 from tallymatch.sources import DerivedSource
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,6 +49,7 @@ CONFIG = ReconConfig(
 )
 NO_EXCLUSIONS = replace(CONFIG, apply_exclusions=False)
 VIEW = view.view_config(CONFIG)
+CONFIG_FILE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "conf", "example.json")
 SINGLE_PERIOD = date(2000, 8, 31)
 LOOKUP_PART = "P_1"
 PAGE = 2
@@ -580,6 +583,7 @@ def run_log_roundtrip(s):
             }.items()
         ],
         F.when(F.col("state") == runlog.FAILED, F.concat(F.lit("event "), F.col("event_id").cast("string"))).alias("error"),
+        F.lit(None).cast(schema.FILTER_COUNTS).alias("filters"),
     )
     log = RunLog(events.sparkSession, shared_dir(events.sparkSession))
     log.append_all(events)
@@ -589,6 +593,67 @@ def run_log_roundtrip(s):
     )
 
 
+RERUN = replace(NO_EXCLUSIONS, start=date(2000, 6, 1), end=date(2000, 8, 31), result_layout="months", output_format="parquet")
+
+
+def _job(s: DerivedSource, cfg: ReconConfig, root: str, log: RunLog) -> str:
+    spark = log.spark
+    run_id = log.create(cfg)
+    run_job(s, cfg, log, spark, root, run_id)
+    return run_id
+
+
+@query
+def rerun_months(s):
+    """All months of a run, then a rerun of three of them with other rules: the result has the new rows of these."""
+    spark = s.spark
+    root = shared_dir(spark)
+    log = RunLog(spark, f"{root}/_runs")
+    for cfg in (replace(RERUN, start=CONFIG.start, end=CONFIG.end, apply_exclusions=True), RERUN):
+        _job(s, cfg, root, log)
+    return MonthlyResult(spark, root, schema.RESULT).read()
+
+
+def _from_file(s: DerivedSource) -> ReconConfig:
+    """The sample configuration as a file gives it, written beside this package."""
+    return replace(ReconConfig.from_json(CONFIG_FILE), output_format="csv")
+
+
+@query
+def job_result(s):
+    """A logged job from a config file into a result folder, read back."""
+    spark = s.spark
+    root = shared_dir(spark)
+    cfg = _from_file(s)
+    run_id = _job(s, cfg, root, RunLog(spark, f"{root}/_runs"))
+    return read_result(spark, result_path(root, run_id), schema.RESULT, cfg.output_format)
+
+
+@query
+def job_log(s):
+    """The events of two logged jobs, one of which fails: states in order, range, companies, metrics, filter counts."""
+    spark = s.spark
+    root = shared_dir(spark)
+    log = RunLog(spark, f"{root}/_runs")
+    cfg = _from_file(s)
+    runs = {_job(s, cfg, root, log): "good"}
+    broken = log.create(cfg, triggered_by="scheduler")
+    try:
+        run_job(s, replace(cfg, output_format="excel"), log, spark, root, broken)
+    except ValueError:
+        runs[broken] = "broken"
+    named = spark.createDataFrame(list(runs.items()), "run_id string, run string")
+    states = log.events().groupBy("run_id").agg(
+        F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("event_seq", "state"))), lambda e: e["state"])).alias("states")
+    )
+    pending = log.status(broken)[0] == runlog.FAILED
+    return log.latest().join(states, "run_id").join(F.broadcast(named), "run_id").select(
+        "run", "states", "state", "triggered_by", "date_range.start", "date_range.end", F.concat_ws(",", "companies").alias("companies"),
+        "total_records", "critical_issues", "error", F.lit(pending).alias("status_found"),
+        *[F.col(f"filters.{c}").alias(c) for c in schema.FILTER_COUNTS.fieldNames()],
+    )
+
+
 def _latest(s: DerivedSource) -> DataFrame:
     return runlog.latest_state(run_events(s), "run_id", ["ts", "event_id"], last=["state", "execution_seconds"])
 

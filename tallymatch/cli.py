@@ -21,11 +21,16 @@ from tallymatch.sources.tables import JdbcSource
 
 
 def open_source(spark: SparkSession, config: str, tables: str | None, table_format: str = "parquet") -> Source:
-    """Files below ``tables``, or else what the ``database`` block of the config file names."""
-    if tables:
-        return FileSource(spark, {name: f"{tables.rstrip('/')}/{name}" for name in schema.TABLES}, table_format)
+    """Files below ``tables``, or else what the ``database`` block of the config file names.
+
+    ``unique_grain`` in the block ``files`` says that no compare key holds more than a handful of rows.
+    """
     with open(config, encoding="utf-8") as f:
-        database = json.load(f).get("database")
+        given = json.load(f)
+    if tables:
+        paths = {name: f"{tables.rstrip('/')}/{name}" for name in schema.TABLES}
+        return FileSource(spark, paths, table_format, unique_grain=given.get("files", {}).get("unique_grain", False))
+    database = given.get("database")
     if not database:
         raise ValueError("give --tables, or a database in the config file")
     return JdbcSource.from_config(spark, database)

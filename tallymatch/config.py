@@ -88,12 +88,16 @@ class ReconConfig:
 
     output_format: str = "csv"
     output_path: str = "reconciliation_results"
+    # 'run': one folder per run; 'months': one result, of which each run replaces its own months
+    result_layout: str = "run"
 
     def __post_init__(self) -> None:
         if self.frequency_source not in ("run_range", "full_history"):
             raise ValueError(f"unknown frequency_source: {self.frequency_source}")
         if self.frequency_measure not in ("transactions", "units"):
             raise ValueError(f"unknown frequency_measure: {self.frequency_measure}")
+        if self.result_layout not in ("run", "months"):
+            raise ValueError(f"unknown result_layout: {self.result_layout}")
 
     def location_rows(self) -> list[tuple[str, str, str]]:
         return [(c, p, loc) for c, plants in self.locations.items() for p, loc in plants.items()]
@@ -142,6 +146,7 @@ class ReconConfig:
             "amount_type",
             "output_format",
             "output_path",
+            "result_layout",
         ):
             if name in options:
                 known[name] = options[name]

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tallymatch import schema
 from tallymatch.config import CategoryLabels, ReconConfig
 from tallymatch.functions.variance import amount_or_zero, category_flags, variance_category, variance_percent
-from tallymatch.operators.lookup import lookup
+from tallymatch.operators.hotkeys import HotKeyConfig, salted_full_outer
 from tallymatch.operators.metadata import METADATA_FLAGS, with_reasons
+from tallymatch.sinks.results import written
 
 
 def _match(keys: list[str], null_safe: bool) -> Column:
@@ -22,7 +23,7 @@ def _match(keys: list[str], null_safe: bool) -> Column:
 
 
 def full_outer(
-    usage: DataFrame, forecast: DataFrame, keys: list[str], null_safe: bool, unique_grain: bool
+    usage: DataFrame, forecast: DataFrame, keys: list[str], null_safe: bool, unique_grain: bool, hot: HotKeyConfig = HotKeyConfig()
 ) -> DataFrame:
     """Full outer join with resolved key columns and the markers ``in_usage`` / ``in_forecast``.
 
@@ -30,47 +31,19 @@ def full_outer(
 
     ``unique_grain`` states that both sides hold only a handful of rows per key. If not, one key (say, all rows
     whose part number could not be parsed) may hold a large part of the data, and adaptive execution cannot split
-    a full outer join. The join is then taken apart into pieces that it can split: the inner join on either side,
-    and each anti join on its large side, because the other side is down to distinct keys.
+    a full outer join. Both sides are then written once, and the join spreads the keys that a sketch finds to be hot.
     """
-    usage_values = [c for c in usage.columns if c not in keys]
-    forecast_values = [c for c in forecast.columns if c not in keys]
-    condition = _match(keys, null_safe)
-    u, f = usage.alias("u"), forecast.alias("f")
-
-    if unique_grain:
-        left = usage.withColumn("in_usage", F.lit(True)).alias("u")
-        right = forecast.withColumn("in_forecast", F.lit(True)).alias("f")
-        return left.join(right, condition, "full_outer").select(
-            *[F.coalesce(f"u.{k}", f"f.{k}").alias(k) for k in keys],
-            *[F.col(f"u.{c}").alias(c) for c in usage_values],
-            *[F.col(f"f.{c}").alias(c) for c in forecast_values],
-            F.coalesce("in_usage", F.lit(False)).alias("in_usage"),
-            F.coalesce("in_forecast", F.lit(False)).alias("in_forecast"),
-        )
-
-    def marked(df: DataFrame, in_usage: bool, in_forecast: bool) -> DataFrame:
-        return df.withColumns({"in_usage": F.lit(in_usage), "in_forecast": F.lit(in_forecast)})
-
-    both = u.join(f, condition, "inner").select(
-        *[F.col(f"u.{k}").alias(k) for k in keys],
-        *[F.col(f"u.{c}").alias(c) for c in usage_values],
-        *[F.col(f"f.{c}").alias(c) for c in forecast_values],
-    )
-
-    def keys_of(df: DataFrame) -> DataFrame:
-        # without null keys on the right, the null-safe lookup below never matches one
-        found = df.select(*keys).distinct()
-        return found if null_safe else found.dropna()
-
-    only_usage = lookup(usage, keys_of(forecast), keys, "left_anti")
-    only_forecast = lookup(forecast, keys_of(usage), keys, "left_anti")
-    order = [*keys, *usage_values, *forecast_values, "in_usage", "in_forecast"]
-    return (
-        marked(both, True, True)
-        .unionByName(marked(only_usage, True, False), allowMissingColumns=True)
-        .unionByName(marked(only_forecast, False, True), allowMissingColumns=True)
-        .select(*order)
+    if not unique_grain:
+        return salted_full_outer(written(usage), written(forecast), keys, null_safe, ("in_usage", "in_forecast"), hot)
+
+    left = usage.withColumn("in_usage", F.lit(True)).alias("u")
+    right = forecast.withColumn("in_forecast", F.lit(True)).alias("f")
+    return left.join(right, _match(keys, null_safe), "full_outer").select(
+        *[F.coalesce(f"u.{k}", f"f.{k}").alias(k) for k in keys],
+        *[F.col(f"u.{c}").alias(c) for c in usage.columns if c not in keys],
+        *[F.col(f"f.{c}").alias(c) for c in forecast.columns if c not in keys],
+        F.coalesce("in_usage", F.lit(False)).alias("in_usage"),
+        F.coalesce("in_forecast", F.lit(False)).alias("in_forecast"),
     )
 
 

@@ -169,19 +169,23 @@ def with_key_facts(usage: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
-def exclusion_impact(usage: DataFrame, facts: DataFrame, cfg: ReconConfig) -> DataFrame:
-    """Rows before, removed and left for both filters, in one pass over usage."""
-    flagged = with_key_facts(usage, facts)
+def filter_counts(cfg: ReconConfig) -> list[Column]:
+    """Rows before, removed and left for both filters, as aggregates over usage with its key facts."""
     kept = ~F.col("excluded")
     passes = F.coalesce(frequent_enough(cfg), F.lit(False))
-    counts = flagged.agg(
-        F.count("*").alias("initial_rows"),
+    return [
+        F.count(F.lit(1)).alias("initial_rows"),
         F.count_if(F.col("excluded")).alias("excluded_rows"),
         F.count_if(kept).alias("rows_after_exclusion"),
         F.count_if(kept & ~passes).alias("infrequent_rows"),
         F.count_if(kept & (F.col("location") == cfg.hq_location)).alias("exempt_rows"),
         F.count_if(kept & passes).alias("remaining_rows"),
-    )
+    ]
+
+
+def exclusion_impact(usage: DataFrame, facts: DataFrame, cfg: ReconConfig) -> DataFrame:
+    """Rows before, removed and left for both filters, in one pass over usage."""
+    counts = with_key_facts(usage, facts).agg(*filter_counts(cfg))
     share = F.round(F.col("excluded_rows") * 100.0 / F.col("initial_rows"), 1)
     return counts.withColumn("excluded_percent", F.when(F.col("initial_rows") > 0, share).otherwise(0.0))
 

@@ -7,7 +7,7 @@ import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from tallymatch import schema
 from tallymatch.config import ReconConfig
 from tallymatch.operators import report, runlog
 from tallymatch.plans.reconcile import reconcile
-from tallymatch.sinks import read_result, write_result
+from tallymatch.sinks import MonthlyResult, month_ends, read_result, write_result
 
 
 def new_run_id(now: datetime | None = None) -> str:
@@ -34,7 +34,7 @@ class RunLog:
     _sequence = {runlog.PENDING: 0, runlog.RUNNING: 1, runlog.COMPLETED: 2, runlog.FAILED: 2}
 
     def __init__(self, spark: SparkSession, path: str):
-        self._spark = spark
+        self.spark = spark
         self._path = path
 
     def append(self, run_id: str, state: str, **values) -> None:
@@ -46,7 +46,7 @@ class RunLog:
             "event_seq": self._sequence[state],
         }
         row = tuple(event[f.name] for f in schema.RUN_EVENT.fields)
-        self.append_all(self._spark.createDataFrame([row], schema.RUN_EVENT).coalesce(1))
+        self.append_all(self.spark.createDataFrame([row], schema.RUN_EVENT).coalesce(1))
 
     def append_all(self, events: DataFrame) -> None:
         """Append many events at once, as columns of ``schema.RUN_EVENT``."""
@@ -73,13 +73,13 @@ class RunLog:
         """All lines, good or not; a missing log is empty."""
         more = T.StructType([T.StructField(self._torn, T.StringType()), T.StructField(self._day, T.StringType())])
         kinds = T.StructType([*schema.RUN_EVENT.fields, *more.fields])
-        reader = self._spark.read.schema(kinds).options(**self._times, columnNameOfCorruptRecord=self._torn)
+        reader = self.spark.read.schema(kinds).options(**self._times, columnNameOfCorruptRecord=self._torn)
         try:
             return reader.json(self._path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self._spark.createDataFrame([], kinds)
+            return self.spark.createDataFrame([], kinds)
 
     def _is_good(self) -> Column:
         return F.col(self._torn).isNull() & F.col("run_id").isNotNull()
@@ -98,7 +98,7 @@ class RunLog:
             "run_id",
             ["event_ts", "event_seq"],
             first=["triggered_by", "date_range", "companies"],
-            last=["state", "total_records", "critical_issues", "execution_seconds", "error"],
+            last=["state", "total_records", "critical_issues", "execution_seconds", "error", "filters"],
         )
 
     def status(self, run_id: str) -> tuple[str, str | None]:
@@ -116,21 +116,29 @@ def result_path(results_root: str, run_id: str) -> str:
 
 
 def run_job(source, cfg: ReconConfig, log: RunLog, spark: SparkSession, results_root: str, run_id: str) -> DataFrame:
-    """Run, write the result below ``run_id=...`` and log every state; returns the written result.
+    """Run, write the result and log every state; returns the written result.
 
-    The metrics are counted on the written result, so the reconciliation itself runs once. Writing again after a
-    failure replaces the run's own directory only.
+    The metrics are counted on the written result and the counts of the filters while it is made, so the reconciliation
+    runs once. With ``result_layout="run"`` the result is a folder ``run_id=...``, and writing again after a failure
+    replaces this folder only. With ``"months"`` all runs are one result, of which a run replaces its own months.
     """
     if log.status(run_id)[0] == runlog.NOT_FOUND:
         raise ValueError(f"no pending entry for run {run_id}")
     log.append(run_id, runlog.RUNNING)
     try:
         started = time.monotonic()
-        path = result_path(results_root, run_id)
-        result = reconcile(source, cfg)
-        write_result(result, path, cfg.output_format, mode="overwrite")
+        observed = Observation() if cfg.apply_exclusions else None
+        result = reconcile(source, cfg, observed=observed)
+        if cfg.result_layout == "months":
+            monthly = MonthlyResult(spark, results_root, schema.RESULT, cfg.output_format)
+            whole = result if cfg.apply_exclusions else result.withColumn("transaction_count_12mo", F.lit(None).cast("long"))
+            monthly.replace(whole, run_id, month_ends(cfg.start, cfg.end))
+            saved = monthly.read_run(run_id)
+        else:
+            path = result_path(results_root, run_id)
+            write_result(result, path, cfg.output_format, mode="overwrite")
+            saved = read_result(spark, path, result.schema, cfg.output_format)
         seconds = time.monotonic() - started
-        saved = read_result(spark, path, result.schema, cfg.output_format)
         counts = report.summary_counts(report.result_cube(saved), cfg.labels).first()
         log.append(
             run_id,
@@ -138,6 +146,7 @@ def run_job(source, cfg: ReconConfig, log: RunLog, spark: SparkSession, results_
             total_records=counts["total_records"],
             critical_issues=counts["critical_issues"],
             execution_seconds=seconds,
+            filters=tuple(observed.get[c] for c in schema.FILTER_COUNTS.fieldNames()) if observed else None,
         )
         return saved
     except Exception as error:

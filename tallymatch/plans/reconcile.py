@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallymatch.config import ReconConfig
@@ -11,31 +11,35 @@ from tallymatch.operators import metadata as md
 from tallymatch.operators import normalize as nz
 
 
-def prepared_usage(source, cfg: ReconConfig) -> DataFrame:
-    """Normalized usage with metadata flags and, if exclusions are on, without excluded and infrequent parts."""
+def prepared_usage(source, cfg: ReconConfig, observed: Observation | None = None) -> DataFrame:
+    """Normalized usage with metadata flags and, if exclusions are on, without excluded and infrequent parts.
+
+    ``observed`` gets the counts of both filters while the run's own stage passes the rows on.
+    """
     usage = nz.normalize_usage(nz.scan_usage(source, cfg), cfg)
     metadata = md.scan_part_metadata(source, cfg)
     if not cfg.apply_exclusions:
         return md.enrich_metadata(usage, metadata)
     facts = md.key_facts(metadata, md.frequency_usage(source, cfg), cfg)
-    return (
-        md.with_key_facts(usage, facts).where(~F.col("excluded") & md.frequent_enough(cfg)).drop("excluded")
-    )
+    flagged = md.with_key_facts(usage, facts)
+    if observed is not None:
+        flagged = flagged.observe(observed, *md.filter_counts(cfg))
+    return flagged.where(~F.col("excluded") & md.frequent_enough(cfg)).drop("excluded")
 
 
-def joined_sides(source, cfg: ReconConfig, keep_plant: bool = False) -> DataFrame:
+def joined_sides(source, cfg: ReconConfig, keep_plant: bool = False, observed: Observation | None = None) -> DataFrame:
     forecast = nz.normalize_forecast(nz.scan_forecast(source, cfg), cfg)
-    return cmp.join_sides(prepared_usage(source, cfg), forecast, cfg, source.unique_grain, keep_plant)
+    return cmp.join_sides(prepared_usage(source, cfg, observed), forecast, cfg, source.unique_grain, keep_plant)
 
 
-def reconcile(source, cfg: ReconConfig, keep_plant: bool = False) -> DataFrame:
+def reconcile(source, cfg: ReconConfig, keep_plant: bool = False, observed: Observation | None = None) -> DataFrame:
     """The result table: 15 columns, 14 with exclusions off (no look-back count then).
 
     Exclusions apply to usage only. A forecast row of an excluded part therefore stays and shows up as missing from
     usage. ``keep_plant`` adds ``in_usage`` and the plant of the usage row, which the investigation looks up by; usage
     summed up over plants has none.
     """
-    measured = cmp.with_variance(joined_sides(source, cfg, keep_plant), cfg)
+    measured = cmp.with_variance(joined_sides(source, cfg, keep_plant, observed), cfg)
     result = cmp.categorize(measured, cfg.labels)
     wanted = [*cmp.RESULT_COLUMNS, *(["plant", "in_usage"] if keep_plant else [])]
     return result.select(*[c for c in wanted if c in result.columns])

@@ -85,6 +85,11 @@ RESULT = _struct(
     variance_category=T.StringType(),
 )
 
+# usage rows before, between and after the filters of a run
+FILTER_COUNTS = _struct(
+    **{c: T.LongType() for c in ("initial_rows", "excluded_rows", "rows_after_exclusion", "infrequent_rows", "exempt_rows", "remaining_rows")}
+)
+
 RUN_EVENT = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
@@ -101,6 +106,7 @@ RUN_EVENT = T.StructType(
         T.StructField("critical_issues", T.LongType()),
         T.StructField("execution_seconds", T.DoubleType()),
         T.StructField("error", T.StringType()),
+        T.StructField("filters", FILTER_COUNTS),
     ]
 )
 

@@ -32,11 +32,12 @@ def read_result(spark: SparkSession, path: str, schema: T.StructType, file_forma
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder the cluster names for checkpoints, or else in the session's warehouse; both are shared.
+    """A fresh path in the folder the cluster names for checkpoints, or else in the session's warehouse.
 
-    It is removed when the application ends.
+    A warehouse on the driver's own disk is refused on a cluster, where executors would write to theirs. The path is
+    removed when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _warehouse(spark)
     path = f"{base.rstrip('/')}/tallymatch-{uuid.uuid4().hex}"
     if not _folders:
         atexit.register(_remove_folders, spark)
@@ -44,6 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _warehouse(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.sql.warehouse.dir")
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        place = spark._jvm.org.apache.hadoop.fs.Path(base)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return base
+
+
 def _remove_folders(spark: SparkSession) -> None:
     if spark.sparkContext._jsc is None:
         return  # the session was stopped before

@@ -69,7 +69,7 @@ class DerivedSource(Source):
     unique_grain = True
 
     def __init__(self, spark: SparkSession, directory: str):
-        self._spark = spark
+        self.spark = spark
         self._dir = directory
         self._known: dict[tuple, DataFrame] = {}
 
@@ -80,7 +80,7 @@ class DerivedSource(Source):
         return self._known[key]
 
     def read(self, name: str) -> DataFrame:
-        return self._once(("file", name), lambda: self._spark.read.parquet(f"{self._dir}/{name}.parquet"))
+        return self._once(("file", name), lambda: self.spark.read.parquet(f"{self._dir}/{name}.parquet"))
 
     def _part_names(self) -> DataFrame:
         return self._once(
@@ -234,5 +234,5 @@ class DerivedSource(Source):
         schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
         return self._once(
             ("method_codes",),
-            lambda: small_frame(self._spark, schema, [(c, *code) for c in COMPANIES for code in CODES]),
+            lambda: small_frame(self.spark, schema, [(c, *code) for c in COMPANIES for code in CODES]),
         )

@@ -7,7 +7,7 @@ month-end shift, so it reaches parquet row groups, partitions and the JDBC state
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -133,16 +133,33 @@ def month_predicates(column: str, start: date, end: date, key: str | None = None
     return ranges
 
 
+def hash_predicates(columns: Sequence[str], splits: int) -> list[str]:
+    """SQL conditions that divide a table by a hash of text or number columns; every row meets exactly one of them.
+
+    The database's own hash gives an integer for any row, null columns included.
+    """
+    hashed = f"ABS(CAST(CHECKSUM({', '.join(columns)}) AS BIGINT)) % {splits}"
+    return [f"{hashed} = {i}" for i in range(splits)]
+
+
 class JdbcSource(Source):
     """Tables behind JDBC. ``tables`` maps a table here to the table or subquery there.
 
-    A bounded fact table is read with ``splits`` partitions per month. Any other read of a table that grows with the
-    business is split on ``partitioning[name]`` (partitionColumn, lowerBound, upperBound, numPartitions); one open
-    connection for a whole table would be one task, so that case is refused. The code table is short.
+    ``splits`` says by how many tasks a table is read, for all tables or by name. A bounded fact table is read with so
+    many partitions per month, any other read of a table that grows with the business by a hash of its key, which needs no
+    numeric column; ``partitioning[name]`` (partitionColumn, lowerBound, upperBound, numPartitions) takes precedence. One
+    open connection for a whole table would be one task, so that case is refused. The code table is short.
     """
 
     LARGE = ("usage", "forecast", "part_master", "part_site", "part_site_ud")
-    SPLIT_BY = {"usage": "site_part_key", "forecast": "product"}
+    SPLIT_BY = {
+        "usage": ("site_part_key",),
+        "forecast": ("product",),
+        "part_master": ("company", "part_num"),
+        "part_site": ("company", "part_num", "plant"),
+        "part_site_ud": ("foreign_row_id",),
+        "method_codes": ("code_id",),
+    }
 
     def __init__(
         self,
@@ -152,7 +169,7 @@ class JdbcSource(Source):
         partitioning: Mapping[str, Mapping[str, str]] | None = None,
         renames: Mapping[str, Mapping[str, str]] | None = None,
         unique_grain: bool = False,
-        splits: int = 1,
+        splits: int | Mapping[str, int] = 1,
     ):
         self._splits = splits
         self._spark = spark
@@ -178,27 +195,44 @@ class JdbcSource(Source):
             database.get("splits", 1),
         )
 
+    def splits(self, name: str) -> int:
+        return self._splits if isinstance(self._splits, int) else self._splits.get(name, 1)
+
+    def _stored(self, name: str, columns: Sequence[str]) -> list[str]:
+        """Names that columns have in the database."""
+        there = {new: old for old, new in self._renames.get(name, {}).items()}
+        return [there.get(c, c) for c in columns]
+
+    def _by_predicates(self, name: str, predicates: list[str]) -> DataFrame:
+        plain = {k: v for k, v in self._options.items() if k != "url"}
+        read = self._spark.read.jdbc(self._options["url"], self._tables[name], predicates=predicates, properties=plain)
+        return read.withColumnsRenamed(dict(self._renames.get(name, {})))
+
     def table(self, name: str) -> DataFrame:
         split = self._partitioning.get(name)
+        if split is None and self.splits(name) > 1:
+            return self._by_predicates(name, hash_predicates(self._stored(name, self.SPLIT_BY[name]), self.splits(name)))
         if split is None and name in self.LARGE:
-            raise ValueError(f"reading all of '{name}' over JDBC needs partitioning options")
+            raise ValueError(f"reading all of '{name}' over JDBC needs splits or partitioning options")
         reader = self._spark.read.format("jdbc").options(**self._options, dbtable=self._tables[name], **(split or {}))
         return reader.load().withColumnsRenamed(dict(self._renames.get(name, {})))
 
     def _months(self, name: str, column: str, start: date, end: date) -> DataFrame:
-        renames = self._renames.get(name, {})
-        at_source = {new: old for old, new in renames.items()}
-        stored = at_source.get(column, column)
-        stored_key = at_source.get(self.SPLIT_BY[name], self.SPLIT_BY[name])
-        plain = {k: v for k, v in self._options.items() if k != "url"}
-        df = self._spark.read.jdbc(
-            self._options["url"],
-            self._tables[name],
-            predicates=month_predicates(stored, start, end, stored_key, self._splits),
-            properties=plain,
-        ).withColumnsRenamed(dict(renames))
+        stored, key = self._stored(name, [column])[0], ", ".join(self._stored(name, self.SPLIT_BY[name]))
+        df = self._by_predicates(name, month_predicates(stored, start, end, key, self.splits(name)))
         return bounded(schema.check_columns(df, schema.TABLES[name], name), column, start, end)
 
+    def last_forecast(self) -> DataFrame:
+        """The database finds the newest period; one row is read."""
+        period = self._stored("forecast", ["period"])[0]
+        newest = f"(SELECT MAX({period}) AS last FROM {self._from('forecast')}) newest"
+        return self._spark.read.format("jdbc").options(**self._options, dbtable=newest).load().select("last")
+
+    def _from(self, name: str) -> str:
+        """The table or subquery as it stands in a FROM clause, where a subquery needs a name."""
+        table = self._tables[name].strip()
+        return f"{table} whole" if table.startswith("(") and table.endswith(")") else table
+
     def usage(self, start: date | None = None, end: date | None = None) -> DataFrame:
         if start is not None and end is not None:
             return self._months("usage", "period_end", start, end)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 from dataclasses import replace
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallymatch.catalog import QUERIES
 from tallymatch.operators import compare as cmp
+from tallymatch.operators.hotkeys import HotKeyConfig, heavy_keys
 from tallymatch.operators.lookup import lookup
 from tallymatch.schema import COMPARE_KEY
 
@@ -130,6 +134,7 @@ def tight_skew(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
     }
@@ -169,21 +174,54 @@ def _skew_joins(df) -> list[str]:
     return [line for line in plan.splitlines() if "skew=true" in line]
 
 
+SMALL_CELLS = HotKeyConfig(cell_rows=1000)
+
+
 @pytest.mark.parametrize("null_safe", [True, False])
-def test_a_hot_compare_key_is_split(hot, tight_skew, null_safe):
+def test_a_hot_compare_key_is_split(spark, hot, tight_skew, null_safe):
     usage, forecast = hot
     plain = cmp.full_outer(usage, forecast, COMPARE_KEY, null_safe, unique_grain=True)
-    split = cmp.full_outer(usage, forecast, COMPARE_KEY, null_safe, unique_grain=False)
+    split = cmp.full_outer(usage, forecast, COMPARE_KEY, null_safe, unique_grain=False, hot=SMALL_CELLS)
 
     def digest(df):
         sums = "sum(hash(part_num, actual_usage, in_forecast))"
         return tuple(df.selectExpr("count(*)", "count_if(in_usage)", "count_if(in_forecast)", sums).first())
 
+    def largest_task(df):
+        return df.where("part_num is null").groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+
     assert digest(split) == digest(plain)
-    found = _skew_joins(split)
-    assert any("LeftAnti" in line for line in found)
-    assert not null_safe or any("Inner" in line for line in found)
-    assert not _skew_joins(plain)
+    assert largest_task(split) < largest_task(plain) / 3
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+@pytest.mark.parametrize("seed", range(4))
+def test_salted_join_equals_brute_force(spark, null_safe, seed):
+    """Keys that are hot on the left, on the right, on both sides or on one side alone, with nulls and equal rows."""
+    rng = random.Random(seed)
+    names = ["a", "b", "c", "d", "e", None]
+
+    def drawn(weights, n):
+        return [(rng.choice(["x", None]) if rng.random() < 0.3 else "x", "L", k, JAN, "HQ", float(rng.randint(0, 3))) for k in rng.choices(names, weights, k=n)]
+
+    left, right = drawn([40, 1, 20, 0, 5, 9], 90), [(*r[:4], r[5]) for r in drawn([1, 30, 20, 12, 0, 7], 70)]
+    usage, forecast = _sides(spark, left, right)
+    config = HotKeyConfig(cell_rows=4)
+    joined = cmp.full_outer(usage.drop("plant"), forecast, COMPARE_KEY, null_safe, unique_grain=False, hot=config)
+    columns = ["company", "location", "part_num", "period", "actual_usage", "forecast_usage"]
+    assert Counter(tuple(r) for r in joined.select(*columns).collect()) == _brute(left, right, null_safe)
+    found = {r.in_usage is not None and r.in_forecast is not None for r in joined.collect()}
+    assert found == {True}
+    assert heavy_keys(usage, COMPARE_KEY, config).count() >= 3 and heavy_keys(usage.limit(0), COMPARE_KEY, config).count() == 0
+
+
+def test_undeclared_grain_computes_each_side_once(spark, monkeypatch):
+    written, seen = cmp.written, []
+    monkeypatch.setattr(cmp, "written", lambda df: seen.append(df) or written(df))
+    result = QUERIES["reconcile_hot_keys"](spark, "/root/testdata/sf0.001")
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 2 and "l_shipdate" not in plan and "site_part_key" not in plan
+    assert plan.count("Join FullOuter") == 1
 
 
 def test_a_hot_part_is_split_in_lookups(hot, tight_skew, cfg):

@@ -8,7 +8,9 @@ from dataclasses import replace
 from datetime import date, datetime, timezone
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallymatch import cli, schema
 from tallymatch.catalog import CONFIG
@@ -16,9 +18,10 @@ from tallymatch.config import ReconConfig
 from tallymatch.operators import report, runlog
 from tallymatch.plans import reconcile as run
 from tallymatch.plans.job import RunLog, new_run_id, result_path, run_job
-from tallymatch.sinks import read_result, shared_dir, write_result, written
+from tallymatch.sinks import MonthlyResult, month_ends, read_result, shared_dir, write_result, written
+from tallymatch.sinks import results as files
 from tallymatch.sources import DerivedSource, FileSource, FrameSource
-from tallymatch.sources.tables import JdbcSource, jdbc_options, month_predicates
+from tallymatch.sources.tables import JdbcSource, hash_predicates, jdbc_options, month_predicates
 
 SAMPLE = "/root/testdata/sf0.001"
 EXAMPLE = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "conf", "example.json")
@@ -95,6 +98,74 @@ def test_jdbc_options_and_partitions(spark):
             read()
 
 
+class _Reads:
+    """Stands in for the database: remembers what would be read and answers with empty tables."""
+
+    def __init__(self, spark, monkeypatch, renames=None):
+        self.calls = []
+        names = {f"dbo.{n}": n for n in schema.TABLES}
+        back = {n: {new: old for old, new in m.items()} for n, m in (renames or {}).items()}
+
+        def empty(table):
+            name = names[max((t for t in names if t in table), key=len)]
+            return spark.createDataFrame([], schema.TABLES[name]).withColumnsRenamed(back.get(name, {}))
+
+        def jdbc(reader, url, table, predicates=None, properties=None):
+            self.calls.append((table, predicates, {}))
+            assert url.startswith("jdbc:") and "url" not in properties and properties["user"] == "u"
+            return empty(table)
+
+        def load(reader):
+            options = dict(reader.__dict__.get("_seen", {}))
+            self.calls.append((options["dbtable"], None, options))
+            return spark.createDataFrame([], "last date") if "MAX(" in options["dbtable"] else empty(options["dbtable"])
+
+        def options(reader, **given):
+            reader._seen = given
+            return reader
+
+        for name, f in (("jdbc", jdbc), ("load", load), ("options", options)):
+            monkeypatch.setattr(DataFrameReader, name, f)
+
+
+def test_every_table_of_a_database_is_read_by_many_tasks(spark, monkeypatch):
+    options = jdbc_options({"server": "db", "database": "erp"}, {"DB_USERNAME": "u", "DB_PASSWORD": "p"})
+    tables = {name: f"dbo.{name}" for name in schema.TABLES}
+    renames = {"part_master": {"PartNum": "part_num"}, "forecast": {"Month": "period", "Item": "product"}}
+    reads = _Reads(spark, monkeypatch, renames)
+    source = JdbcSource(spark, options, tables, renames=renames, splits={n: 4 for n in JdbcSource.LARGE})
+    keys = {
+        "usage": "site_part_key", "forecast": "Item", "part_master": "company, PartNum",
+        "part_site": "company, part_num, plant", "part_site_ud": "foreign_row_id",
+    }
+    for name in schema.TABLES:
+        frame = getattr(source, name)()
+        assert frame.columns[: len(schema.TABLES[name])] == schema.TABLES[name].fieldNames()
+        table, predicates, given = reads.calls.pop()
+        if name in keys:
+            assert (table, predicates) == (f"dbo.{name}", [f"ABS(CAST(CHECKSUM({keys[name]}) AS BIGINT)) % 4 = {i}" for i in range(4)])
+        else:
+            assert predicates is None and given["dbtable"] == "dbo.method_codes"
+    # a range is read by month, each month by hash
+    source.usage(date(2000, 1, 1), date(2000, 3, 31))
+    assert len(reads.calls.pop()[1]) == 12
+    # the newest period is found by the database
+    assert source.last_forecast().columns == ["last"]
+    assert reads.calls.pop()[0] == "(SELECT MAX(Month) AS last FROM dbo.forecast) newest"
+    # a numeric column takes precedence where one is named; a subquery keeps its own name or gets one
+    split = {"partitionColumn": "row_id", "lowerBound": "0", "upperBound": "9", "numPartitions": "3"}
+    named = JdbcSource(spark, options, tables | {"forecast": "(SELECT * FROM dbo.forecast)"}, {"part_site": split}, splits=2)
+    named.part_site()
+    assert reads.calls.pop()[2]["numPartitions"] == "3"
+    named.last_forecast()
+    assert reads.calls.pop()[0] == "(SELECT MAX(period) AS last FROM (SELECT * FROM dbo.forecast) whole) newest"
+
+
+def test_hash_predicates_meet_each_row_once():
+    made = hash_predicates(["a", "b"], 3)
+    assert made == [f"ABS(CAST(CHECKSUM(a, b) AS BIGINT)) % 3 = {i}" for i in range(3)]
+
+
 def test_database_of_the_config(spark, tmp_path, monkeypatch):
     monkeypatch.setenv("DB_USERNAME", "u")
     monkeypatch.setenv("DB_PASSWORD", "p")
@@ -132,6 +203,82 @@ def test_shared_folder_comes_from_the_session(spark):
     assert written(spark.range(3)).count() == 3
 
 
+class _OnCluster:
+    """A session's settings as a cluster without a shared folder has them."""
+
+    def __init__(self, spark, warehouse):
+        self.conf, self._jvm, self._jsc = self, spark._jvm, spark._jsc
+        self._settings = {"spark.sql.warehouse.dir": warehouse, "spark.master": "yarn"}
+
+    def get(self, key, default=None):
+        return self._settings.get(key, default)
+
+
+def test_a_local_warehouse_is_refused_on_a_cluster(spark, tmp_path):
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.shared_dir(_OnCluster(spark, f"file://{tmp_path}"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.shared_dir(_OnCluster(spark, str(tmp_path)))
+
+
+# --- results by month --------------------------------------------------------------------------------------------
+
+KINDS = T.StructType([T.StructField("part_num", T.StringType()), T.StructField("period", T.DateType()), T.StructField("amount", T.DoubleType())])
+JAN, FEB, MAR = date(2000, 1, 31), date(2000, 2, 29), date(2000, 3, 31)
+
+
+def test_months_of_a_range():
+    assert month_ends(date(2000, 1, 15), date(2000, 3, 1)) == [JAN, FEB, MAR]
+    assert month_ends(date(1999, 12, 31), date(2000, 1, 1)) == [date(1999, 12, 31), JAN]
+    assert month_ends(date(2000, 2, 1), date(2000, 1, 1)) == []
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_a_rerun_replaces_its_months_only(spark, tmp_path, kind):
+    kept = MonthlyResult(spark, str(tmp_path), KINDS, kind)
+    assert kept.read().count() == 0 and kept.valid().count() == 0 and kept.superseded().count() == 0
+
+    def rows(*given):
+        return spark.createDataFrame(given, KINDS)
+
+    def now():
+        return sorted((tuple(r) for r in kept.read().collect()), key=repr)
+
+    kept.replace(rows(("a", JAN, 1.0), ("a", FEB, 2.0), ("a", MAR, 3.0), ("n", None, 9.0)), "one", [JAN, FEB, MAR])
+    assert now() == sorted([("a", JAN, 1.0), ("a", FEB, 2.0), ("a", MAR, 3.0), ("n", None, 9.0)], key=repr)
+    # two months again; one of them has no rows any more
+    kept.replace(rows(("b", FEB, 5.0)), "two", [FEB, MAR])
+    assert now() == sorted([("a", JAN, 1.0), ("b", FEB, 5.0), ("n", None, 9.0)], key=repr)
+    assert sorted((r.version[:3], r.period) for r in kept.superseded().collect()) == [("one", FEB), ("one", MAR)]
+    assert sorted(tuple(r) for r in kept.read_run("two").collect()) == [("b", FEB, 5.0)]
+    # the same run again replaces itself
+    kept.replace(rows(("c", FEB, 6.0), ("c", FEB, 6.0)), "two", [FEB, MAR])
+    assert now() == sorted([("a", JAN, 1.0), ("c", FEB, 6.0), ("c", FEB, 6.0), ("n", None, 9.0)], key=repr)
+    assert {(r.period, r.run_id, r.n_rows) for r in kept.valid().collect()} == {(JAN, "one", 1), (FEB, "two", 2), (MAR, "two", 0), (None, "one", 1)}
+
+
+def test_a_failed_write_is_never_seen(spark, tmp_path, monkeypatch):
+    kept = MonthlyResult(spark, str(tmp_path), KINDS)
+    kept.replace(spark.createDataFrame([("a", JAN, 1.0), ("a", FEB, 2.0)], KINDS), "one", [JAN, FEB])
+    # fails while rows are written
+    broken = spark.createDataFrame([("b", JAN, 7.0), ("b", FEB, 8.0)], KINDS).withColumn(
+        "amount", F.when(F.col("period") == F.lit(FEB), F.raise_error("lost").cast("double")).otherwise(F.col("amount"))
+    )
+    with pytest.raises(Exception, match="lost"):
+        kept.replace(broken, "two", [JAN, FEB])
+    assert sorted(tuple(r) for r in kept.read().collect()) == [("a", JAN, 1.0), ("a", FEB, 2.0)]
+    # fails after the rows, before the manifest
+    with monkeypatch.context() as patched:
+        patched.setattr(MonthlyResult, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("driver lost")))
+        with pytest.raises(RuntimeError):
+            kept.replace(spark.createDataFrame([("c", JAN, 9.0), ("c", FEB, 9.0)], KINDS), "three", [JAN, FEB])
+    assert sorted(tuple(r) for r in kept.read().collect()) == [("a", JAN, 1.0), ("a", FEB, 2.0)]
+    assert {r.version.partition("-")[0] for r in kept.superseded().collect()} == {"three"}
+    # the run starts again and succeeds
+    kept.replace(spark.createDataFrame([("c", JAN, 9.0)], KINDS), "three", [JAN, FEB])
+    assert [tuple(r) for r in kept.read().collect()] == [("c", JAN, 9.0)]
+
+
 # --- run log -----------------------------------------------------------------------------------------------------
 
 
@@ -204,6 +351,9 @@ def test_logged_job(spark, tmp_path):
     assert (entry.state, entry.total_records) == ("completed", saved.count())
     assert entry.critical_issues == report.summary_counts(report.result_cube(saved), CONFIG.labels).first().critical_issues
     assert entry.execution_seconds > 0
+    # the filters were counted by the run itself
+    impact = run.impact(source, CONFIG).first()
+    assert entry.filters.asDict() == {c: impact[c] for c in schema.FILTER_COUNTS.fieldNames()}
     # all runs together are one table, partitioned by run
     assert {r.run_id for r in spark.read.parquet(out).select("run_id").distinct().collect()} == {run_id}
     assert os.path.isdir(result_path(out, run_id))
