@@ -12,9 +12,10 @@ Stretches of more than ``most`` bytes, and shorter ones that repeat a window, ar
 last of the least hashes among any ``spacing`` places. In periodic text that is one place a period. Of those closer than
 ``least`` bytes as many are passed over as it takes, which leaves equal chunks wherever the text began.
 
-Defined results: null and empty texts have no chunk; places are in code points, end exclusive; rows that repeat a doc_id
-and text repeat each other's passages and are returned as one document; a doc_id with several texts has the passages of each; a row without doc_id is compared with
-all others as one document of that kind and returned with a null doc_id. Other columns are not read.
+Defined results: null and empty texts have no chunk; places are in code points, end exclusive. A document is a doc_id with
+a text, told by the hash of the text (``content``): rows that repeat both repeat each other's passages and are returned as
+one document; each text of a doc_id has its own passages and loses only them; so has each text without doc_id. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymatch.llm import text as tx
+from tallymatch.llm.membership import maybe_in
+from tallymatch.llm.storage import stored
+from tallymatch.llm.suffix_dedup import Spans
 from tallymatch.operators.lookup import lookup
 
 WINDOW = 16
@@ -108,13 +112,14 @@ def _inner_cuts(
     return place[out]
 
 
-#: place holds number and begin, size holds length, words and whether the digest is new in the document: what is shuffled
-#: for every chunk of the corpus is four numbers.
-CHUNKS = "doc_id long, place long, size int, digest long"
+#: place holds number and begin, size holds length, words and whether the digest is new in the document; the digest has two
+#: halves. For every chunk of the corpus only the first half is shuffled, to be counted.
+CHUNKS = "doc_id long, content long, place long, size int, digest long, second long"
 _WORDS = 1 << 12
+_SECOND = (0x5851F42D4C957F2D,)
 
 
-def _chunk_batch(ids: pa.Array, texts: pa.Array, config: ChunkConfig) -> pa.RecordBatch:
+def _chunk_batch(ids: pa.Array, contents: pa.Array, texts: pa.Array, config: ChunkConfig) -> pa.RecordBatch:
     data, offsets = tx.utf8(texts, lower=False)
     starts, ends = cuts(data, offsets, config)
     digests = tx.span_hashes(data, starts, ends)
@@ -123,24 +128,33 @@ def _chunk_batch(ids: pa.Array, texts: pa.Array, config: ChunkConfig) -> pa.Reco
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     heads, _ = tx.word_spans(data, offsets)
     words = np.searchsorted(heads, ends) - np.searchsorted(heads, starts)
+    second = Spans(data, _SECOND)(starts, ends)[0]
     order = np.lexsort((starts, digests, of))
     new = np.ones(len(of), bool)
     new[order[1:]] = (of[order[1:]] != of[order[:-1]]) | (digests[order[1:]] != digests[order[:-1]])
     place = (np.arange(len(of)) - first[of]) << 32 | (points[starts] - points[offsets[of]])
     size = ((points[ends] - points[starts]) * _WORDS + words) * 2 + new
     return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(of)), pa.array(place.astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(digests.view(np.int64))],
-        ["doc_id", "place", "size", "digest"],
+        [
+            ids.take(pa.array(of)), contents.take(pa.array(of)), pa.array(place.astype(np.int64)), pa.array(size.astype(np.int32)),
+            pa.array(digests.view(np.int64)), pa.array(second.view(np.int64)),
+        ],
+        ["doc_id", "content", "place", "size", "digest", "second"],
     )
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+
+
 def packed_chunks(docs: DataFrame, config: ChunkConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in tx.text_slices(batch.column(1), 1 << 20):
-                yield _chunk_batch(batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), config)
+            ids, contents, texts = batch.columns
+            for a, b in tx.text_slices(texts, 1 << 20):
+                yield _chunk_batch(ids.slice(a, b - a), contents.slice(a, b - a), texts.slice(a, b - a), config)
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, CHUNKS)
+    return _identified(docs).mapInArrow(run, CHUNKS)
 
 
 def _unpacked(rows: DataFrame) -> DataFrame:
@@ -148,12 +162,13 @@ def _unpacked(rows: DataFrame) -> DataFrame:
     length = F.expr(f"size div {2 * _WORDS}")
     return rows.select(
         "doc_id",
+        "content",
         F.shiftright("place", 32).cast("int").alias("at"),
         begin.cast("int").alias("begin"),
         (begin + length).cast("int").alias("stop"),
         F.expr(f"cast(size div 2 % {_WORDS} as int)").alias("words"),
         "digest",
-        *[c for c in rows.columns if c not in ("doc_id", "place", "size", "digest")],
+        *[c for c in rows.columns if c not in ("doc_id", "content", "place", "size", "digest", "second")],
     )
 
 
@@ -162,29 +177,37 @@ def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     return _unpacked(packed_chunks(docs, config))
 
 
+_DOCUMENT = ["doc_id", "content"]
+
+
 def repeated_chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Chunks whose digest occurs at two places or more, with ``original``: whether it is the first of them. The rows are
-    dealt by doc_id."""
-    found = packed_chunks(docs, config)
-    common = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
-    marked = lookup(found, common.withColumn("known", F.lit(True)), ["digest"]).where("known")
-    original = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("size") % 2 == 1)
-    rows = _unpacked(marked.select("doc_id", "place", "size", "digest", original.alias("original"))).repartition("doc_id")
+    """Chunks whose digest occurs at two places or more, with ``original``: whether it is the first of them.
+
+    Halves of digests are counted alone; a bitmap of those that repeat keeps most chunks out of the second shuffle, in
+    which whole digests decide.
+    """
+    seen = packed_chunks(docs, config).select("digest")
+    common = seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    likely = stored(maybe_in(packed_chunks(docs, config), common, {"digest": F.col("digest")}).where("maybe").drop("maybe"))
+    whole = likely.groupBy("digest", "second").agg(F.count("*").alias("n"), F.min(F.struct(*_DOCUMENT)).alias("first_doc")).where("n > 1")
+    marked = lookup(likely, whole.drop("n").withColumn("known", F.lit(True)), ["digest", "second"]).where("known")
+    first = F.col("doc_id").eqNullSafe(F.col("first_doc.doc_id")) & (F.col("content") == F.col("first_doc.content"))
+    rows = _unpacked(marked.withColumn("original", first & (F.col("size") % 2 == 1)).drop("first_doc", "known"))
     # rows that repeat a document are one
-    return rows.groupBy("doc_id", "at", "begin", "stop", "words", "digest").agg(F.max("original").alias("original"))
+    return rows.groupBy(*_DOCUMENT, "at", "begin", "stop", "words").agg(F.max("original").alias("original"))
 
 
 def _with_runs(found: DataFrame) -> DataFrame:
     """A number that adjacent chunks of a document share; a document's chunks are all that one window holds."""
-    return found.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("at")))
+    return found.withColumn("run", F.col("at") - F.dense_rank().over(Window.partitionBy(*_DOCUMENT).orderBy("at")))
 
 
 def repeated_passages(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
-    """Runs of repeated chunks with at least ``words`` words: doc_id, begin, stop, n_words, n_chunks, n_duplicate_chars
-    (what can go without losing an original)."""
+    """Runs of repeated chunks with at least ``words`` words: doc_id, content (hash of the text), begin, stop, n_words, n_chunks,
+    n_duplicate_chars (what can go without losing an original)."""
     found = repeated_chunks(docs, config)
     length = F.col("stop") - F.col("begin")
-    spans = _with_runs(found).groupBy("doc_id", "run").agg(
+    spans = _with_runs(found).groupBy(*_DOCUMENT, "run").agg(
         F.min("begin").cast("long").alias("begin"),
         F.max("stop").cast("long").alias("stop"),
         F.sum("words").alias("n_words"),
@@ -196,22 +219,23 @@ def repeated_passages(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> D
 
 def drop_duplicates(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """``docs`` without the duplicate parts of repeated passages; one original of each chunk stays where it is first."""
-    found = repeated_chunks(docs, config)
-    ranked = _with_runs(found)
-    long = ranked.groupBy("doc_id", "run").agg(F.sum("words").alias("n_words")).where(F.col("n_words") >= config.words)
-    gone = ranked.where(~F.col("original")).join(long.drop("n_words"), ["doc_id", "run"], "left_semi")
-    holes = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("holes"))
-    at = docs.columns.index("text")
+    ranked = stored(_with_runs(repeated_chunks(docs, config)))
+    long = ranked.groupBy(*_DOCUMENT, "run").agg(F.sum("words").alias("n_words")).where(F.col("n_words") >= config.words)
+    gone = lookup(ranked.where(~F.col("original")), long.select(*_DOCUMENT, "run"), [*_DOCUMENT, "run"], "left_semi")
+    holes = stored(gone.groupBy(*_DOCUMENT).agg(F.array_sort(F.collect_set(F.struct("begin", "stop"))).alias("holes")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, cut = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            texts, cut = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out = [t if t is None or not h else _without(t, [(x["begin"], x["stop"]) for x in h]) for t, h in zip(texts, cut, strict=True)]
-            columns = [pa.array(out, batch.column(i).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    joined = docs.alias("d").join(holes.alias("h"), F.col("d.doc_id").cast("long") == F.col("h.doc_id"), "left").select("d.*", "h.holes")
-    return joined.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    marked = maybe_in(rows, holes, {c: F.col(c) for c in _DOCUMENT})
+    met = lookup(marked.where("maybe").drop("maybe"), holes, _DOCUMENT).select("row", "text", "holes")
+    cleaned = met.mapInArrow(run, T.StructType([met.schema["row"], T.StructField("text", T.StringType())]))
+    own = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return cleaned.select(*own).unionByName(marked.where("not maybe").select("row.*")).select(*docs.columns)
 
 
 def _without(text: str, holes: list[tuple[int, int]]) -> str:

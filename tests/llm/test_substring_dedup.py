@@ -101,3 +101,50 @@ def test_word_hashes():
     hashes, offsets = tx.words(*tx.utf8(pa.array(texts, pa.large_string())))
     assert np.diff(offsets).tolist() == [4, 0, 4, 0, 2, 1]
     assert (hashes[:4] == hashes[4:8]).all() and hashes[9] == hashes[10]
+
+
+def test_each_text_of_a_doc_id_is_a_document(spark):
+    """One of two texts of a doc_id, and one of two without doc_id, holds a repeated passage: the others lose nothing."""
+    rng = random.Random(13)
+    passage = prose(rng, 90)
+    other, alone = prose(rng, 300), prose(rng, 200)
+    rows = [(1, f"{prose(rng, 60)} {passage} {prose(rng, 60)}"), (2, f"{prose(rng, 30)} {passage}"), (2, other), (None, f"{passage} {prose(rng, 9)}"), (None, alone)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = sd.repeated_passages(docs).collect()
+    assert sorted(str(r.doc_id) for r in spans) == ["1", "2", "None"] and len({r.content for r in spans}) == 3
+    clean = [r.text for r in sd.drop_duplicates(docs).collect()]
+    # whichever comes first keeps the passage; texts without it stay whole
+    assert other in clean and alone in clean and sum(len(x) for x in clean) < sum(len(t) for _, t in rows) - 2 * (len(passage) - 60)
+
+
+def test_passages_of_a_whole_table_equal_plain_loops(spark):
+    """Chunks of each text by itself, counted in a dictionary, and runs of those that repeat."""
+    import pyarrow as pa
+    from collections import Counter
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    cut = {}
+    for r in table.collect():
+        data, offsets = tx.utf8(pa.array([r.text], pa.large_string()), lower=False)
+        starts, ends = sd.cuts(data, offsets, sd.ChunkConfig())
+        raw = data.tobytes()
+        cut[r.doc_id] = [raw[a:b] for a, b in zip(starts, ends)]
+    counts = Counter(c for chunks in cut.values() for c in chunks)
+    expected = set()
+    for doc, chunks in cut.items():
+        at, run, begin = 0, [], 0
+        for chunk in [*chunks, None]:
+            if chunk is not None and counts[chunk] > 1:
+                begin = at if not run else begin
+                run.append(chunk)
+            else:
+                whole = b"".join(run)
+                heads, _ = tx.word_spans(np.frombuffer(whole, np.uint8), np.array([0, len(whole)]))
+                # a word that goes on across the run's first border began before it: words differ by one at most
+                if run and len(heads) >= 22:
+                    expected.add((doc, begin, at))
+                run = []
+            at += len(chunk.decode()) if chunk is not None else 0
+    got = {(r.doc_id, r.begin, r.stop): r.n_words for r in sd.repeated_passages(table).collect()}
+    assert expected <= set(got) and len(expected) > 5
+    assert all(n <= 24 for k, n in got.items() if k not in expected)
