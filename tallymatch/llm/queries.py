@@ -55,7 +55,8 @@ def op1_lattice_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.span_digest(secret_scan.secret_spans(table(spark, sf_dir, "documents")))
+    config = secret_scan.ScanConfig(vocabulary=public_tokenizers.path("piece_bpe_32k.model"))
+    return secret_scan.span_digest(secret_scan.secret_spans(table(spark, sf_dir, "documents"), config))
 
 
 @query

@@ -2,7 +2,9 @@
 
 The guess cost of a value is the cheapest way to put it together from words, dates, repeats, keyboard walks and
 brute-force characters, found by dynamic programming over its positions. A value that only repeats a word or a walk
-("password1", "qwertyuiop", "xxxxxxxx") is a placeholder; one that nothing cheap explains is a secret.
+("password1", "qwertyuiop", "abcabcabcabc") is a placeholder; one that nothing cheap explains is a secret. Words are ranked
+by data: the word starts of a given piece model, in the order of its ranks, behind a short list of words that passwords are
+made of. After "is" and "was" a sentence may go on, so a value of lower-case letters alone is a word there, of any language.
 
 Defined results: a null text is empty and has no spans; spans are in code points, end exclusive; repeated rows give
 repeated rows; other columns are neither read nor changed. Values and texts have no length limit: the search for
@@ -16,6 +18,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,9 +46,10 @@ CONTEXT = re.compile(
     r"""["']?(?:\x20*(?:=>|:=|[:=])\x20*|\x20+(?:is|was)\x20+)(?:"([^"\s]+)"|'([^'\s]+)'|([^\s"'<>,;(){}\[\]]+))""",
     re.ASCII,
 )
+_SENTENCE = re.compile(r"\x20(?:is|was)\x20+[\"']?$", re.IGNORECASE)
 _HINTS = ("pass", "pwd", "secret", "token", "bearer", "credential", "key", "authorization")
 
-#: Frequent parts of chosen passwords, most frequent first; the rank is the guess cost.
+#: Frequent parts of chosen passwords, most frequent first; the rank is the guess cost. They come before any other words.
 COMMON_WORDS = (
     "password", "the", "love", "admin", "user", "test", "pass", "welcome", "login", "master", "secret", "token", "key",
     "hello", "dragon", "monkey", "letme", "letmein", "shadow", "sunshine", "princess", "football", "baseball", "summer",
@@ -57,8 +61,23 @@ COMMON_WORDS = (
     "red", "cat", "dog", "home", "house", "and", "for", "with", "this", "that", "from", "new", "old", "api", "app",
     "web", "dev", "prod", "local", "host", "client", "company", "office", "money", "time", "day", "year", "abc",
 )
-RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, RANK))
+LONGEST_BLOCK = 12  # of repeats
+
+
+@lru_cache(maxsize=4)
+def ranks(vocabulary: str | None = None) -> tuple[dict[str, int], int]:
+    """Words with their ranks, and the length of the longest: the list, then the word starts of a piece model's file."""
+    words = list(COMMON_WORDS)
+    if vocabulary is not None:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
+        pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
+        words += [p[1:].lower() for p in pieces if p.startswith("▁") and len(p) > 3 and p[1:].isalpha()]
+    found = {w: i + 1 for i, w in enumerate(dict.fromkeys(words))}
+    return found, max(map(len, found))
+
+
 KEYBOARD = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 _NEIGHBOURS = {(a, b) for row in KEYBOARD for x, y in zip(row, row[1:], strict=False) for a, b in ((x, y), (y, x))}
 _LEET = str.maketrans("@4031!57$", "aaoeiists")
@@ -67,10 +86,12 @@ _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]
 
 @dataclass(frozen=True)
 class ScanConfig:
-    """``least_length`` and ``least_guesses`` (log10) of a value that counts as a secret in a credential context."""
+    """``least_length`` and ``least_guesses`` (log10) of a value that counts as a secret in a credential context;
+    ``vocabulary`` is the path of a piece model whose word starts are cheap to guess."""
 
     least_length: int = 8
     least_guesses: float = 8.0
+    vocabulary: str | None = None
 
 
 def _alphabet(c: str) -> float:
@@ -80,8 +101,9 @@ def _alphabet(c: str) -> float:
     return math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def segments(value: str, vocabulary: str | None = None) -> tuple[float, list[tuple[str, int, int]]]:
     """log10 of the guesses for ``value`` and its cheapest segmentation as (kind, start, end)."""
+    rank, longest = ranks(vocabulary)
     n = len(value)
     lower = value.lower()
     plain = lower if len(lower) == n else value
@@ -93,6 +115,7 @@ def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
         if value[i].isdigit() and (m := _DATE.match(value, i)):
             dates.setdefault(m.end(), []).append(i)
     run = walk = 0  # starts of the repeat and of the walk that end here
+    periodic = [0] * (LONGEST_BLOCK + 1)  # starts of the stretches that end here and repeat blocks of that length
     step = 0.3  # a further segment: the order of segments has to be guessed too
     for i in range(1, n + 1):
         last = plain[i - 1]
@@ -101,11 +124,11 @@ def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
             walk = walk if (plain[i - 2], last) in _NEIGHBOURS else i - 1
         brute = _alphabet(value[i - 1])
         best, how = cost[i - 1] + brute + (0.0 if back[i - 1][0] == "brute" else step), ("brute", i - 1)
-        for j in range(max(0, i - _LONGEST), i - 2):
+        for j in range(max(0, i - longest), i - 2):
             for word, extra in ((plain[j:i], 0.0), (leet[j:i], math.log10(2))):
-                if word in RANK:
+                if word in rank:
                     shape = 0.0 if value[j:i].islower() or not value[j:i].upper() != value[j:i].lower() else math.log10(2)
-                    c = cost[j] + math.log10(RANK[word] + 1) + extra + shape + step
+                    c = cost[j] + math.log10(rank[word] + 1) + extra + shape + step
                     if c < best:
                         best, how = c, ("word", j)
         for j in dates.get(i, ()):
@@ -113,6 +136,12 @@ def segments(value: str) -> tuple[float, list[tuple[str, int, int]]]:
                 best, how = c, ("date", j)
         if i - run >= 3 and (c := cost[run] + _alphabet(last) + math.log10(i - run) + step) < best:
             best, how = c, ("repeat", run)
+        for p in range(2, min(LONGEST_BLOCK, i - 1) + 1):
+            if plain[i - 1 - p] != last:
+                periodic[p] = i - p
+            # the first block costs what it costs, the others only their number
+            elif i - periodic[p] >= 2 * p and (c := cost[periodic[p] + p] + math.log10((i - periodic[p]) / p) + step) < best:
+                best, how = c, ("repeat", periodic[p] + p)
         if i - walk >= 3 and (c := cost[walk] + math.log10(len(_NEIGHBOURS)) + math.log10(i - walk) + step) < best:
             best, how = c, ("walk", walk)
         cost[i], back[i] = best, how
@@ -139,13 +168,13 @@ def scan(text: str, config: ScanConfig = ScanConfig()) -> list[Span]:
     if hinted:
         for m in ASSIGN.finditer(text):
             if m.end(2) - m.start(2) >= ASSIGN_LEAST:
-                spans.append(("assign", m.start(), m.end(), m.start(2), m.end(2), segments(m[2])[0]))
+                spans.append(("assign", m.start(), m.end(), m.start(2), m.end(2), segments(m[2], config.vocabulary)[0]))
     if "AKIA" in text:
         for m in ACCESS.finditer(text):
             if m.end() - m.start() >= ACCESS_LEAST:
-                spans.append(("access", m.start(), m.end(), m.start(), m.end(), segments(m[0])[0]))
+                spans.append(("access", m.start(), m.end(), m.start(), m.end(), segments(m[0], config.vocabulary)[0]))
     for m in HEX.finditer(text):
-        spans.append(("hex", m.start(), m.end(), m.start(), m.end(), segments(m[0])[0]))
+        spans.append(("hex", m.start(), m.end(), m.start(), m.end(), segments(m[0], config.vocabulary)[0]))
     if hinted:
         base = sorted((s[3], s[4]) for s in spans)
         for m in CONTEXT.finditer(text):
@@ -153,7 +182,9 @@ def scan(text: str, config: ScanConfig = ScanConfig()) -> list[Span]:
             b = a + len(text[a:b].rstrip(".:!?"))
             if b - a < config.least_length or any(x <= a and b <= y for x, y in base):
                 continue
-            guesses = segments(text[a:b])[0]
+            if text[a:b].isalpha() and text[a:b].islower() and _SENTENCE.search(text, m.start(), a):
+                continue
+            guesses = segments(text[a:b], config.vocabulary)[0]
             if guesses >= config.least_guesses:
                 spans.append(("guess", a, b, a, b, guesses))
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))

@@ -6,11 +6,15 @@ import hashlib
 import math
 import re
 
+import public_tokenizers
 import pytest
 
 from tallymatch.llm import secret_scan as ss
 
 
+WORDS = public_tokenizers.path("piece_bpe_32k.model")
+
+
 def base_spans(text):
     out = []
     for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
@@ -44,6 +48,32 @@ def test_only_values_that_are_hard_to_guess_are_added():
     assert ss.segments("a" * 50_000)[0] < 8
 
 
+SUBJECTS = ("The password", "Your token", "Her secret", "Das passwd", "The API key", "Our passphrase", "La credential", "This bearer", "The access key", "The pwd")
+PREDICATES = (
+    "is required for every account", "was incorrect, as they discovered", "is sometimes forgotten", "is generated automatically by the server",
+    "was verschlüsselt gespeichert worden",
+)
+
+
+def test_sentences_have_no_span():
+    config = ss.ScanConfig(vocabulary=WORDS)
+    sentences = [f"{a} {b}." for a in SUBJECTS for b in PREDICATES]
+    assert len(sentences) == 50 and [x for x in sentences if ss.scan(x, config)] == []
+    for text in ("credentials: available on request", "The passphrase: unavailable", "access key: unfortunately missing"):
+        assert ss.scan(text, config) == []
+    # what follows "is" and no word explains is still found
+    assert [text[a:b] for text in ["the password is kV9$xq2!Lp now"] for _, a, b, *_ in ss.scan(text, config)] == ["kV9$xq2!Lp"]
+
+
+def test_words_of_the_vocabulary_and_repeated_blocks_are_cheap():
+    assert ss.segments("correcthorsebatterystaple", WORDS)[0] < 22 < ss.segments("correcthorsebatterystaple")[0]
+    assert ss.segments("unavailable", WORDS)[0] < 8
+    for value in ("abcabcabcabcabc", "xkxkxkxkxk", "q7zq7zq7zq7z", "password1password1password1"):
+        assert ss.segments(value)[0] < 8, value
+        assert ss.segments(value)[1][-1][0] == "repeat"
+    assert ss.segments("ab" * 50_000)[0] < 8
+
+
 def every_cost(value, i=0, brute=False):
     """Cheapest way to make value[i:], by trying all."""
     if i == len(value):
@@ -51,8 +81,8 @@ def every_cost(value, i=0, brute=False):
     best = ss._alphabet(value[i]) + (0 if brute else 0.3) + every_cost(value, i + 1, True)
     for j in range(i + 3, len(value) + 1):
         part = value[i:j]
-        if part in ss.RANK:
-            best = min(best, math.log10(ss.RANK[part] + 1) + 0.3 + every_cost(value, j))
+        if part in ss.ranks()[0]:
+            best = min(best, math.log10(ss.ranks()[0][part] + 1) + 0.3 + every_cost(value, j))
     return best
 
 
