@@ -38,7 +38,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, with secret values masked in ``text``."""
     on_executors(spark)
-    return secret_scan.mask_secrets(docs)
+    return secret_scan.mask_secrets(docs, secret_scan.ScanConfig(vocabulary=public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
