@@ -187,8 +187,9 @@ def repeated_chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig()) -> Dat
     which whole digests decide.
     """
     seen = packed_chunks(docs, config).select("digest")
-    common = seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    likely = stored(maybe_in(packed_chunks(docs, config), common, {"digest": F.col("digest")}).where("maybe").drop("maybe"))
+    common = stored(seen.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"))
+    # cut twice rather than written: both readers take little of it
+    likely = maybe_in(packed_chunks(docs, config), common, {"digest": F.col("digest")}).where("maybe").drop("maybe")
     whole = likely.groupBy("digest", "second").agg(F.count("*").alias("n"), F.min(F.struct(*_DOCUMENT)).alias("first_doc")).where("n > 1")
     marked = lookup(likely, whole.drop("n").withColumn("known", F.lit(True)), ["digest", "second"]).where("known")
     first = F.col("doc_id").eqNullSafe(F.col("first_doc.doc_id")) & (F.col("content") == F.col("first_doc.content"))
