@@ -43,6 +43,7 @@ from tallymatch.operators.lookup import lookup
 
 U64 = np.uint64
 EMPTY = U64(0xFFFFFFFFFFFFFFFF)
+SLICE_BYTES = 1 << 18  # of text whose darts are thrown at once
 _FIRST_BAND = -6  # ranks below 2**-6 form the first cell of an element
 
 
@@ -144,7 +145,7 @@ def signatures(docs: DataFrame, config: NearConfig) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, contents, texts = batch.columns
-            for a, b in tx.text_slices(texts):
+            for a, b in tx.text_slices(texts, SLICE_BYTES):
                 hashes, offsets = tx.words(*tx.utf8(texts.slice(a, b - a)))
                 doc, element, weight = tx.counted(*tx.shingles(hashes, offsets, config.shingle))
                 signature = dart_minhash(doc, element, weight.astype(np.float64), b - a, k)

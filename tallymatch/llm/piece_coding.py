@@ -31,7 +31,7 @@ from tallymatch.llm import text as tx
 
 U64 = np.uint64
 MARK = "▁"
-LEARN_BYTES = 8 << 20  # units of so much text are encoded together
+LEARN_BYTES = 4 << 20  # units of so much text are encoded together
 SLICE_BYTES = 1 << 20
 CACHED_UNITS = 250_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
