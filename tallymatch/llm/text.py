@@ -1,12 +1,16 @@
 """Words and word shingles of whole texts as 64-bit hashes, computed with numpy on Arrow buffers.
 
-A word is a maximal run of ASCII letters, digits, underscores and non-ASCII characters of the lowercased text. All
-functions work on whole texts; long ones are hashed piece by piece, so that working memory stays at some megabytes.
+A word is a maximal run of ASCII letters, digits, underscores and non-ASCII characters of the lowercased text, but for
+Unicode punctuation, spaces and controls, which separate words, and for the characters of scripts that are written without
+spaces, each of which is a word. All functions work on whole texts; long ones are hashed piece by piece, so that working
+memory stays at some megabytes.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +27,28 @@ _WORD[0x80:] = True
 for _first, _last in ("09", "az", "AZ", "__"):
     _WORD[ord(_first) : ord(_last) + 1] = True
 
+# Letters, marks and digits of scripts without spaces between words.
+UNSPACED = (
+    (0x0E01, 0x0E4E),  # Thai
+    (0x0E50, 0x0E59),
+    (0x0E81, 0x0EDF),  # Lao
+    (0x1000, 0x1049),  # Burmese
+    (0x1050, 0x109F),
+    (0x1780, 0x17D3),  # Khmer
+    (0x17E0, 0x17E9),
+    (0x3005, 0x3007),  # Chinese and Japanese
+    (0x3041, 0x3096),
+    (0x309D, 0x309F),
+    (0x30A1, 0x30FA),
+    (0x30FC, 0x30FF),
+    (0x3400, 0x4DBF),
+    (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F),
+    (0x20000, 0x3FFFF),
+)
+_PART, _SEPARATOR, _WHOLE = 0, 1, 2  # of a word, between words, a word by itself
+
 _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
 
@@ -95,20 +121,52 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """What each code point beyond ASCII is to words. Planes from the third on hold no punctuation."""
+    kinds = np.full(0x110000, _PART, np.uint8)
+    for point in range(0x80, 0x20000):
+        category = unicodedata.category(chr(point))
+        if category[0] in "PZ" or category == "Cc":
+            kinds[point] = _SEPARATOR
+    for first, last in UNSPACED:
+        kinds[first : last + 1] = _WHOLE
+    return kinds
+
+
+def _beyond_ascii(data: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Clear ``word`` at the bytes of separators, and return where characters that are words begin and end."""
+    heads, cuts = np.flatnonzero(data >= 0xC0), []
+    for start in range(0, len(heads), _PIECE):
+        head = heads[start : start + _PIECE]
+        first = data[head].astype(np.int32)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        point = first & (0x7F >> size)
+        for k in range(1, 4):
+            more = size > k
+            point[more] = point[more] << 6 | data[head[more] + k] & 0x3F
+        kind = _kinds()[point]
+        for k in range(4):
+            word[head[(kind == _SEPARATOR) & (size > k)] + k] = False
+        whole = kind == _WHOLE
+        cuts += [head[whole], head[whole] + size[whole]]
+    return np.concatenate(cuts) if cuts else heads
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, none across two texts."""
     word = _WORD[data]
+    cuts = np.concatenate([offsets[1:-1], _beyond_ascii(data, word)])
+    cuts = cuts[cuts < len(word)]
     before = np.empty(len(word), bool)
     before[:1] = False
     before[1:] = word[:-1]
-    inner = offsets[1:-1]
-    inner = inner[inner < len(word)]
-    before[inner] = False
+    before[cuts] = False
     starts = np.flatnonzero(word & ~before)
     after = np.empty(len(word), bool)
     after[-1:] = False
     after[:-1] = word[1:]
-    after[inner[inner > 0] - 1] = False
+    after[cuts[cuts > 0] - 1] = False
     return starts, np.flatnonzero(word & ~after) + 1
 
 

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import random
-import re
 from collections import Counter, defaultdict
 from dataclasses import replace
 
 import numpy as np
 import pytest
+import regex
 
 from tallymatch.llm import near_dedup as nd
 from tallymatch.llm.graph import components
 
 
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+WORD = regex.compile(rf"[{UNSPACED}]|(?:[a-z0-9_]|[^\x00-\x7f\p{{P}}\p{{Z}}\p{{Cc}}{UNSPACED}])+")
+
+
 def shingles(text, size=5):
-    words = re.findall(r"(?:[a-z0-9_]|[^\x00-\x7f])+", (text or "").lower())
+    words = WORD.findall((text or "").lower())
     return Counter(tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, 1 if words else 0)))
 
 
@@ -121,3 +125,20 @@ def test_connected_components(spark):
     made = components(spark.createDataFrame(edges, "a long, b long"))
     assert {r.node: r.component for r in made.collect()} == {i: root(i) for a, b in edges if a != b for i in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_unspaced_scripts(spark):
+    rng = random.Random(12)
+    first = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(2000))
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(300))
+    rows = [
+        (1, first),
+        (2, first[:700] + "。" + first[701:]),
+        (3, "".join(rng.sample(first, len(first)))),
+        (4, thai),
+        (5, thai[:150] + "ก" + thai[150:]),
+        (6, "‘Une phrase’ — où les guillemets «changent», rien d’autre…"),
+        (7, "Une phrase où les guillemets changent rien d autre"),
+    ]
+    got = found(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_force(rows) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 6}

@@ -148,3 +148,12 @@ def test_passages_of_a_whole_table_equal_plain_loops(spark):
     got = {(r.doc_id, r.begin, r.stop): r.n_words for r in sd.repeated_passages(table).collect()}
     assert expected <= set(got) and len(expected) > 5
     assert all(n <= 24 for k, n in got.items() if k not in expected)
+
+
+def test_passages_without_spaces_are_found(spark):
+    rng = random.Random(14)
+    passage = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(200))
+    docs = spark.createDataFrame([(1, prose(rng, 90) + passage), (2, passage + prose(rng, 70)), (3, prose(rng, 300))], "doc_id long, text string")
+    spans = {r.doc_id: r for r in sd.repeated_passages(docs).collect()}
+    assert set(spans) == {1, 2} and all(r.n_words > 150 for r in spans.values())
+    assert spans[2].begin < 40 and 160 < spans[2].stop <= 200
