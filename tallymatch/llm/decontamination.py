@@ -5,28 +5,34 @@ by size (number of word shingles, by powers of two), and for each size documents
 twice that size: a passage as long as the item lies in one window whole and makes up a quarter of it at least. Items and
 windows get one-permutation MinHash signatures (the least hash of each coordinate). A shared coordinate makes a
 candidate, and a candidate counts if the document holds the given share of the item's distinct shingles. Items of up to
-eight shingles are searched with windows of one shingle, where the signature is the shingle.
+eight shingles are searched with windows of one shingle, where the signature is the shingle. An item of fewer words than
+a shingle is one shingle of its own length, and is looked for among all runs of so many words.
 
-The index of the benchmark is sent to the tasks in parts of at most ``part_shingles`` shingles, so its memory has a
-bound; a benchmark of more is searched in as many passes.
+The benchmark is shingled once, into a table. Its index is sent to the tasks in parts of some ``part_shingles`` shingles, one
+at a time: what a part finds is written before the part is released and the next one made, so that the driver and the
+executors never hold more than one, however large the benchmark.
 
-Defined results: null and empty texts, and texts without words, match nothing; an item of fewer than five words has one
-shingle and matches only texts of exactly these words; repeated items and repeated rows are reported each. Other columns
-are not read.
+Defined results: null and empty texts, and texts without words, match nothing; an item of fewer than five words is in every
+text that holds these words in a row, so a benchmark of single common words marks most texts; repeated items and repeated
+rows are reported each. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymatch.llm import text as tx
+from tallymatch.llm.storage import discard, stored
 
 U64 = np.uint64
 NONE = U64(0xFFFFFFFFFFFFFFFF)
@@ -59,16 +65,18 @@ def _values(shingles: np.ndarray, size: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Signatures of a part of the benchmark: for each size, sorted values and the item of each."""
+    """Signatures of a part of the benchmark: for each number of words in a shingle and each size, sorted values and the
+    item of each."""
 
     ids: list
+    lengths: list[int]
     shingles: list[np.ndarray]
-    sizes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    sizes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def build_index(ids: list, shingles: list[np.ndarray], config: ContainmentConfig) -> Index:
-    by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for i, s in enumerate(shingles):
+def build_index(ids: list, lengths: list[int], shingles: list[np.ndarray], config: ContainmentConfig) -> Index:
+    by_size: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    for i, (length, s) in enumerate(zip(lengths, shingles, strict=True)):
         size = size_class(len(s))
         values = _values(s, size)
         if size > 1:
@@ -76,13 +84,13 @@ def build_index(ids: list, shingles: list[np.ndarray], config: ContainmentConfig
             least = np.full(m, NONE)
             np.minimum.at(least, (values % U64(m)).astype(np.int64), values)
             values = least[least != NONE]
-        by_size.setdefault(size, []).append((values, np.full(len(values), i)))
+        by_size.setdefault((length, size), []).append((values, np.full(len(values), i)))
     sizes = {}
-    for size, found in by_size.items():
+    for kind, found in by_size.items():
         values, items = np.concatenate([v for v, _ in found]), np.concatenate([i for _, i in found])
         order = np.argsort(values, kind="stable")
-        sizes[size] = (values[order], items[order], _filter(values))
-    return Index(ids, shingles, sizes)
+        sizes[kind] = (values[order], items[order], _filter(values))
+    return Index(ids, lengths, shingles, sizes)
 
 
 def _filter(values: np.ndarray) -> np.ndarray:
@@ -112,9 +120,11 @@ def _window_values(values: np.ndarray, offsets: np.ndarray, size: int, m: int) -
 
 def search(index: Index, texts: pa.Array, config: ContainmentConfig) -> list[tuple[int, int, int]]:
     """(text, item, number of the item's shingles found) for all items contained in the texts."""
-    shingles, offsets = tx.shingles(*tx.words(*tx.utf8(texts)), config.shingle)
+    hashes, starts = tx.words(*tx.utf8(texts))
+    held = {length: tx.shingles(hashes, starts, length) for length in {length for length, _ in index.sizes}}
     pairs = []
-    for size, (known, items, bits) in index.sizes.items():
+    for (length, size), (known, items, bits) in index.sizes.items():
+        shingles, offsets = held[length]
         values = _values(shingles, size)
         width = 1
         if size == 1:
@@ -133,6 +143,7 @@ def search(index: Index, texts: pa.Array, config: ContainmentConfig) -> list[tup
     for pair in np.unique(np.concatenate(pairs)) if pairs else ():
         i, item = divmod(int(pair), len(index.ids))
         wanted = index.shingles[item]
+        shingles, offsets = held[index.lengths[item]]
         found = int(np.isin(wanted, shingles[offsets[i] : offsets[i + 1]]).sum())
         if found >= config.threshold * len(wanted):
             out.append((i, item, found))
@@ -143,69 +154,115 @@ SCHEMA = "doc_id long, item_id long, n_shingles long, n_found long, containment
 
 
 def _item_shingles(benchmark: DataFrame, config: ContainmentConfig) -> DataFrame:
+    """The distinct shingles of each item and the number of words in one."""
+    schema = "item_id long, length int, shingles array<long>"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in tx.text_slices(batch.column(1)):
-                found, offsets = tx.shingles(*tx.words(*tx.utf8(batch.column(1).slice(a, b - a))), config.shingle)
-                lists = [np.unique(found[x:y]).view(np.int64) for x, y in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lists, pa.list_(pa.int64()))], ["item_id", "shingles"])
-
-    items = benchmark.selectExpr("cast(item_id as long) as item_id", "text").mapInArrow(run, "item_id long, shingles array<long>")
-    return items.where("size(shingles) > 0")
-
-
-def _parts(benchmark: DataFrame, config: ContainmentConfig) -> list[Index]:
-    """The benchmark's index in parts of bounded size; items are dealt by hash and weighed before any is collected."""
-    items = _item_shingles(benchmark, config)
+                hashes, starts = tx.words(*tx.utf8(batch.column(1).slice(a, b - a)))
+                lengths = np.minimum(np.diff(starts), config.shingle)
+                lists: list[np.ndarray] = [np.zeros(0, np.int64)] * (b - a)
+                for length in np.unique(lengths[lengths > 0]):
+                    found, offsets = tx.shingles(hashes, starts, int(length))
+                    for i in np.flatnonzero(lengths == length):
+                        lists[i] = np.unique(found[offsets[i] : offsets[i + 1]]).view(np.int64)
+                columns = [batch.column(0).slice(a, b - a), pa.array(lengths, pa.int32()), pa.array(lists, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["item_id", "length", "shingles"])
+
+    items = benchmark.selectExpr("cast(item_id as long) as item_id", "text").mapInArrow(run, schema)
+    return items.where("length > 0")
+
+
+def _parts(benchmark: DataFrame, config: ContainmentConfig) -> Iterator[tuple[Index, bool]]:
+    """The benchmark's index in parts of bounded size, each with whether it is the last. Items are dealt by hash and weighed
+    before any is collected, and a part is made only when it is asked for."""
+    items = stored(_item_shingles(benchmark, config))
     total = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
     n = -(-2 * total // config.part_shingles) if total > config.part_shingles // 2 else 1
-    out = []
     for part in range(n if total else 0):
         rows = items.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(n)) == part).collect()
-        out.append(build_index([r.item_id for r in rows], [np.array(r.shingles, np.int64).view(U64) for r in rows], config))
-    return out
+        if part + 1 == n:
+            discard(items)
+        hashes = [np.array(r.shingles, np.int64).view(U64) for r in rows]
+        yield build_index([r.item_id for r in rows], [r.length for r in rows], hashes, config), part + 1 == n
+    if not total:
+        discard(items)
+
+
+@contextmanager
+def _sent(spark: SparkSession, index: Index) -> Iterator[Broadcast]:
+    """An index on the executors until the work on it is written."""
+    shared = spark.sparkContext.broadcast(index)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
+def _found_in(texts: DataFrame, shared: Broadcast, config: ContainmentConfig) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            for a, b in tx.text_slices(batch.column(1)):
+                found = search(known, batch.column(1).slice(a, b - a), config)
+                if found:
+                    sizes = [len(known.shingles[item]) for _, item, _ in found]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).take(pa.array([a + i for i, _, _ in found])),
+                            pa.array([known.ids[item] for _, item, _ in found], pa.int64()),
+                            pa.array(sizes, pa.int64()),
+                            pa.array([n for *_, n in found], pa.int64()),
+                            pa.array([n / s for (*_, n), s in zip(found, sizes, strict=True)], pa.float64()),
+                        ],
+                        SCHEMA.replace(",", "").split()[::2],
+                    )
+
+    return texts.mapInArrow(run, SCHEMA)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, config: ContainmentConfig = ContainmentConfig()) -> DataFrame:
-    """One row per document and benchmark item in it: doc_id, item_id, n_shingles, n_found, containment."""
+    """One row per document and benchmark item in it: doc_id, item_id, n_shingles, n_found, containment.
+
+    The last part of the index is searched when the result is read, the ones before it at once.
+    """
     spark = docs.sparkSession
     texts = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
+    found = []
+    for index, last in _parts(benchmark, config):
+        if last:
+            found.append(_found_in(texts, spark.sparkContext.broadcast(index), config))
+        else:
+            with _sent(spark, index) as shared:
+                found.append(stored(_found_in(texts, shared, config)))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
 
-    def found_in(index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            for batch in batches:
-                for a, b in tx.text_slices(batch.column(1)):
-                    found = search(known, batch.column(1).slice(a, b - a), config)
-                    if found:
-                        sizes = [len(known.shingles[item]) for _, item, _ in found]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                batch.column(0).take(pa.array([a + i for i, _, _ in found])),
-                                pa.array([known.ids[item] for _, item, _ in found], pa.int64()),
-                                pa.array(sizes, pa.int64()),
-                                pa.array([n for *_, n in found], pa.int64()),
-                                pa.array([n / s for (*_, n), s in zip(found, sizes, strict=True)], pa.float64()),
-                            ],
-                            SCHEMA.replace(",", "").split()[::2],
-                        )
-
-        return texts.mapInArrow(run, SCHEMA)
-
-    parts = [found_in(index) for index in _parts(benchmark, config)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+def _marked(texts: DataFrame, shared: Broadcast, config: ContainmentConfig) -> DataFrame:
+    """Digests of the texts that hold an item of the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in tx.text_slices(batch.column(0)):
+                rows = batch.column(0).slice(a, b - a)
+                held = sorted({i for i, _, _ in search(shared.value, rows, config)})
+                digests = [sha256(rows[i].as_py().encode()).hexdigest() for i in held]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string())], ["digest"])
+
+    return texts.mapInArrow(run, "digest string")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, config: ContainmentConfig = ContainmentConfig()) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, unchanged."""
+    """The rows of ``docs`` that hold no benchmark item, unchanged.
+
+    Parts of the index before the last one write the digests of the texts they find, and these texts are left out by an
+    anti join; the last part is searched in the pass that returns the rows.
+    """
     spark = docs.sparkSession
     at = docs.columns.index("text")
 
-    def without(rows: DataFrame, index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
-
+    def without(rows: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for a, b in tx.text_slices(batch.column(at)):
@@ -217,19 +274,38 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, config: Containment
 
         return rows.mapInArrow(run, docs.schema)
 
-    return reduce(without, _parts(benchmark, config), docs)
+    rows, marks = docs, []
+    for index, last in _parts(benchmark, config):
+        if not last:
+            with _sent(spark, index) as shared:
+                marks.append(stored(_marked(docs.select("text"), shared, config)))
+            continue
+        if marks:
+            known = reduce(DataFrame.unionByName, marks).distinct()
+            rows = rows.join(known, F.sha2(docs["text"], 256) == known["digest"], "left_anti")
+        rows = without(rows, spark.sparkContext.broadcast(index))
+    return rows
+
+
+def _class(ranges: tuple[tuple[int, int], ...]) -> str:
+    return "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in ranges)
+
 
+_ASCII = r"\x{0}-/:-@\[-`{-\x{7F}"  # all that is no letter or digit; the underscore is let in again
+_UNSPACED = _class(tx.UNSPACED)
+WORD = rf"[{_UNSPACED}]|(?:_|[^{_ASCII}\p{{P}}\p{{Z}}\p{{Cc}}{_UNSPACED}])+"
 
 #: The same by plain joins of all shingles.
-SQL = r"""
-WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zA-Z_\x{80}-\x{10FFFF}]+') AS w FROM documents),
-items AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-zA-Z_\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+SQL = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM documents),
+items AS (SELECT item_id, w, least(len(w), 5) AS k
+  FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM benchmark)),
 doc_shingles AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM docs),
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM docs JOIN (SELECT DISTINCT k FROM items WHERE k > 0) ON len(w) >= k),
 item_shingles AS (
-  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM items),
+  SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM items WHERE k > 0),
 sizes AS (SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id)
 SELECT doc_id, item_id, n_shingles, count(*) AS n_found, count(*)::DOUBLE / n_shingles AS containment
 FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)

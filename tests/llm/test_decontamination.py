@@ -5,18 +5,21 @@ from __future__ import annotations
 import random
 from dataclasses import replace
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from tallymatch.llm import decontamination as dc
-from .test_near_dedup import shingles
+from .test_near_dedup import WORD, shingles
 
 
 def brute_force(docs, items, threshold=0.8):
-    held = [(i, set(shingles(t))) for i, t in docs]
+    lengths = [min(len(WORD.findall((t or "").lower())), 5) for _, t in items]
+    held = {n: [(i, set(shingles(t, n))) for i, t in docs] for n in set(lengths) - {0}}
     out = set()
-    for item, text in items:
-        wanted = set(shingles(text))
-        out |= {(i, item, len(wanted), len(wanted & s)) for i, s in held if wanted and len(wanted & s) >= threshold * len(wanted)}
+    for (item, text), n in zip(items, lengths, strict=True):
+        wanted = set(shingles(text, n))
+        out |= {(i, item, len(wanted), len(wanted & s)) for i, s in held.get(n, []) if len(wanted & s) >= threshold * len(wanted)}
     return out
 
 
@@ -61,3 +64,62 @@ def test_odd_rows(spark, messy, empty):
     none = items.limit(0)
     assert dc.contaminated(messy, none).count() == 0 and dc.drop_contaminated(messy, none).count() == messy.count()
     assert dc.contaminated(empty, items).count() == 0 and dc.drop_contaminated(empty, items).count() == 0
+
+
+UNSPACED_TEXT = "人工智能正在改变我们的生活方式和工作方式，未来还会更快"
+
+
+def mixed():
+    """Documents and items in several scripts, items of one to four words among them, inside longer texts too."""
+    docs = [
+        (1, f"前言。{UNSPACED_TEXT}。后记很长很长"),
+        (2, "ภาษาไทยเขียนติดกันไม่มีช่องว่าง and some English after it"),
+        (3, "What is the capital of France? The capital is Paris, of course; Paris—not Lyon."),
+        (4, "Paris"),
+        (5, "«Réponse» : l’été dernier … à Paris\u00a0!"),
+        (6, "nothing of the kind"),
+        (7, "the capital"),
+        (8, None),
+    ]
+    items = [(1, UNSPACED_TEXT), (2, "capital is Paris"), (3, "Paris"), (4, "ไทยเขียน"), (5, "été — dernier"), (6, "is Paris capital"), (7, "…"), (8, "改变")]
+    return docs, items
+
+
+@pytest.mark.parametrize("part_shingles", [4_000_000, 8])
+def test_short_items_and_scripts(spark, part_shingles):
+    docs, items = mixed()
+    config = replace(dc.ContainmentConfig(), part_shingles=part_shingles)
+    frames = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
+    got = found(dc.contaminated(*frames, config))
+    assert got == brute_force(docs, items)
+    assert {(d, i) for d, i, *_ in got} == {(1, 1), (1, 8), (2, 4), (3, 2), (3, 3), (4, 3), (5, 3), (5, 5)}
+    kept = dc.drop_contaminated(frames[0], frames[1], config)
+    assert sorted(r.doc_id for r in kept.collect()) == [6, 7, 8]
+    with duckdb.connect() as db:
+        for name, rows, key in (("documents", docs, "doc_id"), ("benchmark", items, "item_id")):
+            db.register(name, pa.table({key: [i for i, _ in rows], "text": [t for _, t in rows]}))
+        assert {r[:4] for r in db.execute(dc.SQL).fetchall()} == got
+
+
+def test_one_part_at_a_time(spark, monkeypatch):
+    """Of an index in many parts no more than one is on the executors, and its memory is released."""
+    docs, items = mixed()
+    alive, most, made = set(), [0], [0]
+    broadcast = spark.sparkContext.broadcast
+
+    def counted(value):
+        shared = broadcast(value)
+        if isinstance(value, dc.Index):
+            alive.add(shared)
+            most[0], made[0] = max(most[0], len(alive)), made[0] + 1
+            destroy = shared.destroy
+            monkeypatch.setattr(shared, "destroy", lambda: (alive.discard(shared), destroy()))
+        return shared
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", counted)
+    config = replace(dc.ContainmentConfig(), part_shingles=8)
+    frames = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")]
+    assert dc.contaminated(*frames, config).count() == 8
+    assert made[0] > 3 and most[0] == 1
+    alive.clear()
+    assert dc.drop_contaminated(*frames, config).count() == 3 and most[0] == 1
