@@ -5,12 +5,13 @@ later model also gets the probabilities of the earlier categories. In training t
 that a later model learns how far to trust earlier ones on texts they have not seen. The last category is the label
 ``toxic`` itself and decides.
 
-The labels name no kinds of toxicity. The earlier categories are marked from them: a toxic text is an insult or contempt
-if it has a word of that list, and unlisted if it has none of any list, as in languages the lists don't know; what
-gives those away is learned.
+The labels name no kinds of toxicity, so the earlier categories are learned: the labelled toxic texts are grouped by the
+words that speak for the label (spherical k-means), and each group is a category, the largest first. No word list is
+involved, whatever the language.
 
 Defined results: null and empty texts get the probabilities of the biases alone; without labelled rows, or with a
-category that no sampled row has, its probability is 0; rows are scored one by one. Other columns are not read.
+category that no sampled row has (fewer different toxic texts than groups), its probability is 0; toxic texts without a
+word that speaks for the label are in no group; rows are scored one by one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,34 +27,29 @@ from pyspark.sql import functions as F
 from tallymatch.llm import text as tx
 from tallymatch.llm.training import labelled_sample
 
-#: Words of the listed categories, in lower case.
-LISTS = {
-    "insult": (
-        "idiot", "idiots", "moron", "morons", "stupid", "dumb", "fool", "clown", "loser", "losers", "imbecile", "jerk",
-        "dimwit", "dunce", "halfwit", "nitwit",
-    ),
-    "contempt": (
-        "trash", "scum", "garbage", "vermin", "filth", "worthless", "useless", "pathetic", "disgusting", "vile",
-        "repulsive", "despicable", "parasite",
-    ),
-}
-CATEGORIES = (*LISTS, "unlisted", "toxic")
 CONTINUED = np.uint64(0x5851F42D4C957F2D)  # tells a word's beginning from the same bytes as a whole word
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
     """At most ``train_rows`` labelled documents are used for the fit, whole. Of the words and beginnings in them, the
-    ``features`` that differ most between the labels are used."""
+    ``features`` that differ most between the labels are used. Toxic texts are put into ``groups`` groups, the best of
+    ``starts`` groupings."""
 
     train_rows: int = 6000
     features: int = 512
     beginning: int = 6
+    groups: int = 4
+    starts: int = 8
     folds: int = 4
     penalty: float = 1e-4
     steps: int = 150
     threshold: float = 0.5
 
+    @property
+    def categories(self) -> tuple[str, ...]:
+        return (*[f"group_{i + 1}" for i in range(self.groups)], "toxic")
+
 
 def _tokens(texts: pa.Array, config: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
     """Text numbers and hashes of all words, and of the first bytes of longer ones."""
@@ -66,10 +62,6 @@ def _tokens(texts: pa.Array, config: ToxicityConfig) -> tuple[np.ndarray, np.nda
     return np.concatenate([of, of[long]]), np.concatenate([words, first])
 
 
-def _word_hashes(words: tuple[str, ...]) -> np.ndarray:
-    return tx.words(*tx.utf8(pa.array(list(words), pa.large_string())))[0]
-
-
 @dataclass
 class ChainModel:
     vocabulary: np.ndarray  # sorted hashes
@@ -139,23 +131,66 @@ def _logistic(x: np.ndarray, y: np.ndarray, config: ToxicityConfig) -> tuple[np.
     return w[:-1].astype(np.float64), float(w[-1])
 
 
+def toxic_groups(present: np.ndarray, toxic: np.ndarray, config: ToxicityConfig) -> np.ndarray:
+    """The group of each text, from 0 by falling size; -1 for texts that are not toxic or have no word that speaks for it."""
+    group = np.full(len(present), -1)
+    if not toxic.any():
+        return group
+    speaks = present[toxic].mean(axis=0) > present.mean(axis=0)
+    x = present[np.ix_(toxic, speaks)].astype(np.float64)
+    x *= np.log(len(x) / np.maximum(x.sum(axis=0), 1)) + 1  # rarer words tell groups apart
+    norm = np.linalg.norm(x, axis=1)
+    members = np.flatnonzero(toxic)[norm > 0]
+    x = x[norm > 0] / norm[norm > 0, None]
+    if not len(x):
+        return group
+    of = max((_grouped(x, config.groups, np.random.default_rng(start)) for start in range(config.starts)), key=lambda found: found[1])[0]
+    # equal sizes: the one that holds the first text
+    used, first, sizes = np.unique(of, return_index=True, return_counts=True)
+    rank = np.empty(len(used), int)
+    rank[np.lexsort((first, -sizes))] = np.arange(len(used))
+    group[members] = rank[np.searchsorted(used, of)]
+    return group
+
+
+def _grouped(x: np.ndarray, groups: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Spherical k-means on rows of length 1: the group of each row, and the sum of cosines with the group's centre."""
+    centres = x[[rng.integers(len(x))]]
+    for _ in range(groups - 1):
+        far = np.maximum(1 - (x @ centres.T).max(axis=1), 0)
+        if far.sum() < 1e-9:  # every row is a centre
+            break
+        centres = np.vstack([centres, x[rng.choice(len(x), p=far / far.sum())]])
+    of = np.full(len(x), -1)
+    while True:
+        cosine = x @ centres.T
+        nearest = cosine.argmax(axis=1)
+        # a row moves only for a better centre, so that the sum grows and the loop ends
+        at = np.arange(len(x))
+        moves = (of < 0) | (cosine[at, nearest] > cosine[at, of] + 1e-12)
+        if not moves.any():
+            return of, float(cosine[at, of].sum())
+        of = np.where(moves, nearest, of)
+        sums = np.stack([x[of == c].sum(axis=0) for c in range(len(centres))])
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-12), centres)
+
+
 def fit(sets: list[np.ndarray], toxic: np.ndarray, config: ToxicityConfig) -> ChainModel:
     """Fit the chain on the hashed words of sampled texts (arrays of distinct hashes) and their labels."""
     vocabulary = _select(sets, toxic, config)
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     present = _presence(of, np.concatenate(sets) if sets else np.zeros(0, np.uint64), len(sets), vocabulary)
-    listed = {c: np.array([np.isin(_word_hashes(w), s).any() for s in sets], bool) for c, w in LISTS.items()}
-    marks = {c: listed[c] & (toxic == 1) for c in LISTS}
-    marks["unlisted"] = (toxic == 1) & ~np.any(list(listed.values()), axis=0) if sets else np.zeros(0, bool)
-    marks["toxic"] = toxic == 1
+    group = toxic_groups(present, toxic == 1, config)
+    marks = [*[group == i for i in range(config.groups)], toxic == 1]
     fold = np.arange(len(sets)) % config.folds
     links = []
     earlier = np.zeros((len(sets), 0), np.float32)
-    for category in CATEGORIES:
+    for mark in marks:
         x = np.hstack([present, earlier])
-        y = marks[category].astype(np.float32)
+        y = mark.astype(np.float32)
         links.append(_logistic(x, y, config))
-        if category == CATEGORIES[-1]:
+        if len(links) == len(marks):
             break
         unseen = np.zeros(len(sets))
         for k in range(config.folds):
@@ -194,7 +229,7 @@ def _by_text(of: np.ndarray, hashes: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """doc_id, the probability of each category (p_insult, p_contempt, p_unlisted, p_toxic), and toxic, for every row."""
+    """doc_id, the probability of each category (p_group_1 and so on, p_toxic), and toxic, for every row."""
     model = train(docs, labels, config)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +237,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, config: ToxicityConfig =
             for a, b in tx.text_slices(batch.column(1)):
                 p = model.score(batch.column(1).slice(a, b - a), config)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), *[pa.array(c) for c in p.T]], ["doc_id", *[f"p_{c}" for c in CATEGORIES]]
+                    [batch.column(0).slice(a, b - a), *[pa.array(c) for c in p.T]], ["doc_id", *[f"p_{c}" for c in config.categories]]
                 )
 
-    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in CATEGORIES)
+    schema = "doc_id long, " + ", ".join(f"p_{c} double" for c in config.categories)
     scored = docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, schema)
     return scored.withColumn("toxic", F.col("p_toxic") >= config.threshold)
 

@@ -58,11 +58,47 @@ def test_each_link_gets_the_earlier_ones():
     sets = [np.unique(rng.integers(0, 200, 30)).astype(np.uint64) for _ in range(300)]
     marked = np.array([(s < 5).any() for s in sets])
     model = toxicity.fit(sets, marked.astype(float), toxicity.ToxicityConfig())
-    assert [len(w) for w, _ in model.links] == [len(model.vocabulary) + i for i in range(len(toxicity.CATEGORIES))]
+    assert [len(w) for w, _ in model.links] == [len(model.vocabulary) + i for i in range(len(toxicity.ToxicityConfig().categories))]
     present = np.stack([np.isin(model.vocabulary, s) for s in sets]).astype(np.float32)
     assert ((model.probabilities(present)[:, -1] > 0.5) == marked).mean() > 0.98
 
 
+def test_groups_are_found_again_without_lists():
+    rng = np.random.default_rng(5)
+    kind = rng.choice([-1, 0, 1, 2], 600, p=[0.7, 0.15, 0.1, 0.05])
+    present = (rng.random((600, 60)) < 0.1).astype(np.float32)
+    for k in range(3):
+        present[kind == k, 40 + 6 * k : 46 + 6 * k] = (rng.random(((kind == k).sum(), 6)) < 0.7).astype(np.float32)
+        present[kind != k, 40 + 6 * k : 46 + 6 * k] = 0
+    group = toxicity.toxic_groups(present, kind >= 0, replace(toxicity.ToxicityConfig(), groups=3))
+    assert (group[kind < 0] == -1).all() and (group[kind >= 0] == kind[kind >= 0]).mean() > 0.9
+    assert (toxicity.toxic_groups(present.copy(), kind >= 0, replace(toxicity.ToxicityConfig(), groups=3)) == group).all()
+
+
+def test_groups_of_few_texts():
+    config = toxicity.ToxicityConfig()
+    present = np.eye(4, dtype=np.float32)
+    assert toxicity.toxic_groups(present, np.array([1, 0, 0, 0], bool), config).tolist() == [0, -1, -1, -1]
+    assert toxicity.toxic_groups(present, np.zeros(4, bool), config).tolist() == [-1] * 4
+    assert toxicity.toxic_groups(np.zeros((4, 0), np.float32), np.ones(4, bool), config).tolist() == [-1] * 4
+    assert set(toxicity.toxic_groups(np.ones((4, 2), np.float32), np.array([1, 1, 1, 0], bool), config)) == {-1}
+    # equal texts are one group
+    same = toxicity.toxic_groups(np.array([[1, 0], [1, 0], [0, 1]], np.float32), np.array([1, 1, 0], bool), config)
+    assert same.tolist() == [0, 0, -1]
+
+
+def test_toxicity_by_language_on_texts_not_trained_on(spark):
+    tables = {t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")}
+    rows = toxicity.score_toxicity(tables["documents"], tables["labels"].where("doc_id % 3 <> 0"))
+    rows = rows.where("doc_id % 3 = 0").toPandas().merge(tables["labels"].toPandas(), on="doc_id", suffixes=("", "_label"))
+    rows = rows.merge(tables["documents"].select("doc_id", "lang").toPandas(), on="doc_id")
+    for lang, part in rows.groupby("lang"):
+        toxic = part.toxic_label == 1
+        assert part.toxic[~toxic].mean() < 0.02, lang
+        if toxic.sum() >= 5:
+            assert area(part.toxic_label.to_numpy(), part.p_toxic.to_numpy()) > 0.85, lang
+
+
 def test_toxicity_of_odd_rows(messy, empty, labels, no_labels, documents):
     rows = toxicity.score_toxicity(messy, labels).collect()
     assert len(rows) == messy.count() and all(0 <= r.p_toxic <= 1 for r in rows)
