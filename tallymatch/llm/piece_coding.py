@@ -1,14 +1,17 @@
 """SentencePiece encoding and decoding in numpy, equal to the library for byte-pair models.
 
 A text is cut into units no piece reaches across. All new units of a batch advance together through a Viterbi pass, those
-of equal length from the first character to the last: at each position hashes of the substrings that end there probe the sorted keys of the pieces, a
-piece scores if it can stand behind the best piece before it, and the winner is stored as backpointer. A piece pair can
+of equal length from the first character to the last: at each position hashes of the substrings that end there probe the sorted keys of the pieces, the
+score of a piece is (whether it can stand behind the best piece before it, its length), and the maximum is stored as backpointer. A piece pair can
 stand side by side if merging by rank leaves their border alone; that is a walk down the merge trees of both, done for
 all candidates at once. For a model of merges the best path is unique and is what merging itself gives; a plain sum of
 piece scores would choose other pieces.
 
-Units with two or more spaces in a row, where the model has pieces of equal rank, and units of over 4,096 characters are
-few and are merged directly, with a heap.
+Runs of spaces have pieces of equal rank, behind all others; of equal ranks the leftmost is merged first. So words are
+whole before any of them is made, and two of them can stand side by side if merging as many spaces gives just these two.
+
+A unit of over 4,096 characters has nothing to advance with. All its substrings are probed and all pairs of pieces that
+can meet are scored in numpy, window by window; then one pass over its positions takes the maxima.
 Characters without a piece become byte pieces.
 
 Defined results: null and empty texts have no ids; the space mark U+2581 in a text counts as a space, as in the library;
@@ -54,6 +57,11 @@ def _span_hash(sums: np.ndarray, rows: np.ndarray, start: int, end: int) -> np.n
     return tx.mix((sums[rows, end] - sums[rows, start]) * _INVERSES[start] + tx.golden(end - start))
 
 
+def _runs_hash(sums: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of substrings of one length in a single row."""
+    return tx.mix((sums[0, starts + length] - sums[0, starts]) * _INVERSES[starts] + tx.golden(length))
+
+
 class PieceModel:
     """Pieces of a byte-pair model, their ranks and merge trees."""
 
@@ -81,6 +89,7 @@ class PieceModel:
         self.score = score
         self.longest = max(map(len, self.ids))
         self._trees()
+        self._spaces()
         self._probes()
 
     def merged(self, unit: str) -> list[str]:
@@ -144,6 +153,23 @@ class PieceModel:
         self.pair_bits = np.zeros(1 << 21, bool)
         self.pair_bits[(tx.mix(self.pair_keys.view(U64)) >> U64(43)).astype(np.int64)] = True
 
+    def _spaces(self) -> None:
+        """Which pieces of spaces alone merging makes, and which two of them can stand side by side."""
+        runs = {len(p): i for p, i in self.ids.items() if not p.strip(MARK)}
+        others = [s for p, s in self.score.items() if len(p) > 1 and p.strip(MARK)]
+        if any(self.score[MARK * k] >= min(others, default=0) for k in runs if k > 1):
+            raise ValueError("spaces are merged before words")
+        split = {k: [len(p) for p in self.merged(MARK * k)] for k in range(1, 2 * max(runs, default=0) + 1)}
+        self.spaces = np.zeros(len(self.bytes), np.int64)  # length of a piece of spaces
+        for k, i in runs.items():
+            self.spaces[i] = k
+            self.made[i] = split[k] == [k]
+        self.space = runs.get(1, -1)
+        self.space_pairs = np.zeros((max(runs, default=0) + 1,) * 2, bool)
+        for a in runs:
+            for b in runs:
+                self.space_pairs[a, b] = split[a + b] == [a, b]
+
     def _probes(self) -> None:
         """Sorted hashes of all pieces by length."""
         self.probe: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -189,7 +215,11 @@ class PieceModel:
         ranks the left one comes first.
         """
         good = np.ones(len(a), bool)
-        at = np.arange(len(a))
+        both = (self.spaces[a] > 0) & (self.spaces[b] > 0)
+        good[both] = self.space_pairs[self.spaces[a[both]], self.spaces[b[both]]]
+        at = np.flatnonzero(~both)
+        # when a word meets spaces they are single ones still
+        a, b = np.where(self.spaces[a] > 0, self.space, a)[at], b[at]
         limit = np.full(len(a), 1 << 30, np.int64)  # twice the rank undone last, and one more on the right side
         while len(at):
             crossed = 2 * self._pair_rank(a, b) < limit
@@ -205,6 +235,8 @@ class PieceModel:
         """Last piece and its start on the best path to each position; units in order of falling length. A character
         without a piece has -2, the start -1."""
         n, width = codes.shape
+        if width > LONGEST_CLASS:
+            return self._long_path(codes)
         last = np.full((n, width + 1), -1, np.int64)
         back = np.zeros((n, width + 1), np.int64)
         sums = _prefix_sums(codes)
@@ -231,6 +263,56 @@ class PieceModel:
             last[open_, i], back[open_, i] = -2, i - 1
         return last, back
 
+    def _candidates(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """End, length and piece of all substrings of a row that are pieces, by end and falling length."""
+        sums = _prefix_sums(codes[None])
+        ends, sizes, pieces = [], [], []
+        for k in sorted(self.probe, reverse=True):
+            starts = np.arange(max(len(codes) - k + 1, 0))
+            found = self.find(_runs_hash(sums, starts, k), k)
+            hit = np.flatnonzero(found >= 0)
+            ends.append(starts[hit] + k)
+            sizes.append(np.full(len(hit), k))
+            pieces.append(found[hit])
+        end, size, piece = np.concatenate(ends), np.concatenate(sizes), np.concatenate(pieces)
+        order = np.argsort(end, kind="stable")
+        return end[order], size[order], piece[order]
+
+    def _long_path(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_paths`` of a single long unit."""
+        n = len(self.bytes)
+        last, sizes = [-1], [0]
+        stands: dict[int, bool] = {}
+        step = LONGEST_CLASS - self.longest
+        for a in range(0, codes.shape[1], step):
+            low = max(0, a - self.longest)
+            end, size, piece = self._candidates(codes[0, low : a + step])
+            cuts = np.searchsorted(end, np.arange(codes[0, low : a + step].size + 2))
+            # every candidate behind every candidate that ends where it begins
+            first, stop = cuts[end - size], cuts[end - size + 1]
+            behind = np.repeat(np.arange(len(end)), stop - first)
+            before = np.arange(len(behind)) - np.repeat(np.cumsum(stop - first) - (stop - first), stop - first) + first[behind]
+            keys = np.unique(piece[before] * n + piece[behind])
+            if len(stands) > CACHED_UNITS:
+                stands.clear()
+            stands.update(zip(keys.tolist(), self.stand_together(keys // n, keys % n).tolist(), strict=True))
+            bounds, lengths, pieces = cuts.tolist(), size.tolist(), piece.tolist()
+            for e in range(a + 1, min(a + step, codes.shape[1]) + 1):
+                best, length = -2, 1
+                for c in range(bounds[e - low], bounds[e - low + 1]):
+                    x = last[e - lengths[c]]
+                    if x >= 0:
+                        key = x * n + pieces[c]
+                        if key not in stands:  # x began before this window
+                            stands[key] = bool(self.stand_together(np.array([x]), np.array([pieces[c]]))[0])
+                        if not stands[key]:
+                            continue
+                    best, length = pieces[c], lengths[c]
+                    break
+                last.append(best)
+                sizes.append(length)
+        return np.array([last]), np.arange(len(last))[None] - np.array([sizes])
+
     def _viterbi(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the units, and the number of each."""
         last, back = self._paths(codes, lengths)
@@ -254,12 +336,6 @@ class PieceModel:
         order = np.lexsort((end, unit))
         return ids[order].astype(np.int32), np.bincount(unit, minlength=len(codes))
 
-    def _merged_ids(self, unit: str) -> np.ndarray:
-        ids: list[int] = []
-        for part in self.merged(unit):
-            ids.extend([self.ids[part]] if part in self.ids else [self.byte_ids[x] for x in part.encode()])
-        return np.array(ids, np.int32)
-
     def encode_units(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the units in order, and the number of each. Units of similar length make a class."""
         out: list[np.ndarray] = []
@@ -267,15 +343,11 @@ class PieceModel:
         sizes = np.zeros(len(units), np.int64)
         classes: dict[int, list[int]] = {}
         for i, u in enumerate(units):
-            if u.startswith(MARK + MARK) or len(u) > LONGEST_CLASS:
-                out.append(self._merged_ids(u))
-                order.append(np.array([i]))
-                sizes[i] = len(out[-1])
-            else:
-                classes.setdefault((len(u) - 1).bit_length(), []).append(i)
+            classes.setdefault((len(u) - 1).bit_length(), []).append(i)
         for members in classes.values():
             members.sort(key=lambda i: -len(units[i]))
-            step = max(1, 1_000_000 // len(units[members[0]]))
+            longest = len(units[members[0]])
+            step = max(1, 1_000_000 // longest) if longest <= LONGEST_CLASS else 1
             for a in range(0, len(members), step):
                 part = np.array(members[a : a + step])
                 lengths = np.array([len(units[i]) for i in part])

@@ -42,11 +42,23 @@ def test_pieces_equal_the_library(library, documents):
 def test_long_units_are_coded_like_the_library_and_in_time(library):
     rng = random.Random(13)
     texts = ["".join(rng.choices("etaoinshrdlcu", k=n)) for n in (4096, 4097, 40_000)]
-    both(library, [*texts, " " * 5000 + "x", "ab" * 3000, "漢字é" * 2000])
+    both(library, [*texts, " " * 5000 + "x", "ab" * 3000, "漢字é" * 2000, "0" * 4100 + "\x00", " " * 9001])
     model = pc.load(PIECES)
     started = time.process_time()
-    model.merged("".join(rng.choices("etaoinshrdlcu", k=100_000)))
-    assert time.process_time() - started < 20
+    model.encode_units(["".join(rng.choices("etaoinshrdlcu", k=100_000))])
+    assert time.process_time() - started < 10
+
+
+def test_runs_of_spaces_are_coded_like_the_library(library):
+    words = ["", "x", "the", "'s", "漢", "\x00", "12", "Öl", "_", "(", "[]", "#"]
+    both(library, [" " * k + w for k in range(70) for w in words] + ["a" + " " * k + "b\n" + " " * (69 - k) + "c" for k in range(70)])
+
+
+def test_spaces_and_long_units_don_t_leave_the_pass(monkeypatch):
+    model = pc.load(PIECES)
+    monkeypatch.setattr(pc.PieceModel, "merged", None)
+    ids, sizes = model.encode_units([pc.MARK * 5 + "if", pc.MARK * 40, "ab" * 3000])
+    assert sizes.min() > 0 and len(ids) == sizes.sum()
 
 
 @settings(max_examples=150, deadline=None)
