@@ -23,7 +23,7 @@ from tallymatch.plans import detail_view as view
 from tallymatch.plans import reconcile as run
 from tallymatch.plans.investigation import Investigation
 from tallymatch.plans.job import RunLog, result_path, run_job
-from tallymatch.sinks import MonthlyResult, read_result, shared_dir, write_result, written
+from tallymatch.sinks import MonthlyResult, read_result, shared_dir, write_result
 from tallymatch.sources import DerivedSource
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,13 +450,14 @@ def view_single_period(s):
 
 
 def _investigation(s: DerivedSource, keys: DataFrame | None = None) -> Investigation:
-    return Investigation.of(s, written(run.reconcile(s, CONFIG, keep_plant=True)), CONFIG, keys)
+    return Investigation.of(s, run.reconcile(s, CONFIG, keep_plant=True), CONFIG, keys)
 
 
 @query
 def investigate_verify(s):
     # against the whole tables: a run that starts within a month sees only part of them
-    return inv.verify(_investigation(s).cases, s.usage(), s.forecast(), CONFIG)
+    cases = _investigation(s).cases
+    return inv.verify(cases, s.usage_among(cases), s.forecast_among(cases), CONFIG, s.reduces)
 
 
 @query

@@ -69,6 +69,12 @@ def of_cases(rows: DataFrame, cases: DataFrame, keys: list[str]) -> DataFrame:
     return lookup(rows, cases.select(*keys).distinct(), keys, "left_semi")
 
 
+def _of_cases(rows: DataFrame, cases: DataFrame, keys: list[str], reduced: bool) -> DataFrame:
+    """For tables that meet the cases exactly later on: ``reduced`` ones hold hardly more than the rows of the cases, and
+    are not shuffled once more to leave out the rest."""
+    return rows if reduced else of_cases(rows, cases, keys)
+
+
 def case_keys(cases: DataFrame) -> DataFrame:
     """Distinct keys to look up. Plants sharing a location give several rows per key, so lookups go by this."""
     return cases.select(*CASE_KEY).distinct()
@@ -78,7 +84,7 @@ def _parsed(usage: DataFrame, cfg: ReconConfig) -> DataFrame:
     return normalize_key_text(parse_key(usage), schema.USAGE_KEY, cfg)
 
 
-def usage_history(cases: DataFrame, usage: DataFrame, cfg: ReconConfig) -> DataFrame:
+def usage_history(cases: DataFrame, usage: DataFrame, cfg: ReconConfig, reduced: bool = False) -> DataFrame:
     """Look-back and all-time usage of every case key; keys without usage keep zero counts.
 
     The look-back has a lower bound only, 12 months before the period of the case. Usage is summed up per key and
@@ -86,7 +92,7 @@ def usage_history(cases: DataFrame, usage: DataFrame, cfg: ReconConfig) -> DataF
     group holds one part at one site, so its size is the number of months, however many raw rows there were.
     """
     monthly = (
-        of_cases(_parsed(usage, cfg), cases, schema.USAGE_KEY)
+        _of_cases(_parsed(usage, cfg), cases, schema.USAGE_KEY, reduced)
         .groupBy(*schema.USAGE_KEY, F.to_date("period_end").alias("period"))
         .agg(
             F.count("*").alias("n_rows"),
@@ -138,12 +144,12 @@ def _mean(total: str, count: str) -> Column:
     return F.when(F.col(count) > 0, F.round(F.col(total) / F.col(count), 2))
 
 
-def forecast_presence(cases: DataFrame, forecast: DataFrame, cfg: ReconConfig) -> DataFrame:
+def forecast_presence(cases: DataFrame, forecast: DataFrame, cfg: ReconConfig, reduced: bool = False) -> DataFrame:
     """Forecast rows ever sent for the company and part of each case, whatever the location."""
     sent = normalize_key_text(
         forecast.select("company", F.col("product").alias("part_num"), "period", "qty"), schema.PART_KEY, cfg
     )
-    by_part = of_cases(sent, cases, schema.PART_KEY).groupBy("company", "part_num").agg(
+    by_part = _of_cases(sent, cases, schema.PART_KEY, reduced).groupBy("company", "part_num").agg(
         F.count("*").alias("forecast_rows"),
         F.min("period").alias("first_period"),
         F.max("period").alias("last_period"),
@@ -161,14 +167,16 @@ def forecast_presence(cases: DataFrame, forecast: DataFrame, cfg: ReconConfig) -
     )
 
 
-def verify(cases: DataFrame, usage: DataFrame, forecast: DataFrame, cfg: ReconConfig) -> DataFrame:
+def verify(
+    cases: DataFrame, usage: DataFrame, forecast: DataFrame, cfg: ReconConfig, reduced: bool = False
+) -> DataFrame:
     """Recompute both amounts of every case from the raw tables and compare with the reported ones.
 
     The forecast lookup ignores the location; of several rows the first by location and period is taken.
     """
     case = [*CASE_KEY, "location"]
     used = (
-        usage_rule(of_cases(_parsed(usage, cfg), cases, schema.USAGE_KEY), cfg)
+        usage_rule(_of_cases(_parsed(usage, cfg), cases, schema.USAGE_KEY, reduced), cfg)
         .groupBy(*schema.USAGE_KEY, F.to_date("period_end").alias("period"))
         .agg(F.min(F.struct(F.col("actual_usage").isNull(), "actual_usage")).alias("first"))
         .select(*CASE_KEY, F.col("first.actual_usage").alias("found_actual"))
@@ -186,7 +194,7 @@ def verify(cases: DataFrame, usage: DataFrame, forecast: DataFrame, cfg: ReconCo
         schema.PART_KEY,
         cfg,
     )
-    first_sent = of_cases(sent, cases, schema.PART_KEY).groupBy("company", "part_num", "period").agg(
+    first_sent = _of_cases(sent, cases, schema.PART_KEY, reduced).groupBy("company", "part_num", "period").agg(
         F.min_by("qty", F.struct("location", "sent_period", "qty")).alias("found_forecast")
     )
     first_sent = first_sent.dropna(subset=schema.PART_KEY)

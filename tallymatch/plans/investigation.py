@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 
 from tallymatch.config import ReconConfig
 from tallymatch.operators import investigate as inv
+from tallymatch.sinks import written
 
 
 @dataclass(frozen=True)
 class Investigation:
-    """The evidence frames of one run, all lazy. History and presence read the whole tables, not the run range.
+    """The evidence frames of one run, all lazy but the cases. History and presence read the whole tables, not the run range.
 
-    Several branches read the flagged rows, so ``of`` wants a result that is stored (``sinks.written`` or the files of
-    a job); a lazy one would be computed once per branch.
+    Several branches read the cases, so ``of`` writes them once; the result they are taken from is read once.
     """
 
     cases: DataFrame
@@ -27,9 +27,9 @@ class Investigation:
     @classmethod
     def of(cls, source, result: DataFrame, cfg: ReconConfig, keys: DataFrame | None = None) -> Investigation:
         """All flagged rows, or the rows named by ``keys`` (company, part_num, location, period), flagged or not."""
-        cases = inv.flagged(result, cfg) if keys is None else inv.chosen(result, keys, cfg)
-        history = inv.usage_history(cases, source.usage(), cfg)
-        presence = inv.forecast_presence(cases, source.forecast(), cfg)
+        cases = written(inv.flagged(result, cfg) if keys is None else inv.chosen(result, keys, cfg))
+        history = inv.usage_history(cases, source.usage_among(cases), cfg, source.reduces)
+        presence = inv.forecast_presence(cases, source.forecast_among(cases), cfg, source.reduces)
         checked = inv.criteria(cases, history, source.part_master(), source.part_site(), cfg)
         return cls(cases, history, presence, checked, cfg)
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallymatch.operators.lookup import possible
 from tallymatch.sources.literal import small_frame
 from tallymatch.sources.tables import Source, bounded
 
@@ -54,6 +55,10 @@ def _sql_text(value: str | None) -> str:
     return "cast(null as string)" if value is None else f"'{value}'"
 
 
+def _part_name(key: str) -> str:
+    return f"concat('P_', cast({key} as string), if({key} % 97 = 0, '?', ''))"
+
+
 # the nine sites as a literal array, indexed by site number: no join and no shuffle to look one up
 _SITE_ARRAY = "array({})".format(
     ", ".join(
@@ -63,10 +68,22 @@ _SITE_ARRAY = "array({})".format(
 )
 
 
+def _key_of(part_num: str) -> Column:
+    """The part key that a name was made of; null for other texts."""
+    return F.expr(f"try_cast(rtrim('?', substring({part_num}, 3)) as bigint)").alias("pk")
+
+
+def _site_of(company: str, plant: str) -> Column:
+    sites = " ".join(f"when {company} = '{c}' and {plant} = '{p}' then {n}" for n, c, p, *_ in SITES)
+    return F.expr(f"case {sites} end").alias("n")
+
+
 class DerivedSource(Source):
     """Usage and forecast are aggregates by their own grain, so no compare key can be hot."""
 
     unique_grain = True
+    # order lines of other keys are left out before they are aggregated
+    reduces = True
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark = spark
@@ -87,13 +104,16 @@ class DerivedSource(Source):
             ("part names",),
             lambda: self.read("part").selectExpr(
                 "p_partkey as pk",
-                "concat('P_', cast(p_partkey as string), if(p_partkey % 97 = 0, '?', '')) as part_num",
+                f"{_part_name('p_partkey')} as part_num",
                 "p_type",
                 "p_size",
                 "p_brand",
             ),
         )
 
+    def _parts(self) -> DataFrame:
+        return self._once(("parts",), lambda: self.read("part").selectExpr("p_partkey as pk"))
+
     def _lines(self, first_day: date | None, next_day: date | None) -> DataFrame:
         """Order lines with site number and month end.
 
@@ -117,19 +137,25 @@ class DerivedSource(Source):
     def usage(self, start: date | None = None, end: date | None = None) -> DataFrame:
         return self._once(("usage", start, end), lambda: self._usage(start, end))
 
-    def _usage(self, start: date | None, end: date | None) -> DataFrame:
+    def usage_among(self, keys: DataFrame) -> DataFrame:
+        return self._usage(None, None, keys.select(_key_of("part_num"), _site_of("company", "plant")))
+
+    def _usage(self, start: date | None, end: date | None, among: DataFrame | None = None) -> DataFrame:
         # a month end is in [start, end] for ship dates from the first of start's month on, and before the month
         # whose end is past `end`
         next_day = None if end is None else _month_start(end + timedelta(days=1))
         lines = self._lines(None if start is None else _month_start(start), next_day)
+        if among is not None:
+            lines = possible(lines, among, {"pk": F.col("pk"), "n": F.col("n")})
         conditions = {"a": "flag = 'A'", "b": "flag = 'N'", "c": "flag = 'R'", "d": "status = 'O'"}
         grouped = lines.groupBy("pk", "n", "period_end").agg(
             *[F.expr(f"sum(if({cond}, quantity, 0.0)) as qty_{c}") for c, cond in conditions.items()],
             *[F.expr(f"count_if({cond}) as cnt_{c}") for c, cond in conditions.items()],
         )
         usage = (
-            grouped.join(self._part_names(), "pk")
-            .selectExpr("*", f"{_SITE_ARRAY}[n] as site")
+            # named by the key of the lines: only that key has to be shuffled and looked up
+            grouped.join(self._parts(), "pk")
+            .selectExpr("*", f"{_SITE_ARRAY}[n] as site", f"{_part_name('pk')} as part_num")
             .selectExpr(
                 "concat_ws('_', site.company, site.plant, part_num) as site_part_key",
                 "period_end",
@@ -142,14 +168,20 @@ class DerivedSource(Source):
     def forecast(self, start: date | None = None, end: date | None = None) -> DataFrame:
         return self._once(("forecast", start, end), lambda: self._forecast(start, end))
 
-    def _forecast(self, start: date | None, end: date | None) -> DataFrame:
+    def forecast_among(self, keys: DataFrame) -> DataFrame:
+        return self._forecast(None, None, keys.select(_key_of("part_num"), "company"))
+
+    def _forecast(self, start: date | None, end: date | None, among: DataFrame | None = None) -> DataFrame:
         # a first of month is in [start, end] for ship dates from the first full month on, up to end's month
         first_day = None
         if start is not None:
             first_day = start if start.day == 1 else _next_month(start)
+        lines = self._lines(first_day, None if end is None else _next_month(end))
+        if among is not None:
+            company = F.expr(f"{_SITE_ARRAY}[n].company")
+            lines = possible(lines, among, {"pk": F.col("pk"), "company": company})
         by_month = (
-            self._lines(first_day, None if end is None else _next_month(end))
-            .where("pk % 11 <> 0 and not (pk % 9 = 0 and period_end >= date'2000-10-01')")
+            lines.where("pk % 11 <> 0 and not (pk % 9 = 0 and period_end >= date'2000-10-01')")
             .selectExpr("*", f"{_SITE_ARRAY}[n] as site")
             .selectExpr("*", "site.company as company", "site.plant as plant", "site.fc_location as fc_location")
             .where("company <> 'WEST'")
@@ -160,11 +192,11 @@ class DerivedSource(Source):
                     " as moved"
                 )
             )
-            .join(self._part_names(), "pk")
+            .join(self._parts(), "pk")
             .selectExpr(
                 "company",
                 "fc_location as location",
-                "part_num as product",
+                f"{_part_name('pk')} as product",
                 "period",
                 "moved + case pk % 7 when 0 then 5.0D when 1 then -3.0D else 0.0D end as qty",
             )

@@ -44,6 +44,17 @@ class Source:
     def forecast(self, start: date | None = None, end: date | None = None) -> DataFrame:
         return bounded(self._checked("forecast"), "period", start, end)
 
+    # True if ``usage_among`` and ``forecast_among`` hand out hardly more than what is asked for.
+    reduces = False
+
+    def usage_among(self, keys: DataFrame) -> DataFrame:
+        """All usage of the given (company, plant, part_num), and maybe other rows."""
+        return self.usage()
+
+    def forecast_among(self, keys: DataFrame) -> DataFrame:
+        """All forecast rows of the given (company, part_num), and maybe other rows."""
+        return self.forecast()
+
     def last_forecast(self) -> DataFrame:
         """One row, column ``last``: the newest forecast period."""
         return self.forecast().agg(F.max("period").alias("last"))
