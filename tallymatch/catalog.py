@@ -465,7 +465,7 @@ def investigate_chosen(s):
     """Rows of chosen parts, at every location and month they were forecast for."""
     parts = s.read("part").where("p_size = 7").selectExpr("p_partkey")
     names = parts.selectExpr("concat('P_', cast(p_partkey as string), if(p_partkey % 97 = 0, '?', '')) as part_num")
-    sent = s.forecast().select(
+    sent = s.forecast_among(s.part_master().join(names, "part_num", "left_semi")).select(
         "company", "location", F.col("product").alias("part_num"), cal.month_end(F.col("period")).alias("period")
     )
     return _investigation(s, sent.join(names, "part_num", "left_semi")).root_cause()
