@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymatch import schema
 from tallymatch.config import ReconConfig
 from tallymatch.operators.lookup import lookup
-from tallymatch.operators.normalize import normalize_key_text, parse_key
+from tallymatch.operators.normalize import normalize_key_text, normalize_usage, parse_key
 from tallymatch.sources.tables import bounded
 
 METADATA_FLAGS = ["non_stock", "method_code", "inactive", "runout"]
 
 
 def scan_part_metadata(source, cfg: ReconConfig) -> DataFrame:
-    """Part, plant and method rows of the run's companies; parts without a plant or method row drop out."""
-    parts = source.part_master().where(F.col("company").isin(*cfg.companies))
+    """Part, plant and method rows of the run's companies; parts without a plant or method row drop out.
+
+    The part key is joined last: what follows groups by part and plant, and is then partitioned for it already.
+    """
+    companies = F.col("company").isin(*cfg.companies)
+    sites = source.part_site().where(companies).join(source.part_site_ud(), F.col("row_id") == F.col("foreign_row_id"))
     metadata = (
-        parts.join(source.part_site(), schema.PART_KEY)
-        .join(source.part_site_ud(), F.col("row_id") == F.col("foreign_row_id"))
+        sites.join(source.part_master().where(companies), schema.PART_KEY)
         .select(
             "company",
             "part_num",
@@ -72,9 +78,18 @@ def _guarded(grouped: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def enrich_metadata(usage: DataFrame, metadata: DataFrame) -> DataFrame:
+def enrich_metadata(usage: DataFrame, metadata: DataFrame, unique_grain: bool = False) -> DataFrame:
     """Left lookup of the metadata flags; unknown keys get nulls."""
-    return lookup(usage, unique_metadata(metadata, METADATA_FLAGS), schema.USAGE_KEY)
+    facts = unique_metadata(metadata, METADATA_FLAGS)
+    return _few_per_key(usage, facts) if unique_grain else lookup(usage, facts, schema.USAGE_KEY)
+
+
+def _few_per_key(usage: DataFrame, facts: DataFrame) -> DataFrame:
+    """The lookup for usage without hot keys. Metadata has no null part, and a key without plant has no part either, so
+    null keys match nothing."""
+    return usage.join(facts, schema.USAGE_KEY, "left").select(
+        *[usage[c] for c in usage.columns], *[facts[c] for c in facts.columns if c not in schema.USAGE_KEY]
+    )
 
 
 def apply_exclusions(usage: DataFrame, metadata: DataFrame, cfg: ReconConfig) -> DataFrame:
@@ -105,13 +120,19 @@ def frequency_counts(usage: DataFrame, cfg: ReconConfig) -> DataFrame:
     )
 
 
+def _in_window(cfg: ReconConfig) -> Column:
+    return F.col("period_end").between(F.add_months(F.lit(cfg.end), -cfg.lookback_months), F.lit(cfg.end))
+
+
+def _with_measure(usage: DataFrame, cfg: ReconConfig) -> DataFrame:
+    if cfg.frequency_measure == "transactions":
+        return tran_totals(usage).withColumnRenamed("total_transactions", "__measure")
+    return usage.withColumn("__measure", F.coalesce(total_units(), F.lit(0.0)))
+
+
 def _frequency_rows(usage: DataFrame, cfg: ReconConfig) -> DataFrame:
-    window_start = F.add_months(F.lit(cfg.end), -cfg.lookback_months)
-    window = usage.where(F.col("period_end").between(window_start, F.lit(cfg.end)))
-    parsed = normalize_key_text(parse_key(tran_totals(window)), schema.USAGE_KEY, cfg)
-    units = F.coalesce(total_units(), F.lit(0.0))
-    measure = F.col("total_transactions") if cfg.frequency_measure == "transactions" else units
-    return parsed.select(*schema.USAGE_KEY, measure.alias("__measure"))
+    measured = _with_measure(usage.where(_in_window(cfg)), cfg)
+    return normalize_key_text(parse_key(measured), schema.USAGE_KEY, cfg).select(*schema.USAGE_KEY, "__measure")
 
 
 def frequent_enough(cfg: ReconConfig) -> Column:
@@ -142,12 +163,7 @@ def key_facts(metadata: DataFrame, usage_rows: DataFrame, cfg: ReconConfig) -> D
     Metadata flags, the exclusion verdict and the look-back count share their key. Both inputs are aggregated
     together, and usage, the large side, is shuffled and joined once instead of three times.
     """
-    meta_side = metadata.select(
-        *schema.USAGE_KEY,
-        *METADATA_FLAGS,
-        F.coalesce(exclusion_predicate(metadata, cfg), F.lit(False)).alias("excluded"),
-        F.lit(1).alias("__meta"),
-    )
+    meta_side = _judged(metadata, cfg).withColumn("__meta", F.lit(1))
     counted = _frequency_rows(usage_rows, cfg).dropna(subset=schema.USAGE_KEY)
     stacked = meta_side.unionByName(counted, allowMissingColumns=True)
     grouped = stacked.groupBy(*schema.USAGE_KEY).agg(
@@ -159,9 +175,19 @@ def key_facts(metadata: DataFrame, usage_rows: DataFrame, cfg: ReconConfig) -> D
     return _guarded(grouped, [*METADATA_FLAGS, "excluded"]).drop("__rows")
 
 
+def _judged(metadata: DataFrame, cfg: ReconConfig) -> DataFrame:
+    """Keys and flags with the exclusion verdict."""
+    excluded = F.coalesce(exclusion_predicate(metadata, cfg), F.lit(False))
+    return metadata.select(*schema.USAGE_KEY, *METADATA_FLAGS, excluded.alias("excluded"))
+
+
 def with_key_facts(usage: DataFrame, facts: DataFrame) -> DataFrame:
     """Usage with metadata flags, ``excluded`` and the look-back count; keys without facts count 0, not excluded."""
-    return lookup(usage, facts, schema.USAGE_KEY).withColumns(
+    return _filled(lookup(usage, facts, schema.USAGE_KEY))
+
+
+def _filled(flagged: DataFrame) -> DataFrame:
+    return flagged.withColumns(
         {
             "excluded": F.coalesce("excluded", F.lit(False)),
             "transaction_count_12mo": F.coalesce("transaction_count_12mo", F.lit(0)),
@@ -169,6 +195,21 @@ def with_key_facts(usage: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def with_own_facts(usage: DataFrame, metadata: DataFrame, cfg: ReconConfig) -> DataFrame:
+    """The same for raw usage of unique grain that counts its own rows (``run_range``): it is read and shuffled once.
+
+    A window group holds one part at one site, so its size is the number of months; the join with the metadata takes over
+    its partitioning and order.
+    """
+    measure = F.when(_in_window(cfg), F.col("__measure"))
+    measured = normalize_usage(_with_measure(usage, cfg).withColumn("__measure", measure), cfg, "__measure")
+    complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in schema.USAGE_KEY])
+    counted = F.sum("__measure").over(W.partitionBy(*schema.USAGE_KEY))
+    rows = measured.withColumn("transaction_count_12mo", F.when(complete, counted)).drop("__measure")
+    facts = unique_metadata(_judged(metadata, cfg), [*METADATA_FLAGS, "excluded"])
+    return _filled(_few_per_key(rows, facts))
+
+
 def filter_counts(cfg: ReconConfig) -> list[Column]:
     """Rows before, removed and left for both filters, as aggregates over usage with its key facts."""
     kept = ~F.col("excluded")

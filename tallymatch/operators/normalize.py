@@ -118,12 +118,13 @@ def scan_forecast(source, cfg: ReconConfig) -> DataFrame:
     return source.forecast(cfg.start, cfg.end)
 
 
-def normalize_usage(usage: DataFrame, cfg: ReconConfig) -> DataFrame:
+def normalize_usage(usage: DataFrame, cfg: ReconConfig, *more: str) -> DataFrame:
+    """``more`` names columns that are kept as they are."""
     parsed = normalize_key_text(parse_key(usage), schema.USAGE_KEY, cfg)
     return (
         usage_rule(map_location(filter_companies(parsed, cfg), cfg), cfg)
         .withColumn("period", month_end(F.col("period_end")))
-        .select("company", "location", "plant", "part_num", "period", "actual_usage")
+        .select("company", "location", "plant", "part_num", "period", "actual_usage", *more)
     )
 
 

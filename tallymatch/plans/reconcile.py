@@ -16,12 +16,14 @@ def prepared_usage(source, cfg: ReconConfig, observed: Observation | None = None
 
     ``observed`` gets the counts of both filters while the run's own stage passes the rows on.
     """
-    usage = nz.normalize_usage(nz.scan_usage(source, cfg), cfg)
-    metadata = md.scan_part_metadata(source, cfg)
+    raw, metadata = nz.scan_usage(source, cfg), md.scan_part_metadata(source, cfg)
     if not cfg.apply_exclusions:
-        return md.enrich_metadata(usage, metadata)
-    facts = md.key_facts(metadata, md.frequency_usage(source, cfg), cfg)
-    flagged = md.with_key_facts(usage, facts)
+        return md.enrich_metadata(nz.normalize_usage(raw, cfg), metadata, source.unique_grain)
+    if source.unique_grain and cfg.frequency_source == "run_range":
+        flagged = md.with_own_facts(raw, metadata, cfg)
+    else:
+        facts = md.key_facts(metadata, md.frequency_usage(source, cfg), cfg)
+        flagged = md.with_key_facts(nz.normalize_usage(raw, cfg), facts)
     if observed is not None:
         flagged = flagged.observe(observed, *md.filter_counts(cfg))
     return flagged.where(~F.col("excluded") & md.frequent_enough(cfg)).drop("excluded")
