@@ -223,13 +223,14 @@ class DerivedSource(Source):
         return lines.selectExpr("trunc(period_end, 'MM') as period").unionByName(fixed).agg(F.max("period").alias("last"))
 
     # The three part tables multiply the part rows after the scan. Size estimates ignore that and would broadcast
-    # tables many times the threshold, so their joins are told to shuffle.
+    # tables many times the threshold, so their joins are told to shuffle. A file of parts is small, so few tasks read it;
+    # its rows are dealt out to all before they are multiplied.
 
     def part_master(self) -> DataFrame:
         companies = ", ".join(f"'{c}'" for c in COMPANIES)
         return self._once(
             ("part_master",),
-            lambda: self._part_names().selectExpr(
+            lambda: self._part_names().repartition("pk").selectExpr(
                 f"explode(array({companies})) as company",
                 "part_num",
                 "case when p_type = 'ECONOMY' and p_size < 10 then 'RAW' when p_type = 'SMALL' and p_size < 10 then"
@@ -241,7 +242,7 @@ class DerivedSource(Source):
         )
 
     def _part_at_site(self) -> DataFrame:
-        return self._part_names().selectExpr("pk", "part_num", "p_size", f"inline({_SITE_ARRAY})")
+        return self._part_names().repartition("pk").selectExpr("pk", "part_num", "p_size", f"inline({_SITE_ARRAY})")
 
     def part_site(self) -> DataFrame:
         return self._once(
